@@ -94,28 +94,20 @@ def substrings_of_lengths(text: Column, lengths: Column, longest: Column) -> Col
     return F.array_distinct(cut)
 
 
-def find_terms(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame, term_col: str = "term") -> DataFrame:
-    """(id, term) for every distinct term that occurs inside a text.
-
-    Equality join on the substrings whose length is a term length: no cross
-    join and no residual ``contains``. The text itself is not carried past the
-    explode. The term table is broadcast when it is measured small; otherwise
-    the join shuffles by term.
+def find_terms(texts: DataFrame, keep: list[str], text_col: str, terms: DataFrame) -> DataFrame:
+    """Rows of ``terms`` for every term that occurs inside a text.
+
+    ``keep`` names the narrow columns of ``texts`` (id, lengths) that go with
+    each hit; the text itself is not carried past the explode. Equality join
+    on the substrings whose length is a term length: no cross join and no
+    residual ``contains``. The term table is broadcast when it is measured
+    small; otherwise the join shuffles by term and adaptive execution splits
+    hot terms.
     """
-    terms = terms.select(F.col(term_col).alias("term")).where(F.length("term") > 0).distinct()
+    terms = terms.where(F.length("term") > 0)
     lengths = terms.select(F.sort_array(F.collect_set(F.length("term")))).scalar()
     longest = terms.select(F.coalesce(F.max(F.length("term")), F.lit(1))).scalar()
     pieces = texts.select(
-        F.col(id_col),
-        F.explode(substrings_of_lengths(F.col(text_col), lengths, longest)).alias("term"),
-    )
-    return pieces.join(broadcast_if_small(terms), "term").select(id_col, "term")
-
-
-def audit_rows(df: DataFrame, item: str, amount: Column | str, note: Column | str = "") -> DataFrame:
-    as_lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return df.select(
-        F.col(item).alias("item") if item in df.columns else F.lit(item).alias("item"),
-        as_lit(amount).cast("string").alias("amount"),
-        as_lit(note).alias("note"),
+        *keep, F.explode(substrings_of_lengths(F.col(text_col), lengths, longest)).alias("term")
     )
+    return pieces.join(broadcast_if_small(terms), "term")

@@ -42,19 +42,18 @@ def match_examples(pairs: DataFrame, terms: DataFrame, per_entry: int = fixed.EX
                    prefers=has_kanji) -> DataFrame:
     """Best example sentences of every entry.
 
-    1. which terms occur in which sentence (substring join, ids only);
-    2. the score of a hit needs only lengths, so it is made of narrow rows;
-    3. best term per (entry, sentence), combined on the map side;
-    4. first ``per_entry`` per entry, cut in each task before the shuffle;
-    5. texts are joined back for the few chosen rows.
+    1. which terms occur in which sentence: substring join on narrow rows, as
+       a score needs lengths only;
+    2. best term per (entry, sentence), combined on the map side;
+    3. first ``per_entry`` per entry, cut in each task before the shuffle;
+    4. texts are joined back for the few chosen rows.
     """
-    found = find_terms(pairs, "sentence_id", "sentence", terms)
-    lengths = pairs.select(
-        "sentence_id",
+    texts = pairs.select(
+        "sentence_id", "sentence",
         distance_from_ideal("sentence").alias("sentence_gap"),
         distance_from_ideal("translation").alias("translation_gap"),
     )
-    hits = found.join(terms, "term").join(lengths, "sentence_id")
+    hits = find_terms(texts, ["sentence_id", "sentence_gap", "translation_gap"], "sentence", terms)
     score = F.struct(
         F.when(prefers("term"), 0).otherwise(1).alias("kanji_miss"),
         "sentence_gap", "translation_gap",
