@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from lexmill import fixed
-from lexmill.functions.text import any_of, as_col, has_kanji, kana_only, non_empty, part_labels, strip
+from lexmill.functions.text import any_of, as_col, has_kanji, kana_only, non_empty, strip
 
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from lexmill import fixed
 
@@ -62,7 +62,7 @@ def to_hiragana(c) -> Column:
     return F.translate(as_col(c), fixed.KATAKANA_LETTERS, fixed.HIRAGANA_LETTERS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     return values.str.normalize("NFKC")
 
