@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Approximate width of a row of a narrow table."""
+    widths = [F.octet_length(F.coalesce(F.col(c).cast("string"), F.lit(""))) + 16 for c in df.columns]
+    return reduce(lambda a, b: a + b, widths)
+
+
 def text_bytes(df: DataFrame) -> int:
-    """Size of a narrow table of strings, measured, not guessed."""
-    row = df.agg(
-        F.sum(sum((F.octet_length(F.coalesce(F.col(c).cast("string"), F.lit(""))) + 16 for c in df.columns), F.lit(0)))
-    ).first()
-    return int(row[0] or 0)
+    """Size of a narrow table, measured, not guessed."""
+    return int(df.agg(F.sum(row_bytes(df))).first()[0] or 0)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -74,21 +78,20 @@ def last_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     )
 
 
-def substrings_of_lengths(text: Column, lengths: Column, longest: Column) -> Column:
-    """Distinct substrings of a text whose length is among the given lengths.
+def substrings_of_lengths(text: Column, lengths: list[int]) -> Column:
+    """Distinct substrings of a text whose length is one of the given lengths.
 
     One regular-expression pass takes the text ahead of every position, up to
     the longest length, so cost is linear in the text; the substrings are
     prefixes of those pieces.
     """
-    pattern = F.concat(F.lit("(?s)(?=(.{1,"), longest.cast("string"), F.lit("}))"))
-    pieces = F.array_distinct(F.regexp_extract_all(text, pattern, F.lit(1)))
+    longest = max(lengths)
+    pieces = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{longest}}}))"), F.lit(1)))
+    wanted = F.array(*[F.lit(n) for n in lengths])
     cut = F.flatten(
         F.transform(
             pieces,
-            lambda p: F.transform(
-                F.filter(lengths, lambda n: n <= F.length(p)), lambda n: F.substring(p, F.lit(1), n)
-            ),
+            lambda p: F.transform(F.filter(wanted, lambda n: n <= F.length(p)), lambda n: F.left(p, n)),
         )
     )
     return F.array_distinct(cut)
@@ -100,14 +103,14 @@ def find_terms(texts: DataFrame, keep: list[str], text_col: str, terms: DataFram
     ``keep`` names the narrow columns of ``texts`` (id, lengths) that go with
     each hit; the text itself is not carried past the explode. Equality join
     on the substrings whose length is a term length: no cross join and no
-    residual ``contains``. The term table is broadcast when it is measured
-    small; otherwise the join shuffles by term and adaptive execution splits
-    hot terms.
+    residual ``contains``. One measuring pass over the terms gives their size
+    and the few distinct lengths: a small table is broadcast, a large one is
+    joined by shuffle and adaptive execution splits hot terms.
     """
     terms = terms.where(F.length("term") > 0)
-    lengths = terms.select(F.sort_array(F.collect_set(F.length("term")))).scalar()
-    longest = terms.select(F.coalesce(F.max(F.length("term")), F.lit(1))).scalar()
-    pieces = texts.select(
-        *keep, F.explode(substrings_of_lengths(F.col(text_col), lengths, longest)).alias("term")
-    )
-    return pieces.join(broadcast_if_small(terms), "term")
+    size, lengths = terms.agg(
+        F.sum(row_bytes(terms)), F.sort_array(F.collect_set(F.length("term")))
+    ).first()
+    lengths = list(lengths) or [1]
+    pieces = texts.select(*keep, F.explode(substrings_of_lengths(F.col(text_col), lengths)).alias("term"))
+    return pieces.join(F.broadcast(terms) if (size or 0) <= BROADCAST_BYTES else terms, "term")

@@ -77,7 +77,7 @@ def kanji_detail(index: DataFrame, search_terms: DataFrame, lexicon: DataFrame,
     gathered = own.agg(
         ordered_list(
             F.struct(F.coalesce("freq_rank", F.lit(fixed.UNRANKED)), "source_ord"),
-            F.struct("entry_id", "level", "headword", "reading", tx.first_definition("translation", "glosses").alias("definition")),
+            F.struct("entry_id", "level", "headword", "reading", tx.first_definition(tx.split_list("translation"), "glosses").alias("definition")),
         ).alias("own_entries"),
         F.flatten(
             ordered_list(
