@@ -7,6 +7,8 @@ by kind). A request is then one filter, one score join and one top-k.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
@@ -130,19 +132,18 @@ def search_terms(lexicon: DataFrame, variants: DataFrame | None = None, compatib
 
 # -- one request ---------------------------------------------------------------------
 
-def query_tokens(text: str) -> list[str]:
-    """Tokens of a typed query; the normal form equals ``normalize_search``."""
-    import unicodedata
-
-    folded = unicodedata.normalize("NFKC", text).lower().translate(
+def fold(text: str) -> str:
+    """Search form of a typed text; equals ``normalize_search`` on columns."""
+    return unicodedata.normalize("NFKC", text).lower().translate(
         str.maketrans(fixed.KATAKANA_LETTERS, fixed.HIRAGANA_LETTERS)
     )
-    return folded.split()
 
 
-def token_matches(token: str, term_only: bool) -> Column:
-    import re
+def query_tokens(text: str) -> list[str]:
+    return fold(text).split()
+
 
+def token_matches(token: str, term_only: bool) -> Column:
     if not term_only:
         return F.col("search_text").contains(token)
     if re.search(f"[{fixed.CJK}]", token):
@@ -239,7 +240,8 @@ def matching(docs: DataFrame, request: SearchRequest, variants: DataFrame | None
         found = found.where(token_matches(token, request.term_only))
     if request.kanji and request.kanji_reading:
         forms = kanji_forms(request.kanji, variants)
-        found = found.where(kanji_reading_filter(forms, request.kanji_reading))
+        wanted = re.sub(r"[.\-‐‑‒–—−\s]", "", fold(request.kanji_reading))
+        found = found.withColumn("_forms", forms).where(kanji_reading_filter(F.col("_forms"), wanted)).drop("_forms")
     found = with_status(found, progress, request.status, user_id)
     if request.transitivity:
         any_verb = F.coalesce(found.select(F.bool_or("is_verb")).scalar(), F.lit(False))
