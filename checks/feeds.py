@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexmill import fixed
+from lexmill.operators.common import checkpoint_dir
 
 WORD = "[a-zà-ÿ]+"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-HIRA = "あぶくむるふげはいじからめんおぱきりすつうゔわやしぞ"
-KATA = "アブクムルフゲハイジカラメンオパキリスツウヴワヤシゾ"
+HIRA = "あぶくむるふげはいじからめんおぱきれすつうゔわやしぞ"
+KATA = "アブクムルフゲハイジカラメンオパキレスツウヴワヤシゾ"
 KANJI = "学校食楽会国車電山川水火木金土日月人大小中上下出入生"
 
 FREQ_NOUN, FREQ_VERB, FREQ_ADJ = "名詞-普通名詞-一般", "動詞-一般", "形容詞-一般"
@@ -36,6 +37,23 @@ def kanji_form(c: str) -> Column:
     return F.concat(F.translate(F.left(F.col(c), F.lit(2)), LETTERS, KANJI), F.translate(F.substr(F.col(c), F.lit(3)), LETTERS, HIRA))
 
 
+_STORED: dict = {}
+
+
+def stored(spark, sf, name: str, make) -> DataFrame:
+    """A table built once per session and kept as Parquet in the shared folder.
+
+    This is what the build job does with its outputs: later queries read the
+    stored columns they need instead of building the lexicon again.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        path = f"{checkpoint_dir(spark)}/lexmill/{key[0]}/{abs(hash(sf))}/{name}"
+        make(spark, sf).write.mode("overwrite").parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def tokens(spark, sf, name="documents", keys=("doc_id", "lang"), text="text") -> DataFrame:
     return table(spark, sf, name).select(*keys, F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("w"))
 

@@ -19,8 +19,12 @@ def classified(spark, sf) -> DataFrame:
     return lx.classify_entries(fd.dictionary(spark, sf), frequency_keys(fd.frequency_list(spark, sf)))
 
 
+def stored_classified(spark, sf) -> DataFrame:
+    return fd.stored(spark, sf, "classified", classified)
+
+
 def lexicon(spark, sf) -> DataFrame:
-    return lx.accepted(classified(spark, sf))
+    return lx.accepted(stored_classified(spark, sf))
 
 
 def tree(spark, sf) -> DataFrame:
@@ -92,7 +96,7 @@ SELECT entry_id, headword, reading, array_to_string(writings, '{SEP}') AS writin
 
 
 def q_build_counters(spark, sf):
-    return lx.build_counters(classified(spark, sf))
+    return lx.build_counters(stored_classified(spark, sf))
 
 
 SQL_COUNTERS = WITH + """
@@ -106,7 +110,7 @@ GROUP BY item"""
 
 
 def q_rejected_samples(spark, sf):
-    s = lx.rejected_samples(classified(spark, sf))
+    s = lx.rejected_samples(stored_classified(spark, sf))
     return s.select("entry_id", F.get_json_object("note", "$.headword").alias("headword"), F.get_json_object("note", "$.reason").alias("reason"))
 
 
@@ -226,6 +230,30 @@ SELECT entry_id AS id, level, headword AS word, reading, major, array_to_string(
   CAST(freq_count AS DOUBLE) AS pmw, coalesce(freq_pos, '') AS "bccwjPos" FROM accepted"""
 
 
+TOKEN_REWRITES = [("er", "ed"), ("ed", "er"), ("ing", "ed"), ("ed", "ing"), ("tion", "t"), ("s", ""), ("e", "es"), ("ent", "er")]
+
+
+def q_token_pairs(spark, sf):
+    """The pair rule with other rewrites: vocabulary words by derived form."""
+    v = fd.vocabulary(spark, sf)
+    words = v.select(
+        F.col("w").alias("entry_id"), F.col("first_doc").alias("doc_pos"), F.upper(F.left("w", F.lit(3))).alias("headword"), F.col("w").alias("reading"),
+        F.concat(F.lit("t"), (F.col("n") % 3).cast("string")).alias("transitivity"), F.lit("word").alias("major"))
+    return lx.pair_candidates(words, TOKEN_REWRITES, "word").select("entry_id", F.array_join("related", SEP).alias("related"))
+
+
+_TOKEN_RULES = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(TOKEN_REWRITES))
+SQL_TOKEN_PAIRS = "WITH " + fd.SQL_VOCAB + f""",
+rules(rule, src, dst) AS (VALUES {_TOKEN_RULES}),
+hits AS (
+  SELECT v.w AS entry_id, r.rule, o.first_doc AS doc_pos, o.w AS oid, upper(left(o.w, 3)) || '（' || o.w || '）' AS label
+  FROM vocab v JOIN rules r ON ends_with(v.w, r.src)
+  JOIN vocab o ON o.w = left(v.w, length(v.w) - length(r.src)) || r.dst WHERE o.n % 3 <> v.n % 3),
+firsts AS (SELECT entry_id, label, min((rule, doc_pos, oid)) AS p FROM hits GROUP BY entry_id, label),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY p) AS rn FROM firsts)
+SELECT entry_id, string_agg(label, '{SEP}' ORDER BY rn) AS related FROM numbered WHERE rn <= 5 GROUP BY entry_id"""
+
+
 LATIN_RULES = [("tion", "-tion"), ("ment", "-ment"), ("eux", "-eux"), ("ing", "-ing"), ("ble", "-ble"), ("ung", "-ung"), ("ed", "-ed"), ("er", "-er"), ("e", "-e")]
 
 
@@ -295,6 +323,7 @@ QUERIES = {
     "build_counters": (q_build_counters, SQL_COUNTERS),
     "rejected_samples": (q_rejected_samples, SQL_REJECTED),
     "verb_pairs": (q_verb_pairs, SQL_PAIRS),
+    "token_pairs": (q_token_pairs, SQL_TOKEN_PAIRS),
     "kanji_tree": (q_kanji_tree, SQL_TREE),
     "cluster_summary": (q_cluster_summary, SQL_CLUSTERS),
     "kanji_metadata": (q_kanji_metadata, SQL_METADATA),

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, functions as F
 
 from lexmill import fixed
-from lexmill.functions.text import any_of, as_col, has_kanji, kana_only, non_empty, strip
+from lexmill.functions.text import any_of, as_col, has_kanji, kana_only, literal_map, non_empty, strip
 
 
 
@@ -54,7 +55,7 @@ def frequency_level(rank) -> Column:
 def expand_labels(labels, table: dict[str, str] | None = None) -> Column:
     """Replace short codes by their labels; other labels stay."""
     table = fixed.POS_LABELS if table is None else table
-    mapping = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    mapping = literal_map(table)
     stripped = F.filter(F.transform(as_col(labels), strip), lambda x: x != "")
     return F.transform(stripped, lambda x: F.coalesce(F.try_element_at(mapping, x), x))
 
@@ -174,19 +175,13 @@ def frequency_pos_compatible(major, freq_pos) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
 
 
-class SuffixRule:
-    """One ordered suffix rule: tails looked for in the surface or the basis."""
+class SuffixRule(NamedTuple):
+    """One ordered suffix rule: a tail looked for in the surface, the basis or either."""
 
-    def __init__(self, major: str, tail: str, label: str, on: str):
-        self.major, self.tail, self.label, self.on = major, tail, label, on
-
-    def test(self, major: Column, surface: Column, basis: Column) -> Column:
-        hit = {
-            "basis": basis.endswith(self.tail),
-            "surface": surface.endswith(self.tail),
-            "either": surface.endswith(self.tail) | basis.endswith(self.tail),
-        }[self.on]
-        return (major == self.major) & hit
+    major: str
+    tail: str
+    label: str
+    on: str
 
 
 def japanese_suffix_rules() -> list[SuffixRule]:
@@ -201,13 +196,25 @@ def japanese_suffix_rules() -> list[SuffixRule]:
 
 
 def first_suffix_rule(major, surface, basis, rules: list[SuffixRule]) -> Column:
-    """Label of the first rule that applies, in rule order; NULL if none."""
-    major, surface, basis = as_col(major), as_col(surface), as_col(basis)
-    chain = None
-    for rule in rules:
-        test = rule.test(major, surface, basis)
-        chain = F.when(test, rule.label) if chain is None else chain.when(test, rule.label)
-    return chain
+    """Label of the first rule that applies, in rule order; NULL if none.
+
+    The rules become one constant map from (class, place, tail) to rule order,
+    so a row does one lookup per tail length and place instead of testing
+    every rule.
+    """
+    places = {"basis": ["b"], "surface": ["s"], "either": ["s", "b"]}
+    order: dict[str, int] = {}
+    for i, rule in enumerate(rules):
+        for place in places[rule.on]:
+            order.setdefault(f"{rule.major}|{place}|{rule.tail}", i)
+    found = literal_map(order)
+    labels = literal_map(dict(enumerate(rule.label for rule in rules)))
+    probes = [
+        F.try_element_at(found, F.concat(as_col(major), F.lit(f"|{place}|"), F.right(text, F.lit(n))))
+        for n in sorted({len(rule.tail) for rule in rules})
+        for place, text in (("s", as_col(surface)), ("b", as_col(basis)))
+    ]
+    return F.try_element_at(labels, F.least(*probes))
 
 
 def cluster(headword, reading, major, conj) -> Column:

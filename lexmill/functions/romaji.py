@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from lexmill import fixed
-from lexmill.functions.text import as_col
-
-
-def _literal_map(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+from lexmill.functions.text import as_col, literal_map
 
 
 def kana_to_romaji(c) -> Column:
@@ -23,7 +19,7 @@ def kana_to_romaji(c) -> Column:
     pairs = "|".join(fixed.ROMAJI_PAIRS)
     text = F.regexp_replace(as_col(c), f"っ(?![{singles}])", "")
     tokens = F.regexp_extract_all(text, F.lit(f"(?s){pairs}|."), F.lit(0))
-    table = _literal_map({**fixed.ROMAJI_PAIRS, **fixed.ROMAJI_SINGLES})
+    table = literal_map({**fixed.ROMAJI_PAIRS, **fixed.ROMAJI_SINGLES})
     latin = F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), t))
     spelled = F.aggregate(
         latin,

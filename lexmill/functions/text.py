@@ -25,6 +25,14 @@ def java_quote(text: str) -> str:
     return re.sub(r"([\\.\[\]{}()*+?^$|\-])", r"\\\1", text)
 
 
+def literal_map(table: dict) -> Column:
+    """Constant map; one parsed expression instead of a call per entry."""
+    def sql(v):
+        return str(v) if isinstance(v, (int, float)) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    return F.expr("map(" + ",".join(f"{sql(k)},{sql(v)}" for k, v in table.items()) + ")")
+
+
 def any_of(words) -> str:
     return "|".join(java_quote(w) for w in words)
 

@@ -11,7 +11,7 @@ from lexmill.operators.common import ordered_list
 
 
 def level_rank(level: Column | str, order=fixed.LEVEL_ORDER) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
+    table = tx.literal_map(order)
     return F.try_element_at(table, tx.as_col(level))
 
 

@@ -214,7 +214,7 @@ def exact_scores(terms: DataFrame, tokens: list[str]) -> DataFrame:
     Only entries on which every token is exact come out. Tokens filter the
     term table by equality, so a bucketed or sorted table is read in part.
     """
-    weights = F.create_map(*[F.lit(x) for pair in fixed.EXACT_SCORES.items() for x in pair])
+    weights = tx.literal_map(fixed.EXACT_SCORES)
     tokens = list(dict.fromkeys(tokens))
     hits = terms.where(F.col("term").isin(tokens))
     per_token = hits.groupBy("entry_id", "term").agg(F.max(F.element_at(weights, F.col("kind"))).alias("score"))
@@ -332,7 +332,7 @@ def batch_matches(docs: DataFrame, tokens: DataFrame, text_col: str = "search_te
 
 def batch_exact_scores(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     """(query_id, entry_id, score) for entries exact on every token of a query."""
-    weights = F.create_map(*[F.lit(x) for pair in fixed.EXACT_SCORES.items() for x in pair])
+    weights = tx.literal_map(fixed.EXACT_SCORES)
     need = tokens.groupBy("query_id").agg(F.count("*").alias("need"))
     best = terms.groupBy("term", "entry_id").agg(F.max(F.element_at(weights, F.col("kind"))).alias("score"))
     hits = tokens.withColumnRenamed("token", "term").join(best, "term")

@@ -20,7 +20,7 @@ def latest_records(records: DataFrame, key: str, order: Column) -> DataFrame:
 
 
 def queue_level_rank(level) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in fixed.QUEUE_LEVEL_ORDER.items() for x in pair])
+    table = tx.literal_map(fixed.QUEUE_LEVEL_ORDER)
     return F.coalesce(F.try_element_at(table, tx.as_col(level)), F.lit(fixed.QUEUE_OTHER_LEVEL))
 
 
