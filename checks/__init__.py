@@ -5,6 +5,6 @@ def registry() -> dict:
     import importlib
 
     out = {}
-    for module in ("lexicon_queries",):
+    for module in ("lexicon_queries", "match_queries"):
         out.update(importlib.import_module(f"checks.{module}").QUERIES)
     return out
