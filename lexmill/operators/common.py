@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+PREFIX_ROWS = 20_000
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -78,19 +79,23 @@ def last_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     )
 
 
-def substrings_of_lengths(text: Column, lengths: list[int]) -> Column:
+def substrings_of_lengths(text: Column, lengths: list[int], prefixes: list[str] | None = None) -> Column:
     """Distinct substrings of a text whose length is one of the given lengths.
 
     One regular-expression pass takes the text ahead of every position, up to
     the longest length, so cost is linear in the text; the substrings are
-    prefixes of those pieces.
+    prefixes of those pieces. Given the possible ``prefixes`` (all of one
+    length), positions that start none of them fall out first.
     """
     longest = max(lengths)
-    pieces = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{longest}}}))"), F.lit(1)))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{longest}}}))"), F.lit(1))
+    if prefixes:
+        first = len(prefixes[0])
+        pieces = F.filter(pieces, lambda p: F.left(p, F.lit(first)).isin(prefixes))
     wanted = F.array(*[F.lit(n) for n in lengths])
     cut = F.flatten(
         F.transform(
-            pieces,
+            F.array_distinct(pieces),
             lambda p: F.transform(F.filter(wanted, lambda n: n <= F.length(p)), lambda n: F.left(p, n)),
         )
     )
@@ -104,13 +109,20 @@ def find_terms(texts: DataFrame, keep: list[str], text_col: str, terms: DataFram
     each hit; the text itself is not carried past the explode. Equality join
     on the substrings whose length is a term length: no cross join and no
     residual ``contains``. One measuring pass over the terms gives their size
-    and the few distinct lengths: a small table is broadcast, a large one is
-    joined by shuffle and adaptive execution splits hot terms.
+    and the few distinct lengths: a small table is broadcast and its term
+    beginnings filter positions before the explode; a large one is joined by
+    shuffle, and adaptive execution splits hot terms.
     """
     terms = terms.where(F.length("term") > 0)
-    size, lengths = terms.agg(
-        F.sum(row_bytes(terms)), F.sort_array(F.collect_set(F.length("term")))
+    rows, size, lengths = terms.agg(
+        F.count("*"), F.sum(row_bytes(terms)), F.sort_array(F.collect_set(F.length("term")))
     ).first()
     lengths = list(lengths) or [1]
-    pieces = texts.select(*keep, F.explode(substrings_of_lengths(F.col(text_col), lengths)).alias("term"))
+    prefixes = None
+    if 0 < rows <= PREFIX_ROWS:
+        first = F.left("term", F.lit(min(lengths[0], 4)))
+        prefixes = [r[0] for r in terms.select(first).distinct().collect()]
+    pieces = texts.select(
+        *keep, F.explode(substrings_of_lengths(F.col(text_col), lengths, prefixes)).alias("term")
+    )
     return pieces.join(F.broadcast(terms) if (size or 0) <= BROADCAST_BYTES else terms, "term")
