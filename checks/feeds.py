@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexmill import fixed
-from lexmill.operators.common import checkpoint_dir
+from lexmill.operators.common import checkpoint_dir, spread_scan
 
 WORD = "[a-zà-ÿ]+"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents with enough tasks for work on whole texts."""
+    return spread_scan(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+
+
 def hira(c) -> Column:
     return F.translate(c, LETTERS, HIRA)
 
@@ -55,10 +60,16 @@ def stored(spark, sf, name: str, make) -> DataFrame:
 
 
 def tokens(spark, sf, name="documents", keys=("doc_id", "lang"), text="text") -> DataFrame:
-    return table(spark, sf, name).select(*keys, F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("w"))
+    source = documents(spark, sf) if name == "documents" else table(spark, sf, name)
+    return source.select(*keys, F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("w"))
 
 
 def vocabulary(spark, sf) -> DataFrame:
+    """Distinct words with their counts; most feeds start here, so it is stored."""
+    return stored(spark, sf, "vocabulary", count_words)
+
+
+def count_words(spark, sf) -> DataFrame:
     return tokens(spark, sf).groupBy("w").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 

@@ -195,7 +195,7 @@ def q_terms_in_documents(spark, sf):
     from lexmill.operators.common import find_terms
 
     terms = fd.tokens(spark, sf, "benchmark", ("item_id",)).where(F.length("w") >= 8).select(F.col("w").alias("term")).distinct()
-    docs = fd.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    docs = fd.documents(spark, sf).select("doc_id", F.lower("text").alias("text"))
     return find_terms(docs, ["doc_id"], "text", terms).groupBy("term").agg(F.count("*").alias("docs"))
 
 

@@ -14,7 +14,7 @@ SEP = fixed.LIST_SEPARATOR
 
 def q_search_text(spark, sf):
     """Search form of whole documents written in katakana."""
-    d = fd.table(spark, sf, "documents")
+    d = fd.documents(spark, sf)
     return d.select("doc_id", F.md5(tx.normalize_search(fd.kata(F.lower("text")))).alias("digest"))
 
 
@@ -30,7 +30,7 @@ SQL_MATCH_KEYS = f"SELECT p_partkey, translate(replace(p_name, ' ', ''), '{fd.LE
 
 
 def q_collapsed_text(spark, sf):
-    return fd.table(spark, sf, "documents").select("doc_id", F.md5(tx.collapse("text")).alias("digest"), F.length(tx.clean("text")).alias("n"))
+    return fd.documents(spark, sf).select("doc_id", F.md5(tx.collapse("text")).alias("digest"), F.length(tx.clean("text")).alias("n"))
 
 
 SQL_COLLAPSED = r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS digest,
@@ -38,7 +38,7 @@ SQL_COLLAPSED = r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '^\s+
 
 
 def q_list_fields(spark, sf):
-    d = fd.table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("."), F.lit("；")).alias("t"))
+    d = fd.documents(spark, sf).select("doc_id", F.replace("text", F.lit("."), F.lit("；")).alias("t"))
     parts = tx.split_list("t")
     return d.select("doc_id", F.size(parts).alias("items"), F.size(tx.non_empty(parts)).alias("distinct_items"),
                     F.md5(tx.join_list(tx.non_empty(parts))).alias("digest"))

@@ -54,6 +54,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Give a plain scan at least one task per core.
+
+    A file with one row group is one task however much work each row needs.
+    Such a scan is hash-partitioned by its key before that work; a table with
+    more splits than cores, as any large one has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.select(key).rdd.getNumPartitions() >= 4 * cores else df.repartition(4 * cores, key)
+
+
 def first_n(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rn") -> DataFrame:
     """First n rows of every key.
 

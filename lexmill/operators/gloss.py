@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lexmill import fixed
 from lexmill.functions import text as tx
 from lexmill.functions.classify import translation_source
-from lexmill.operators.common import find_terms, first_n, ordered_list
+from lexmill.operators.common import cut_lineage, find_terms, first_n, ordered_list
 
 RESULT = "struct<text:string,confidence:double,method:string,needs_repair:boolean>"
 
@@ -234,21 +234,13 @@ def translate_glosses(glosses: DataFrame, tables: DataFrame, reverse: DataFrame
     asked = glosses.select(tx.strip("gloss").alias("gloss"), F.coalesce("major", F.lit("")).alias("major"))
     asked = asked.where(F.col("gloss") != "").distinct()
     chained = asked.select("gloss", "major", template_chain(tx.gloss_key("gloss")).alias("chain"))
-    outer = F.struct(
-        F.lit(0).alias("depth"), F.col("gloss").alias("text"), F.col("major").alias("class"),
-        F.get("chain", F.lit(0))["template"].alias("template"),
-    )
-    inner = F.transform(
-        "chain",
-        lambda c, i: F.struct(
-            (i + 1).alias("depth"), c["inner"].alias("text"), F.lit("").alias("class"),
-            F.get(F.col("chain"), i + 1)["template"].alias("template"),
-        ),
-    )
-    steps = chained.select("gloss", "major", F.explode(F.concat(F.array(outer), inner)).alias("s")).select(
-        "gloss", "major", "s.*"
+    outer = F.struct(F.col("gloss").alias("text"), F.col("major").alias("class"))
+    inner = F.transform("chain", lambda c: F.struct(c["inner"].alias("text"), F.lit("").alias("class")))
+    texts = chained.select(F.explode(F.concat(F.array(outer), inner)).alias("t")).select(
+        F.col("t.text").alias("gloss"), F.col("t.class").alias("major")
     )
-    texts = steps.select(F.col("text").alias("gloss"), F.col("class").alias("major")).distinct()
+    # five lookups start from these texts, so they are stored once
+    texts = cut_lineage(texts.distinct())
     direct = direct_translations(texts, tables, reverse)
     rough = rough_translations(texts, tables)
     solved = texts.join(direct, ["gloss", "major"], "left").join(rough, "gloss", "left").select(
@@ -259,14 +251,44 @@ def translate_glosses(glosses: DataFrame, tables: DataFrame, reverse: DataFrame
         ).alias("direct"),
         _fallback(F.col("gloss"), F.coalesce("rough", "gloss"), F.col("major")).alias("fallback"),
     )
-    merged = steps.join(solved, ["text", "class"]).groupBy("gloss", "major").agg(
+    # every chain meets these rows again; stored, they are solved only once
+    solved = cut_lineage(solved)
+    own = chained.join(solved.withColumnsRenamed({"text": "gloss", "class": "major"}), ["gloss", "major"])
+    settled = (F.size("chain") == 0) | F.col("direct").isNotNull()
+    done = own.where(settled).select("gloss", "major", F.coalesce("direct", "fallback").alias("r"))
+    # only a text that fits a template and is in no dictionary follows its chain
+    open_steps = own.where(~settled).select(
+        "gloss", "major", "fallback", "chain",
+        F.posexplode(F.transform("chain", lambda c: c["inner"])).alias("depth", "text"),
+    )
+    inner_results = solved.where(F.col("class") == "").select(
+        "text", F.col("direct").alias("inner_direct"), F.col("fallback").alias("inner_fallback")
+    )
+    folded = open_steps.join(inner_results, "text").groupBy("gloss", "major").agg(
+        F.first("chain").alias("chain"), F.first("fallback").alias("fallback"),
         F.reverse(
-            F.array_sort(F.collect_list(F.struct("depth", F.col("class").alias("class"), "template", "direct", "fallback")))
-        ).alias("chain")
+            F.array_sort(F.collect_list(F.struct("depth", F.col("inner_direct").alias("direct"), F.col("inner_fallback").alias("fallback"))))
+        ).alias("inside"),
+    )
+    # innermost text first; the template that led to step d takes the text of d to d - 1
+    steps = F.transform(
+        "inside",
+        lambda x: F.struct(
+            F.get(F.col("chain"), x["depth"] + 1)["template"].alias("template"), F.lit("").alias("class"),
+            x["direct"].alias("direct"), x["fallback"].alias("fallback"),
+        ),
+    )
+    outermost = F.array(
+        F.struct(
+            F.get("chain", F.lit(0))["template"].alias("template"), F.col("major").alias("class"),
+            F.lit(None).cast(RESULT).alias("direct"), F.col("fallback").alias("fallback"),
+        )
+    )
+    followed = folded.select(
+        "gloss", "major",
+        F.aggregate(F.concat(steps, outermost), F.lit(None).cast(RESULT), _fold_step).alias("r"),
     )
-    start = F.lit(None).cast(RESULT)
-    folded = F.aggregate("chain", start, _fold_step)
-    return merged.select("gloss", "major", folded.alias("r")).select("gloss", "major", "r.*")
+    return done.unionByName(followed).select("gloss", "major", "r.*")
 
 
 def _fold_step(inner: Column, step: Column) -> Column:
