@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -47,11 +48,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
+    """Store an intermediate table in the shared folder and read it back.
+
+    Later steps start from the stored rows, so a lost executor costs a re-read
+    and not the whole plan, and the join planner knows the table's real size.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint()
+    path = f"{checkpoint_dir(spark)}/lexmill/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def spread_scan(df: DataFrame, key: str) -> DataFrame:
