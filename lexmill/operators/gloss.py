@@ -233,13 +233,13 @@ def translate_glosses(glosses: DataFrame, tables: DataFrame, reverse: DataFrame
     """
     asked = glosses.select(tx.strip("gloss").alias("gloss"), F.coalesce("major", F.lit("")).alias("major"))
     asked = asked.where(F.col("gloss") != "").distinct()
-    chained = asked.select("gloss", "major", template_chain(tx.gloss_key("gloss")).alias("chain"))
+    # the chains and their texts each feed several joins, so both are stored once
+    chained = cut_lineage(asked.select("gloss", "major", template_chain(tx.gloss_key("gloss")).alias("chain")))
     outer = F.struct(F.col("gloss").alias("text"), F.col("major").alias("class"))
     inner = F.transform("chain", lambda c: F.struct(c["inner"].alias("text"), F.lit("").alias("class")))
     texts = chained.select(F.explode(F.concat(F.array(outer), inner)).alias("t")).select(
         F.col("t.text").alias("gloss"), F.col("t.class").alias("major")
     )
-    # five lookups start from these texts, so they are stored once
     texts = cut_lineage(texts.distinct())
     direct = direct_translations(texts, tables, reverse)
     rough = rough_translations(texts, tables)
