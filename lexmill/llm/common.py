@@ -67,6 +67,17 @@ def batches(schema: pa.Schema, columns: list, size: int = 200_000) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + size], f.type) if isinstance(c, np.ndarray) else c[i : i + size] for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def pieces(parts: Iterator[pa.RecordBatch], column: int, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that a text column holds about ``size`` bytes."""
+    for part in parts:
+        _, offsets = text_buffer(part.column(column))
+        i = 0
+        while i < part.num_rows:
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
+            yield part.slice(i, j - i)
+            i = j
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values."""
     x = x ^ (x >> U(32))

@@ -35,12 +35,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexmill.llm.common import U, Powers, batches, longs, merged, mix, ranges, row_keyed, spread, stored, table, text_buffer
+from lexmill.llm.common import U, Powers, batches, longs, merged, mix, pieces, ranges, row_keyed, spread, stored, table, text_buffer
 
 LENGTH = 100
 GRAM = 32
 RUN = 4096
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 
 ONE, TWO = Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F)
 FOUND = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("k", pa.int64()), ("loc", pa.int64())])
@@ -115,7 +115,7 @@ def _found(length: int, gram: int):
     """Rows of a task: one anchor for each (gram, surroundings), and spans that repeat an earlier one of the task."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in pieces(parts, 1):
             key = longs(part.column(0))
             order = np.argsort(key, kind="stable")
             part, key = part.take(pa.array(order)), key[order]
@@ -198,135 +198,149 @@ def _contexts(length: int, gram: int):
             counts = np.diff(lists.offsets.to_numpy())
             row = np.repeat(np.arange(len(k)), counts)
             pos, h, runs = (longs(lists.flatten().field(i)) for i in range(3))
-            for i in range(0, len(row), 100_000):
-                r, p = row[i : i + 100_000], pos[i : i + 100_000]
+            for i in range(0, len(row), 8_000):
+                r, p = row[i : i + 8_000], pos[i : i + 8_000]
                 size = offsets[r + 1] - offsets[r]
                 left, right = np.minimum(side, p), np.minimum(length, size - p)
                 ends = np.r_[0, np.cumsum(left + right)].astype(np.int32)
                 body = data[ranges(offsets[r] + p - left, left + right)]
                 blob = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(ends), pa.py_buffer(body)])
-                yield from batches(CONTEXT, [h[i : i + 100_000], runs[i : i + 100_000], k[r], p, left.astype(np.int32), blob])
+                yield from batches(CONTEXT, [h[i : i + 8_000], runs[i : i + 8_000], k[r], p, left.astype(np.int32), blob])
 
     return run
 
 
-class Suffixes:
-    """Rows of bytes aligned at their anchors, with prefix hashes; a suffix is (row, column)."""
+def _prefix(grid: np.ndarray, base: int) -> np.ndarray:
+    out = np.zeros((len(grid), grid.shape[1] + 1), U)
+    for j in range(grid.shape[1]):
+        out[:, j + 1] = out[:, j] * U(base) + grid[:, j]
+    return out
 
-    def __init__(self, blob: pa.Array, left: np.ndarray, length: int, gram: int):
-        data, offsets = text_buffer(blob)
-        self.length, self.side = length, length - gram
-        self.width = self.side + length
-        size = np.diff(offsets)
-        self.left, self.right = left.astype(np.int64), size - left
-        self.grid = np.zeros((len(size), self.width), np.uint8)
-        column = ranges(self.side - self.left, size)
-        self.grid[np.repeat(np.arange(len(size)), size), column] = data[offsets[0] : offsets[-1]]
-        self.hash = self._prefix(ONE.base)
-        self.power = ONE.to(self.width + 1)[0]
-
-    def _prefix(self, base: int) -> np.ndarray:
-        out = np.zeros((len(self.grid), self.width + 1), U)
-        for j in range(self.width):
-            out[:, j + 1] = out[:, j] * U(base) + self.grid[:, j] + U(1)
-        return out
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """(row, column) of every whole window around the anchors."""
-        column = np.arange(self.side + 1)
-        fits = (self.left[:, None] >= self.side - column) & (self.right[:, None] >= self.length - (self.side - column))
-        return np.nonzero(fits)
-
-    def window_hash(self, row: np.ndarray, col: np.ndarray, base: int) -> np.ndarray:
-        table = self.hash if base == ONE.base else self._prefix(base)
-        return table[row, col + self.length] - table[row, col] * U(pow(base, self.length, 1 << 64))
-
-    def common(self, r1, c1, r2, c2) -> np.ndarray:
-        """Length of the common extension, at most ``length``: binary search over prefix hashes."""
-        low, high = np.zeros(len(r1), np.int64), np.full(len(r1), self.length, np.int64)
-        at1, at2 = self.hash[r1, c1], self.hash[r2, c2]
-        while True:
-            open_ = low < high
-            if not open_.any():
-                return low
+class Suffixes:
+    """Suffixes as rows of a grid (byte + 1, 0 after the end) with prefix polynomial hashes."""
+
+    def __init__(self, grid: np.ndarray):
+        self.grid, self.length = grid, grid.shape[1]
+        self.hash = _prefix(grid, ONE.base).ravel()
+        self.step = self.length + 1
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Length of the common extension of suffixes x and y: binary search over prefix hashes."""
+        x, y = x * self.step, y * self.step
+        low = np.where(self.hash[x + self.length] == self.hash[y + self.length], self.length, 0)
+        high = np.where(low > 0, self.length, self.length - 1)
+        while (low < high).any():
             mid = (low + high + 1) >> 1
-            power = self.power[mid]
-            equal = self.hash[r1, c1 + mid] - at1 * power == self.hash[r2, c2 + mid] - at2 * power
-            low = np.where(open_ & equal, mid, low)
-            high = np.where(open_ & ~equal, mid - 1, high)
-
-    def less(self, r1, c1, r2, c2) -> tuple[np.ndarray, np.ndarray]:
-        """Is the first suffix smaller; are they equal over ``length``."""
-        n = self.common(r1, c1, r2, c2)
-        equal = n == self.length
+            equal = self.hash[x + mid] == self.hash[y + mid]
+            low, high = np.where(equal, mid, low), np.where(equal, high, mid - 1)
+        return low
+
+    def ahead(self, x: np.ndarray, y: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        """Does x come before y; equal suffixes as ``tie`` says."""
+        n = self.common(x, y)
         at = np.minimum(n, self.length - 1)
-        return ~equal & (self.grid[r1, c1 + at] < self.grid[r2, c2 + at]), equal
+        return np.where(n == self.length, tie, self.grid[x, at] < self.grid[y, at])
 
-    def sort(self, row: np.ndarray, col: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Order of the suffixes within each group (groups lie together); equal ones stay in order.
+    def sort(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order of the suffixes within each group (groups lie together), and each one's common length with the one before.
 
         Bottom-up mergesort, all runs of a level at once: the place of an item is
         its place in its own run plus a binary search in the neighbouring run.
+        Every common length is checked byte by byte; a collision of hashes sends
+        its group to a plain comparison.
         """
         start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         size = np.diff(np.r_[start, len(group)])
-        base = np.repeat(start, size)
+        base, total = np.repeat(start, size), np.repeat(size, size)
         local = np.arange(len(group)) - base
-        total = np.repeat(size, size)
         order = np.arange(len(group))
         width = 1
         while width < size.max(initial=0):
             act = np.flatnonzero(total > width)
             pair = local[act] // (2 * width) * (2 * width)
             right = local[act] - pair >= width
-            lo = np.where(right, pair, pair + width)
+            lo = np.minimum(np.where(right, pair, pair + width), total[act])
             hi = np.minimum(np.where(right, pair + width, pair + 2 * width), total[act])
-            lo = np.minimum(lo, hi)
-            first = lo.copy()
-            own = order[act]
-            while (go := lo < hi).any():
-                at = np.flatnonzero(go)
-                mid = (lo[at] + hi[at]) >> 1
-                other = order[base[act[at]] + mid]
-                me = own[at]
-                smaller, equal = self.less(row[other], col[other], row[me], col[me])
-                ahead = smaller | (equal & right[at])
-                lo[at] = np.where(ahead, mid + 1, lo[at])
-                hi[at] = np.where(ahead, hi[at], mid)
-            place = base[act] + np.where(right, pair + (local[act] - pair - width), local[act]) + (lo - first)
+            first, own = lo.copy(), order[act]
+            go = np.flatnonzero(lo < hi)
+            while len(go):
+                mid = (lo[go] + hi[go]) >> 1
+                before = self.ahead(order[base[act[go]] + mid], own[go], right[go])
+                lo[go] = np.where(before, mid + 1, lo[go])
+                hi[go] = np.where(before, hi[go], mid)
+                go = go[lo[go] < hi[go]]
             order = order.copy()
-            order[place] = own
+            order[base[act] + np.where(right, local[act] - width, local[act]) + lo - first] = own
             width *= 2
-        return order
+        x, y = order[:-1], order[1:]
+        shared = np.r_[0, self.common(x, y)]
+        wrong = np.zeros(len(order), bool)
+        for i in range(1, len(order), 20_000):
+            j = slice(i, min(len(order), i + 20_000))
+            a, b = self.grid[order[j.start - 1 : j.stop - 1]], self.grid[order[j]]
+            differ = a != b
+            n = np.where(differ.any(1), differ.argmax(1), self.length)
+            at = np.minimum(n, self.length - 1)[:, None]
+            rises = (np.take_along_axis(a, at, 1) <= np.take_along_axis(b, at, 1)).ravel()
+            wrong[j] = (n != shared[j]) | ~rises
+        wrong[start] = False
+        for g in np.unique(group[order[wrong]]):
+            at = np.flatnonzero(group == g)
+            order[at] = sorted(at, key=lambda i: self.grid[i].tobytes())
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                differ = self.grid[order[a]] != self.grid[order[b]]
+                shared[b] = differ.argmax() if differ.any() else self.length
+        shared[start] = -1
+        return order, shared
+
+
+class Surroundings:
+    """Bytes around anchors: right of each (its suffix) and left of each, read backwards."""
+
+    def __init__(self, blob: pa.Array, left: np.ndarray, length: int, gram: int):
+        data, offsets = text_buffer(blob)
+        self.length, self.side = length, length - gram
+        size = np.diff(offsets)
+        self.left, self.right = left.astype(np.int64), size - left
+        grid = np.zeros((len(size), self.side + length), np.uint8)
+        grid[np.repeat(np.arange(len(size)), size), ranges(self.side - self.left, size)] = data[offsets[0] : offsets[-1]] + np.uint8(1)
+        self.grid = grid
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of every whole window around the anchors."""
+        column = np.arange(self.side + 1)
+        return np.nonzero((self.left[:, None] >= self.side - column) & (self.right[:, None] >= self.length - (self.side - column)))
+
+    def window_hash(self, row: np.ndarray, col: np.ndarray, base: int) -> np.ndarray:
+        h = _prefix(self.grid, base)
+        return h[row, col + self.length] - h[row, col] * U(pow(base, self.length, 1 << 64))
+
+    def _classes(self, grid: np.ndarray, own: np.ndarray, group: np.ndarray, lengths: np.ndarray):
+        """For every row and length: a number that rows of one group share if they agree so far; and how far a row agrees with any other."""
+        order, shared = Suffixes(np.ascontiguousarray(grid)).sort(group)
+        number = np.empty((len(order), len(lengths)), np.int32)
+        number[order] = np.cumsum(shared[:, None] < lengths, axis=0, dtype=np.int32)
+        most = np.empty(len(order), np.int64)
+        most[order] = np.maximum(shared, np.r_[shared[1:], -1])
+        return number, np.minimum(most, own)
 
     def repeats(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, column) of every window equal to one of an earlier row of its group; rows come in text order."""
-        row, col = self.windows()
-        by = np.lexsort((row, col, group[row]))
-        row, col = row[by], col[by]
-        key = group[row] * np.int64(self.side + 1) + col
-        order = self.sort(row, col, key)
-        row, col, key = row[order], col[order], key[order]
-        _, equal = self.less(row[:-1], col[:-1], row[1:], col[1:]) if len(row) > 1 else (None, np.zeros(0, bool))
-        equal &= key[1:] == key[:-1]
-        at = np.flatnonzero(equal)
-        bad = set()
-        span = np.arange(self.length)
-        for i in range(0, len(at), 50_000):
-            x = at[i : i + 50_000]
-            same = (self.grid[row[x, None], col[x, None] + span] == self.grid[row[x + 1, None], col[x + 1, None] + span]).all(1)
-            bad.update(key[x[~same]].tolist())
-        again = np.r_[False, equal]
-        for k in bad:  # a hash collision: compare this group's strings themselves
-            seen = set()
-            for i in sorted(np.flatnonzero(key == k), key=lambda i: row[i]):
-                text = self.grid[row[i], col[i] : col[i] + self.length].tobytes()
-                again[i] = text in seen
-                seen.add(text)
-        return row[again], col[again]
-
-
-def _sorted_groups(parts: Iterator[pa.RecordBatch], limit: int = 30_000) -> Iterator[pa.Table]:
+        """(row, bytes left of the anchor) of every window equal to one of an earlier row of its group; rows come in text order."""
+        lefts = np.arange(self.side + 1)
+        ahead, far = self._classes(self.grid[:, self.side :], self.right, group, self.length - lefts)
+        back, near = self._classes(self.grid[:, self.side - 1 :: -1] if self.side else self.grid[:, :0], self.left, group, lefts)
+        first = np.maximum(0, self.length - far)
+        count = np.maximum(0, np.minimum(near, self.side) - first + 1)
+        row, left = np.repeat(np.arange(len(group)), count), ranges(first, count)
+        key = (left << 56) | (ahead[row, left].astype(np.int64) << 28) | back[row, left]
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        again = by[1:][key[1:] == key[:-1]]
+        return row[again], left[again]
+
+
+def _sorted_groups(parts: Iterator[pa.RecordBatch], limit: int = 16_000) -> Iterator[pa.Table]:
     """Tables of whole (h, run) groups from sorted batches."""
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -359,9 +373,8 @@ def _repeated(length: int, gram: int):
         for t in _sorted_groups(parts):
             h, r, k, pos, left = (longs(t.column(i).combine_chunks()) for i in range(5))
             group = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) - 1
-            s = Suffixes(t.column(5).combine_chunks(), left, length, gram)
-            row, col = s.repeats(group)
-            start = pos[row] + col - s.side
+            row, before = Surroundings(t.column(5).combine_chunks(), left, length, gram).repeats(group)
+            start = pos[row] - before
             yield from batches(INTERVALS, list(merged(k[row], start, start + length)))
 
     return run
@@ -372,10 +385,10 @@ def _windows(length: int, gram: int):
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for i in range(0, part.num_rows, 10_000):
-                t = part.slice(i, 10_000)
+            for i in range(0, part.num_rows, 4_000):
+                t = part.slice(i, 4_000)
                 k, pos, left = longs(t.column(2)), longs(t.column(3)), longs(t.column(4))
-                s = Suffixes(t.column(5), left, length, gram)
+                s = Surroundings(t.column(5), left, length, gram)
                 row, col = s.windows()
                 w1, w2 = (s.window_hash(row, col, b.base).view(np.int64) for b in (ONE, TWO))
                 yield from batches(WINDOWS, [w1, w2, k[row], pos[row] + col - s.side])
