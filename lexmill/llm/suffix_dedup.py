@@ -16,9 +16,10 @@ input, overlaps count.
    and by the byte after it. Neighbours that share LENGTH bytes are one string;
    each such claim is checked byte by byte, and a collision sends its run to a
    plain comparison.
-3. Groups are cut into runs of ``RUN`` anchors. Runs of one gram meet through
-   128-bit window hashes, minima combined before the shuffle, so a gram that a
-   third of all documents hold is never in one task.
+3. Groups are cut into runs of ``RUN`` anchors. The windows that are new in their
+   run meet those of other runs by two 64-bit hashes, minima combined before the
+   shuffle, so a gram that a third of all documents hold is never sorted in one
+   task.
 
 Defined cases: null or empty text has 0 bytes; texts shorter than LENGTH keep
 all; rows with equal or null ids are separate documents, ordered by (id, nulls
@@ -39,15 +40,14 @@ from lexmill.llm.common import U, Powers, batches, longs, merged, mix, pieces, r
 
 LENGTH = 100
 GRAM = 32
-RUN = 4096
+RUN = 1024
 SEGMENT = 1 << 19
 
 ONE, TWO = Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F)
 FOUND = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("k", pa.int64()), ("loc", pa.int64())])
 SPANS = pa.schema([("k", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64()), ("run", pa.int64())])
 CONTEXT = pa.schema([("h", pa.int64()), ("run", pa.int64()), ("k", pa.int64()), ("pos", pa.int64()), ("l", pa.int32()), ("bytes", pa.binary())])
-INTERVALS = pa.schema([("k", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("k", pa.int64()), ("p", pa.int64())])
+INTERVALS = pa.schema([("k", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64())])
 # loc packs position, bytes to the left and bytes to the right
 LEFT_BITS, RIGHT_BITS = 10, 10
 
@@ -367,31 +367,28 @@ def _sorted_groups(parts: Iterator[pa.RecordBatch], limit: int = 16_000) -> Iter
 
 
 def _repeated(length: int, gram: int):
-    """Spans that repeat inside one run of a gram, by suffix sort."""
+    """Spans that repeat inside one run of a gram, by suffix sort; of grams with several runs also each window that does not.
+
+    Such a window has two independent hashes in w1 and w2 and no end.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _sorted_groups(parts):
             h, r, k, pos, left = (longs(t.column(i).combine_chunks()) for i in range(5))
+            wide = t.column(6).combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
             group = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) - 1
-            row, before = Surroundings(t.column(5).combine_chunks(), left, length, gram).repeats(group)
+            s = Surroundings(t.column(5).combine_chunks(), left, length, gram)
+            row, before = s.repeats(group)
             start = pos[row] - before
-            yield from batches(INTERVALS, list(merged(k[row], start, start + length)))
-
-    return run
-
-
-def _windows(length: int, gram: int):
-    """Two independent hashes of every window around the anchors of grams with several runs."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for i in range(0, part.num_rows, 4_000):
-                t = part.slice(i, 4_000)
-                k, pos, left = longs(t.column(2)), longs(t.column(3)), longs(t.column(4))
-                s = Surroundings(t.column(5), left, length, gram)
-                row, col = s.windows()
-                w1, w2 = (s.window_hash(row, col, b.base).view(np.int64) for b in (ONE, TWO))
-                yield from batches(WINDOWS, [w1, w2, k[row], pos[row] + col - s.side])
+            owner, a, b = merged(k[row], start, start + length)
+            none = np.zeros(len(a), np.int64)
+            yield from batches(INTERVALS, [owner, a, b, none, none])
+            if wide.any():
+                fresh, col = s.windows()
+                keep = wide[fresh] & ~np.isin(fresh * np.int64(length) + s.side - col, row * np.int64(length) + before)
+                fresh, col = fresh[keep], col[keep]
+                w1, w2 = (s.window_hash(fresh, col, p.base).view(np.int64) for p in (ONE, TWO))
+                yield from batches(INTERVALS, [k[fresh], pos[fresh] + col - s.side, np.full(len(fresh), -1, np.int64), w1, w2])
 
     return run
 
@@ -441,12 +438,14 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     certain = spans.where("run < 0").select("k", "a", "b")
     wanted = spans.where("run >= 0").groupBy("k").agg(F.collect_list(F.struct("a", "h", "run")).alias("at"))
     contexts = stored(texts.join(wanted, texts["_k"] == wanted["k"]).select("_k", "text", "at").mapInArrow(_contexts(length, gram), "h long, run long, k long, pos long, l int, bytes binary"))
-    in_run = contexts.repartition("h", "run").sortWithinPartitions("h", "run", "k", "pos").mapInArrow(_repeated(length, gram), "k long, a long, b long")
-    wide = contexts.select("h", "run").where("run > 0").groupBy("h").agg(F.lit(1).alias("wide"))
-    across = contexts.join(wide, "h", "left_semi").select(*contexts.columns).mapInArrow(_windows(length, gram), "w1 long, w2 long, k long, p long")
-    first = across.groupBy("w1", "w2").agg(F.min(F.struct("k", "p")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = across.join(first, ["w1", "w2"]).where(F.struct("k", "p") > F.col("first"))
-    return certain.unionAll(in_run).unionAll(later.select("k", F.col("p").alias("a"), (F.col("p") + length).alias("b")))
+    wide = contexts.select("h").where("run > 0").distinct().withColumn("wide", F.lit(True))
+    marked = contexts.join(wide, "h", "left").select(*contexts.columns, F.coalesce("wide", F.lit(False)).alias("wide"))
+    ordered = marked.repartition("h", "run").sortWithinPartitions("h", "run", "k", "pos")
+    solved = stored(ordered.mapInArrow(_repeated(length, gram), "k long, a long, b long, w1 long, w2 long"))
+    across = solved.where("b < 0").select("w1", "w2", "k", "a")
+    first = across.groupBy("w1", "w2").agg(F.min(F.struct("k", "a")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = across.join(first, ["w1", "w2"]).where(F.struct("k", "a") > F.col("first"))
+    return certain.unionAll(solved.where("b >= 0").select("k", "a", "b")).unionAll(later.select("k", "a", (F.col("a") + length).alias("b")))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
