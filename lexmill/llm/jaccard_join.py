@@ -5,11 +5,11 @@ shingles. No pair is lost and no pair is listed for its own sake.
 
 1. Documents of equal sets become one class (a 64-bit fingerprint of the set).
 2. Every class posts its least-hash shingles, a prefix so long that two similar
-   classes share at least ``slack`` of them. A list of one class falls out; all
-   classes of a list go to the bucket of its least class.
-3. A list longer than ``BUCKET`` is skipped by all classes that hold fewer such
-   lists than their slack: a partner then meets them in a shorter one. The
-   others follow it, in blocks of ``BUCKET`` that meet in pairs.
+   classes share several of them. A list of one class falls out; all classes of
+   a list go to the bucket of its least class.
+3. A class with too few shared shingles falls out, and each may put aside some of
+   its lists, overlong ones first, as partners still meet in another. A bucket of
+   more than ``BUCKET`` classes is dealt in blocks that meet in pairs.
 4. Inside a bucket a T-occurrence search over its inverted lists: with overlap T
    needed, the L longest lists of a set are put aside, the short ones are merged,
    and what occurs T - L times there is probed in the long ones by binary search.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from lexmill.llm.common import U, Powers, batches, longs, mix, spread, stored, table, text_buffer
 from lexmill.llm.components import components
@@ -38,6 +38,7 @@ PERCENT = 75
 BUCKET = 2048
 CHUNK = 1 << 20
 TOKEN_BITS = 40
+SLACK = 10
 
 BASE = Powers(0xD1342543DE82EF95)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -101,8 +102,8 @@ def fingerprint(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s ^ U(0x9FB21C651E98DF25)).sum(dtype=U) + U(len(s))], U)).view(np.int64)[0])
 
 
-def slack(n):
-    return 1 + n // 25
+def slack(n: int) -> int:
+    return 1 + n // SLACK
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -323,18 +324,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS)
     return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))).mapInArrow(_signatures(words), f"id {kind}, n long, f long")
 
 
-def _routes(members: DataFrame, classes: DataFrame, bucket: int) -> DataFrame:
-    """(leader, f) of every class that has to be compared in the leader's bucket."""
-    over = members.where("long").select("token").distinct()
-    marked = members.join(over.withColumn("over", F.lit(True)), "token", "left")
-    held = marked.where("over").groupBy("f").agg(F.count("*").alias("q")).join(classes, "f")
-    follow = held.where(F.col("q") * 4 >= 3 * slack_column(F.col("n"))).select("f", F.lit(True).alias("follow"))
-    keep = marked.join(follow, "f", "left").where("over is null or follow")
-    return keep.groupBy("leader", "f").agg(F.lit(1).alias("one")).select("leader", "f")
-
+def _routes(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(leader, f) of every class that has to be compared in the leader's bucket.
 
-def slack_column(n: Column) -> Column:
-    return F.floor(n / 25) + 1
+    Similar classes share at least ``need`` posted tokens. A class with fewer
+    shared tokens has no partner. Each class may put aside less than half of that
+    number: two partners then still keep one token in common. It puts aside those
+    of overlong lists, then those of the leaders it shares least with.
+    """
+    over = members.where("long").select("token").distinct()
+    marked = members.join(over.withColumn("over", F.lit(1)), "token", "left")
+    shared = marked.groupBy("f", "leader").agg(F.count("*").alias("c"), F.max(F.coalesce("over", F.lit(0))).alias("over")).join(classes, "f")
+    need = F.floor(F.col("n") * percent / (100 * SLACK)) + 1
+    running = W.partitionBy("f").orderBy(F.desc("over"), "c", "leader").rowsBetween(W.unboundedPreceding, 0)
+    ranked = shared.withColumn("aside", F.sum("c").over(running)).withColumn("all", F.sum("c").over(W.partitionBy("f")))
+    return ranked.where((F.col("all") >= need) & (F.col("aside") > F.floor((need - 1) / 2))).select("leader", "f")
 
 
 def class_links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT, bucket: int = BUCKET) -> DataFrame:
@@ -342,7 +346,7 @@ def class_links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str,
     posted = spread(docs.select(F.col(text_col).alias("t"))).mapInArrow(_postings(words, percent), "token long, f long")
     members = stored(posted.repartition("token").sortWithinPartitions("token", "f").mapInArrow(_members(bucket), "token long, leader long, f long, long boolean"))
     classes = signed.where("f is not null").groupBy("f").agg(F.max("n").alias("n"), F.min("id").alias("id"))
-    routes = stored(_routes(members, classes, bucket))
+    routes = stored(_routes(members, classes, percent))
     size = routes.groupBy("leader").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / bucket).cast("int")
     mine = F.pmod(F.xxhash64("f"), blocks).cast("int")
