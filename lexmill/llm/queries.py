@@ -1,10 +1,12 @@
 """Registered queries of this folder, each over its whole tables, with SQL where SQL can express it."""
 
 from lexmill.llm.jaccard_join import op9_jaccard_join
+from lexmill.llm.quality import op5_quality_rules
 from lexmill.llm.suffix_dedup import op2_suffix_dedup
 
 #: name -> (function of (spark, sf_dir), SQL or None)
 QUERIES = {
     "op2_suffix_dedup": (op2_suffix_dedup, None),
+    "op5_quality_rules": (op5_quality_rules, None),
     "op9_jaccard_join": (op9_jaccard_join, None),
 }
