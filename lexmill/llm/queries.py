@@ -1,12 +1,20 @@
 """Registered queries of this folder, each over its whole tables, with SQL where SQL can express it."""
 
+from lexmill.llm.chat import OP7_SQL, op7_chat_formatting
 from lexmill.llm.jaccard_join import op9_jaccard_join
+from lexmill.llm.mixing import OP8_SQL, op8_mixing
 from lexmill.llm.quality import op5_quality_rules
 from lexmill.llm.suffix_dedup import op2_suffix_dedup
+from lexmill.llm.topk import OP1_SQL, op1_top_k
+from lexmill.llm.urls import OP10_SQL, op10_url_filter
 
 #: name -> (function of (spark, sf_dir), SQL or None)
 QUERIES = {
+    "op1_top_k": (op1_top_k, OP1_SQL),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op5_quality_rules": (op5_quality_rules, None),
+    "op7_chat_formatting": (op7_chat_formatting, OP7_SQL),
+    "op8_mixing": (op8_mixing, OP8_SQL),
     "op9_jaccard_join": (op9_jaccard_join, None),
+    "op10_url_filter": (op10_url_filter, OP10_SQL),
 }
