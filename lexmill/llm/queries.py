@@ -3,6 +3,7 @@
 from lexmill.llm.chat import OP7_SQL, op7_chat_formatting
 from lexmill.llm.jaccard_join import op9_jaccard_join
 from lexmill.llm.mixing import OP8_SQL, op8_mixing
+from lexmill.llm.pieces import op4_sentencepiece
 from lexmill.llm.quality import op5_quality_rules
 from lexmill.llm.suffix_dedup import op2_suffix_dedup
 from lexmill.llm.topk import OP1_SQL, op1_top_k
@@ -12,6 +13,7 @@ from lexmill.llm.urls import OP10_SQL, op10_url_filter
 QUERIES = {
     "op1_top_k": (op1_top_k, OP1_SQL),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
+    "op4_sentencepiece": (op4_sentencepiece, None),
     "op5_quality_rules": (op5_quality_rules, None),
     "op7_chat_formatting": (op7_chat_formatting, OP7_SQL),
     "op8_mixing": (op8_mixing, OP8_SQL),
