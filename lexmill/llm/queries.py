@@ -6,6 +6,7 @@ from lexmill.llm.mixing import OP8_SQL, op8_mixing
 from lexmill.llm.pieces import op4_sentencepiece
 from lexmill.llm.quality import op5_quality_rules
 from lexmill.llm.suffix_dedup import op2_suffix_dedup
+from lexmill.llm.token_files import op6_token_files
 from lexmill.llm.topk import OP1_SQL, op1_top_k
 from lexmill.llm.urls import OP10_SQL, op10_url_filter
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op4_sentencepiece": (op4_sentencepiece, None),
     "op5_quality_rules": (op5_quality_rules, None),
+    "op6_token_files": (op6_token_files, None),
     "op7_chat_formatting": (op7_chat_formatting, OP7_SQL),
     "op8_mixing": (op8_mixing, OP8_SQL),
     "op9_jaccard_join": (op9_jaccard_join, None),
