@@ -1,6 +1,7 @@
 """Registered queries of this folder, each over its whole tables, with SQL where SQL can express it."""
 
 from lexmill.llm.chat import OP7_SQL, op7_chat_formatting
+from lexmill.llm.html import op3_html_extraction
 from lexmill.llm.jaccard_join import op9_jaccard_join
 from lexmill.llm.mixing import OP8_SQL, op8_mixing
 from lexmill.llm.pieces import op4_sentencepiece
@@ -14,6 +15,7 @@ from lexmill.llm.urls import OP10_SQL, op10_url_filter
 QUERIES = {
     "op1_top_k": (op1_top_k, OP1_SQL),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
+    "op3_html_extraction": (op3_html_extraction, None),
     "op4_sentencepiece": (op4_sentencepiece, None),
     "op5_quality_rules": (op5_quality_rules, None),
     "op6_token_files": (op6_token_files, None),
