@@ -115,7 +115,7 @@ def _found(length: int, gram: int):
     """Rows of a task: one anchor for each (gram, surroundings), and spans that repeat an earlier one of the task."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(parts, 1):
+        for part in pieces(parts, 1, 1 << 22):
             key = longs(part.column(0))
             order = np.argsort(key, kind="stable")
             part, key = part.take(pa.array(order)), key[order]
@@ -340,7 +340,7 @@ class Surroundings:
         return row[again], left[again]
 
 
-def _sorted_groups(parts: Iterator[pa.RecordBatch], limit: int = 16_000) -> Iterator[pa.Table]:
+def _sorted_groups(parts: Iterator[pa.RecordBatch], limit: int = 5_000) -> Iterator[pa.Table]:
     """Tables of whole (h, run) groups from sorted batches."""
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -393,35 +393,34 @@ def _repeated(length: int, gram: int):
     return run
 
 
-def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts, kept bytes' digest and removed spans of each document."""
-    for part in parts:
-        data, offsets = text_buffer(part.column(2))
-        lists = part.column(3)
-        at = lists.offsets.to_numpy()
-        a, b = (longs(lists.flatten().field(i)) for i in range(2))
-        base = at[0]
-        counts = np.diff(at)
-        owner, a, b = merged(np.repeat(np.arange(len(counts)), counts), a, b)
-        edge = np.searchsorted(owner, np.arange(len(counts) + 1))
-        rows = []
-        for i in range(len(counts)):
-            lo, hi = int(offsets[i]), int(offsets[i + 1])
-            spans = [(int(x), int(y)) for x, y in zip(a[edge[i] : edge[i + 1]], b[edge[i] : edge[i + 1]], strict=True)]
-            digest, now, kept = hashlib.sha256(), lo, []
-            for x, y in spans:
-                kept.append(data[now : lo + x].tobytes())
-                now = lo + y
-            kept.append(data[now:hi].tobytes())
-            whole = b"".join(kept)
-            digest.update(whole)
-            rows.append((hi - lo, hi - lo - len(whole), len(spans), digest.hexdigest(), [v for s in spans for v in s], whole))
-        del base
-        n, gone, runs, sha, flat, whole = zip(*rows, strict=True) if rows else ([],) * 6
-        yield pa.RecordBatch.from_arrays(
-            [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(flat, pa.list_(pa.int64())), pa.array(whole, pa.binary())],
-            names=["_k", "_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"],
-        )
+def _cut(with_text: bool):
+    """Counts, kept bytes' digest and removed spans of each document; the kept bytes too if asked for."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(parts, 2, 1 << 22):
+            data, offsets = text_buffer(part.column(2))
+            lists = part.column(3)
+            counts = np.diff(lists.offsets.to_numpy())
+            a, b = (longs(lists.flatten().field(i)) for i in range(2))
+            owner, a, b = merged(np.repeat(np.arange(len(counts)), counts), a, b)
+            edge = np.searchsorted(owner, np.arange(len(counts) + 1))
+            rows = []
+            for i in range(len(counts)):
+                lo, hi = int(offsets[i]), int(offsets[i + 1])
+                spans = list(zip(a[edge[i] : edge[i + 1]].tolist(), b[edge[i] : edge[i + 1]].tolist(), strict=True))
+                kept, now = [], lo
+                for x, y in spans:
+                    kept.append(data[now : lo + x])
+                    now = lo + y
+                whole = b"".join([*kept, data[now:hi]])
+                rows.append((hi - lo, hi - lo - len(whole), len(spans), hashlib.sha256(whole).hexdigest(), [v for s in spans for v in s], whole if with_text else None))
+            n, gone, runs, sha, flat, whole = zip(*rows, strict=True) if rows else ([],) * 6
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(flat, pa.list_(pa.int64())), pa.array(whole, pa.binary())],
+                names=["_k", "_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"],
+            )
+
+    return run
 
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -448,15 +447,15 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return certain.unionAll(solved.where("b >= 0").select("k", "a", "b")).unionAll(later.select("k", "a", (F.col("a") + length).alias("b")))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end, ...) and kept (bytes)."""
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end, ...) and kept (bytes, null without ``with_text``)."""
     keyed = row_keyed(docs, id_col, text_col).withColumnRenamed(text_col, "text").withColumnRenamed(id_col, "_id")
     spans = repeated_spans(keyed, length, gram)
     lists = spans.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     joined = keyed.join(lists, keyed["_k"] == lists["k"], "left").select("_k", "_id", "text", F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"))
-    out = joined.mapInArrow(_cut, f"_k long, _id {dict(keyed.dtypes)['_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary")
+    out = joined.mapInArrow(_cut(with_text), f"_k long, _id {dict(keyed.dtypes)['_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary")
     return out.select(F.col("_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup(table(spark, sf, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
