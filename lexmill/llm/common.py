@@ -30,19 +30,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
-def row_keyed(df: DataFrame, id_col: str, text_col: str, key: str = "_k") -> DataFrame:
-    """Columns (key, id, text) with a unique long ``key`` that orders rows by id.
+def row_keyed(df: DataFrame, id_col: str, text_col: str, key: str = "_k", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Columns (key, id, text, carry ...) with a unique long ``key`` that orders rows by id.
 
     Unique ids are their own key. Where ids repeat or are null, rows are numbered
     in the order (id, nulls first; then text) and stored.
     """
-    base = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    base = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *carry)
     odd = base.groupBy("_id").count().where((F.col("count") > 1) | F.col("_id").isNull()).limit(1).count()
+    named = [F.col("_id").alias(id_col), F.col("_text").alias(text_col), *carry]
     if not odd:
-        return base.select(F.col("_id").cast("long").alias(key), F.col("_id").alias(id_col), F.col("_text").alias(text_col))
-    ordered = base.repartitionByRange(F.col("_id"), F.col("_text")).sortWithinPartitions("_id", "_text")
-    numbered = ordered.select(F.monotonically_increasing_id().alias(key), F.col("_id").alias(id_col), F.col("_text").alias(text_col))
-    return stored(numbered)
+        return base.select(F.col("_id").cast("long").alias(key), *named)
+    ordered = base.repartitionByRange("_id", "_text").sortWithinPartitions("_id", "_text")
+    return stored(ordered.select(F.monotonically_increasing_id().alias(key), *named))
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

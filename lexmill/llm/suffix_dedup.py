@@ -413,11 +413,11 @@ def _cut(with_text: bool):
                     kept.append(data[now : lo + x])
                     now = lo + y
                 whole = b"".join([*kept, data[now:hi]])
-                rows.append((hi - lo, hi - lo - len(whole), len(spans), hashlib.sha256(whole).hexdigest(), [v for s in spans for v in s], whole if with_text else None))
+                rows.append((hi - lo, hi - lo - len(whole), len(spans), hashlib.sha256(whole).hexdigest(), [v for s in spans for v in s], whole.decode("utf-8", "ignore") if with_text else None))
             n, gone, runs, sha, flat, whole = zip(*rows, strict=True) if rows else ([],) * 6
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(flat, pa.list_(pa.int64())), pa.array(whole, pa.binary())],
-                names=["_k", "_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"],
+                [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(flat, pa.list_(pa.int64())), pa.array(whole, pa.string()), part.column(4)],
+                names=["_k", "_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "carry"],
             )
 
     return run
@@ -447,14 +447,19 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return certain.unionAll(solved.where("b >= 0").select("k", "a", "b")).unionAll(later.select("k", "a", (F.col("a") + length).alias("b")))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end, ...) and kept (bytes, null without ``with_text``)."""
-    keyed = row_keyed(docs, id_col, text_col).withColumnRenamed(text_col, "text").withColumnRenamed(id_col, "_id")
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end, ...), kept, and the columns ``carry``.
+
+    ``kept`` is the text left, null without ``with_text``; bytes of a character that was cut go with it.
+    """
+    held = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.struct(F.lit(True).alias("_row"), *carry).alias("carry"))
+    keyed = row_keyed(held, "_id", "text", carry=("carry",))
     spans = repeated_spans(keyed, length, gram)
     lists = spans.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    joined = keyed.join(lists, keyed["_k"] == lists["k"], "left").select("_k", "_id", "text", F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"))
-    out = joined.mapInArrow(_cut(with_text), f"_k long, _id {dict(keyed.dtypes)['_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary")
-    return out.select(F.col("_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")
+    joined = keyed.join(lists, keyed["_k"] == lists["k"], "left").select("_k", "_id", "text", F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"), "carry")
+    kinds = {f.name: f.dataType.simpleString() for f in joined.schema}
+    out = joined.mapInArrow(_cut(with_text), f"_k long, _id {kinds['_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept string, carry {kinds['carry']}")
+    return out.select(F.col("_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", *[F.col("carry")[c].alias(c) for c in carry])
 
 
 def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
