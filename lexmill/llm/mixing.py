@@ -52,9 +52,9 @@ def topic_of(words: Column, topics: int = TOPICS) -> Column:
     return F.when(word == "", F.lit(-1).cast("long")).otherwise(bucket)
 
 
-def with_tokens(docs: DataFrame, text_col: str = "text", topic: Column | None = None) -> DataFrame:
+def with_tokens(docs: DataFrame, text: Column, topic: Column | None = None) -> DataFrame:
     """``docs`` with n_tokens (words) and topic."""
-    lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
+    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     both = let(words_of(lowered), lambda w: F.struct(F.size(w).cast("long").alias("n"), (topic if topic is not None else topic_of(w)).alias("t")))
     return docs.withColumn("_both", both).withColumns({"n_tokens": F.col("_both.n"), "topic": F.col("_both.t")}).drop("_both")
 
@@ -89,25 +89,28 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", **options) -> DataFrame:
-    """``docs`` with n_tokens, topic, probability and kept. ``docs`` is stored once with its tokens counted."""
-    counted = stored(with_tokens(docs, text_col))
-    side = {"source": F.coalesce(F.col(source_col), F.lit("")), "lang": F.coalesce(F.col(lang_col), F.lit("")), "topic": F.col("topic")}
+def _drawn(counted: DataFrame, doc_id: Column, source: Column, lang: Column, **options) -> DataFrame:
+    """Stored rows with n_tokens and topic, and _source, _lang, probability and kept."""
+    side = {"source": F.coalesce(source, F.lit("")), "lang": F.coalesce(lang, F.lit("")), "topic": F.col("topic")}
     cells = counted.groupBy(*[c.alias(n) for n, c in side.items()]).agg(F.sum("n_tokens").alias("base"))
     fitted = stored(fitted_cells(cells, **options)).select(*[F.col(s).alias(f"_{s}") for s in SIDES], "probability")
     at = (side["source"] == F.col("_source")) & (side["lang"] == F.col("_lang")) & (side["topic"] == F.col("_topic"))
-    return counted.join(fitted, at).select(*counted.columns, "probability", (draw(F.col(id_col)) < F.col("probability")).alias("kept"))
+    return counted.join(fitted, at).withColumn("kept", draw(doc_id) < F.col("probability"))
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, **options) -> DataFrame:
+    """``docs`` with n_tokens, topic, probability and kept (columns of these names are replaced); rows are stored once."""
+    row = F.col("_row")
+    counted = stored(with_tokens(docs.select(F.struct(*docs.columns).alias("_row")), row[text_col], topic))
+    new = ["n_tokens", "topic", "probability", "kept"]
+    return _drawn(counted, row[id_col], row[source_col], row[lang_col], **options).select(*[row[c].alias(c) for c in docs.columns if c not in new], *new)
 
 
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
-    counted = with_tokens(docs).drop("text")
-    counted = stored(counted)
-    side = {"source": F.coalesce("source", F.lit("")), "lang": F.coalesce("lang", F.lit("")), "topic": F.col("topic")}
-    cells = counted.groupBy(*[c.alias(n) for n, c in side.items()]).agg(F.sum("n_tokens").alias("base"))
-    fitted = fitted_cells(cells).drop("base")
-    rows = counted.select("doc_id", *[c.alias(n) for n, c in side.items()], "n_tokens")
-    return rows.join(fitted, list(SIDES)).select("doc_id", *SIDES, "n_tokens", "probability", (draw(F.col("doc_id")) < F.col("probability")).alias("kept"))
+    counted = stored(with_tokens(docs, F.col("text")).drop("text"))
+    rows = _drawn(counted, F.col("doc_id"), F.col("source"), F.col("lang"))
+    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic", "n_tokens", "probability", "kept")
 
 
 def _sql() -> str:

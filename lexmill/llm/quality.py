@@ -104,8 +104,8 @@ def text_counts(text: Column) -> dict[str, Column]:
     }
 
 
-def with_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    out = docs.withColumns(text_counts(F.col(text_col)))
+def with_counts(docs: DataFrame, text: Column) -> DataFrame:
+    out = docs.withColumns(text_counts(text))
     out = out.withColumns({"n_words": F.col("_words.n"), "n_repeat_words": F.col("_words.r")}).drop("_words")
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
@@ -175,10 +175,10 @@ def fit(vectors: DataFrame) -> DataFrame:
     return stored(estimate.join(half, GROUP).withColumn("scale", scale).drop("half"))
 
 
-def with_verdict(counted: DataFrame, lang_col: str, source_col: str) -> DataFrame:
+def with_verdict(counted: DataFrame, lang: Column, source: Column) -> DataFrame:
     """``counted`` with d2 (scaled squared distance) and kept; ``counted`` is read several times, so it should be stored."""
     columns = counted.columns
-    rows = counted.select("*", *vector(), F.coalesce(F.col(lang_col), F.lit("")).alias("lang_"), F.coalesce(F.col(source_col), F.lit("")).alias("source_"))
+    rows = counted.select("*", *vector(), F.coalesce(lang, F.lit("")).alias("lang_"), F.coalesce(source, F.lit("")).alias("source_"))
     points = rows.groupBy("lang_", "source_", *V).agg(F.count("*").alias("w"))
     points = stored(points)
     every = reduce(DataFrame.unionByName, [
@@ -200,11 +200,14 @@ def with_verdict(counted: DataFrame, lang_col: str, source_col: str) -> DataFram
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``docs`` (needed columns only) with the counts, base_failed, d2 and kept."""
-    return with_verdict(stored(with_counts(docs, text_col)), lang_col, source_col)
+    """``docs`` with the counts, base_failed, d2 and kept; columns of these names are replaced."""
+    row = F.col("_row")
+    counted = stored(with_counts(docs.select(F.struct(*docs.columns).alias("_row")), row[text_col]))
+    new = [*BASE, "base_failed", "d2", "kept"]
+    return with_verdict(counted, row[lang_col], row[source_col]).select(*[row[c].alias(c) for c in docs.columns if c not in new], *new)
 
 
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
-    counted = with_counts(docs, "text").drop("text")
-    return with_verdict(stored(counted), "lang", "source").select("doc_id", *BASE, "base_failed", "kept")
+    counted = stored(with_counts(docs, F.col("text")).drop("text"))
+    return with_verdict(counted, F.col("lang"), F.col("source")).select("doc_id", *BASE, "base_failed", "kept")

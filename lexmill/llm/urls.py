@@ -84,17 +84,17 @@ def class_verdicts(edges: DataFrame, rules=RULES) -> DataFrame:
 
 
 def url_filter(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES) -> DataFrame:
-    """``pages`` without html, with host, path, rule and verdict.
+    """``pages`` without html, with host, path, rule and verdict (columns of these names are replaced).
 
     The least verdict of a class is ``allow`` if any rule allows it.
     """
-    keep = [c for c in pages.columns if c != html_col]
+    keep = [c for c in pages.columns if c not in (html_col, "host", "path", "rule", "verdict")]
     rest = rest_of(F.col(url_col))
     host, path = F.coalesce(host_of(rest), F.lit("")), F.coalesce(path_of(rest), F.lit(""))
     judged = pages.select(*keep, host.alias("host"), path.alias("path"), address(rest).alias("_address"), fitting_rule(host, path, rules).alias("_hit"))
-    known = class_verdicts(alias_edges(pages, url_col, html_col), rules)
-    joined = judged.join(known, F.col("_address") == F.col("address"), "left")
-    verdict = F.coalesce("_hit.verdict", "class_verdict", F.lit(ALLOW))
+    known = class_verdicts(alias_edges(pages, url_col, html_col), rules).select(F.col("address").alias("_known"), F.col("class_verdict").alias("_class"))
+    joined = judged.join(known, F.col("_address") == F.col("_known"), "left")
+    verdict = F.coalesce("_hit.verdict", "_class", F.lit(ALLOW))
     return joined.select(*keep, "host", "path", F.col("_hit.rule").alias("rule"), verdict.alias("verdict"))
 
 
