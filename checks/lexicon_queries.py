@@ -183,7 +183,7 @@ SQL_KANJI_INDEX = ACCEPTED + f""",
 k AS (SELECT DISTINCT entry_id, major, unnest({CHARS}) AS kanji FROM accepted),
 f AS (SELECT entry_id, {CHARS}[1] AS kanji FROM accepted WHERE major = '{fixed.NOUN}')
 SELECT kanji, count(*) AS count, (SELECT count(*) FROM f WHERE f.kanji = k.kanji) AS noun_count FROM k GROUP BY kanji
-ORDER BY count DESC, kanji LIMIT 360"""
+ORDER BY count DESC, kanji"""
 
 
 def q_facet_counts(spark, sf):

@@ -9,7 +9,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-PREFIX_ROWS = 20_000
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -80,6 +79,22 @@ def first_n(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rn
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
+def running_totals(df: DataFrame, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that sum each value over all rows before a row, in one global order.
+
+    Rows are dealt by range and stored with their part; the parts' sums are
+    added up first, then each part runs on alone. No window spans all rows.
+    """
+    dealt = cut_lineage(df.withColumns({f"_{n}": v for n, v in values.items()}).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = dealt.groupBy("_part").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in values])
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    base = totals.select(F.col("_part").alias("_p"), *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_base_{n}") for n in values])
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    local = dealt.withColumns({f"_local_{n}": F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0)) for n in values})
+    joined = local.join(base, F.col("_part") == F.col("_p"))
+    return joined.withColumns({n: F.col(f"_base_{n}") + F.col(f"_local_{n}") for n in values}).select(*df.columns, *values)
+
+
 def ordered_list(order: Column, value: Column) -> Column:
     """Aggregate: values of a bounded group in the given order."""
     return F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda x: x["v"])
@@ -95,50 +110,47 @@ def last_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     )
 
 
-def substrings_of_lengths(text: Column, lengths: list[int], prefixes: list[str] | None = None) -> Column:
-    """Distinct substrings of a text whose length is one of the given lengths.
+ANCHORS = (8, 4, 2, 1)
+TEXT_BLOCK = 256
 
-    One regular-expression pass takes the text ahead of every position, up to
-    the longest length, so cost is linear in the text; the substrings are
-    prefixes of those pieces. Given the possible ``prefixes`` (all of one
-    length), positions that start none of them fall out first.
-    """
-    longest = max(lengths)
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{longest}}}))"), F.lit(1))
-    if prefixes:
-        first = len(prefixes[0])
-        pieces = F.filter(pieces, lambda p: F.left(p, F.lit(first)).isin(prefixes))
-    wanted = F.array(*[F.lit(n) for n in lengths])
-    cut = F.flatten(
-        F.transform(
-            F.array_distinct(pieces),
-            lambda p: F.transform(F.filter(wanted, lambda n: n <= F.length(p)), lambda n: F.left(p, n)),
-        )
-    )
-    return F.array_distinct(cut)
+
+def anchor_length(term: Column) -> Column:
+    """Longest of the anchor lengths that a term has."""
+    length = F.length(term)
+    out = None
+    for n in ANCHORS[:-1]:
+        out = F.when(length >= n, n) if out is None else out.when(length >= n, n)
+    return out.otherwise(1)
 
 
 def find_terms(texts: DataFrame, keep: list[str], text_col: str, terms: DataFrame) -> DataFrame:
     """Rows of ``terms`` for every term that occurs inside a text.
 
     ``keep`` names the narrow columns of ``texts`` (id, lengths) that go with
-    each hit; the text itself is not carried past the explode. Equality join
-    on the substrings whose length is a term length: no cross join and no
-    residual ``contains``. One measuring pass over the terms gives their size
-    and the few distinct lengths: a small table is broadcast and its term
-    beginnings filter positions before the explode; a large one is joined by
-    shuffle, and adaptive execution splits hot terms.
+    each hit. A text is cut into blocks that overlap by the longest term; each
+    position of a block gives the piece that starts there, with at most one
+    anchor (its first 8, 4, 2 or 1 characters) for each anchor length that terms
+    have. Anchors meet the terms' anchors by equality and the piece decides. So
+    rows are positions times at most four, at any number of terms, and no long
+    text is one array. Positions are code points. One pass over the terms gives
+    their longest length; a measured small table is broadcast.
     """
     terms = terms.where(F.length("term") > 0)
-    rows, size, lengths = terms.agg(
-        F.count("*"), F.sum(row_bytes(terms)), F.sort_array(F.collect_set(F.length("term")))
-    ).first()
-    lengths = list(lengths) or [1]
-    prefixes = None
-    if 0 < rows <= PREFIX_ROWS:
-        first = F.left("term", F.lit(min(lengths[0], 4)))
-        prefixes = [r[0] for r in terms.select(first).distinct().collect()]
-    pieces = texts.select(
-        *keep, F.explode(substrings_of_lengths(F.col(text_col), lengths, prefixes)).alias("term")
-    )
-    return pieces.join(F.broadcast(terms) if (size or 0) <= BROADCAST_BYTES else terms, "term")
+    words = terms.select("term").distinct().withColumn("anchor", F.left("term", anchor_length(F.col("term"))))
+    longest, classes = words.agg(F.max(F.length("term")), F.collect_set(F.length("anchor"))).first()
+    longest, classes = longest or 1, sorted(classes) or [1]
+    block = max(TEXT_BLOCK, longest)
+    cut = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    overlapping = F.element_at(
+        F.transform(F.array(cut), lambda bs: F.transform(bs, lambda b, i: F.struct(
+            F.length(b).alias("n"), F.concat(b, F.left(F.coalesce(F.get(bs, i + 1), F.lit("")), F.lit(longest - 1))).alias("text")))), 1)
+    blocks = texts.select(*keep, F.explode(overlapping).alias("_block"))
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_block.n")), lambda i: F.substring(F.col("_block.text"), i, longest)))
+    anchored = F.flatten(F.transform(pieces, lambda x: F.filter(
+        F.array(*[F.struct(F.left(x, F.lit(n)).alias("anchor"), x.alias("piece")) for n in classes]), lambda a: F.length(a["anchor"]) <= F.length(x))))
+    if classes != [1]:
+        full = lambda a: F.length(a["anchor"]).isin(classes)
+        anchored = F.filter(anchored, full)
+    starts = blocks.select(*keep, F.explode(anchored).alias("_a")).select(*keep, "_a.anchor", "_a.piece")
+    hits = starts.join(broadcast_if_small(words), "anchor").where(F.startswith("piece", "term")).select(*keep, "term").distinct()
+    return hits.join(broadcast_if_small(terms), "term")

@@ -59,12 +59,17 @@ def reverse_index(bilingual: DataFrame, per_key: int = fixed.REVERSE_MAX_CANDIDA
 # -- template chains ------------------------------------------------------------------
 
 def _inner(key: Column) -> Column:
-    """struct(template, inner) for the first template a key fits, else NULL."""
+    """struct(template, inner) for the first template a key fits, else NULL.
+
+    Every template is a beginning followed by at least one character.
+    """
     specs = [*fixed.TEMPLATES, fixed.TO_TEMPLATE]
     chain = None
     for i, (pattern, *_rest) in enumerate(specs):
-        value = F.struct(F.lit(i).alias("template"), F.regexp_extract(key, pattern, 1).alias("inner"))
-        chain = F.when(key.rlike(pattern), value) if chain is None else chain.when(key.rlike(pattern), value)
+        start = pattern[1 : pattern.index("(")]
+        value = F.struct(F.lit(i).alias("template"), F.substr(key, F.lit(len(start) + 1)).alias("inner"))
+        fits = key.startswith(start) & (F.length(key) > len(start))
+        chain = F.when(fits, value) if chain is None else chain.when(fits, value)
     return chain
 
 
@@ -207,7 +212,8 @@ def _result(text, confidence, method, needs_repair) -> Column:
 
 
 def _finish(text: Column, major: Column) -> Column:
-    return tx.adjust_for_pos(tx.strip_chars(tx.cleanup_machine_text(text), "；、 "), major)
+    clean = F.replace(tx.cleanup_machine_text(text), F.lit("；；"), F.lit("；"))
+    return tx.adjust_for_pos(tx.strip_chars(clean, "；、 "), major)
 
 
 def _fallback(gloss: Column, rough: Column, major: Column) -> Column:
@@ -227,33 +233,28 @@ def _fallback(gloss: Column, rough: Column, major: Column) -> Column:
 def translate_glosses(glosses: DataFrame, tables: DataFrame, reverse: DataFrame | None = None) -> DataFrame:
     """(gloss, major) -> text, confidence, method, needs_repair.
 
-    A template's inner text goes through the same steps, so all texts of all
-    chains are looked up together, once, and each chain is then folded from
-    the inside out in place.
+    Dictionaries come first; only a text they do not answer follows its
+    templates. The inner texts of all chains are looked up together and each
+    chain is folded from the inside out in place. Phrase and word replacement,
+    the dear step, runs on the texts that no dictionary answers.
     """
     asked = glosses.select(tx.strip("gloss").alias("gloss"), F.coalesce("major", F.lit("")).alias("major"))
     asked = asked.where(F.col("gloss") != "").distinct()
-    # the chains and their texts each feed several joins, so both are stored once
-    chained = cut_lineage(asked.select("gloss", "major", template_chain(tx.gloss_key("gloss")).alias("chain")))
-    outer = F.struct(F.col("gloss").alias("text"), F.col("major").alias("class"))
-    inner = F.transform("chain", lambda c: F.struct(c["inner"].alias("text"), F.lit("").alias("class")))
-    texts = chained.select(F.explode(F.concat(F.array(outer), inner)).alias("t")).select(
-        F.col("t.text").alias("gloss"), F.col("t.class").alias("major")
-    )
-    texts = cut_lineage(texts.distinct())
-    direct = direct_translations(texts, tables, reverse)
-    rough = rough_translations(texts, tables)
-    solved = texts.join(direct, ["gloss", "major"], "left").join(rough, "gloss", "left").select(
-        F.col("gloss").alias("text"), F.col("major").alias("class"),
-        F.when(
-            F.col("method").isNotNull(),
-            _result(_finish(F.col("text"), F.col("major")), F.col("confidence"), F.col("method"), F.lit(False)),
-        ).alias("direct"),
-        _fallback(F.col("gloss"), F.coalesce("rough", "gloss"), F.col("major")).alias("fallback"),
+    asked = cut_lineage(asked)
+    found = cut_lineage(_answered(asked, direct_translations(asked, tables, reverse)))
+    chained = found.withColumn("chain", F.when(F.col("direct").isNull(), template_chain(tx.gloss_key("gloss"))).otherwise(F.array().cast("array<struct<template:int,inner:string>>")))
+    inner = chained.where("direct is null").select(F.explode(F.transform("chain", lambda c: c["inner"])).alias("gloss"), F.lit("").alias("major")).distinct()
+    inner = cut_lineage(inner)
+    known = _answered(inner, direct_translations(inner, tables, reverse))
+    texts = cut_lineage(found.withColumn("outer", F.lit(True)).unionByName(known.withColumn("outer", F.lit(False))))
+    rough = rough_translations(texts.where("direct is null"), tables)
+    solved = texts.join(rough, "gloss", "left").select(
+        F.col("gloss").alias("text"), F.col("major").alias("class"), "outer", "direct",
+        F.when(F.col("direct").isNull(), _fallback(F.col("gloss"), F.coalesce("rough", "gloss"), F.col("major"))).alias("fallback"),
     )
     # every chain meets these rows again; stored, they are solved only once
     solved = cut_lineage(solved)
-    own = chained.join(solved.withColumnsRenamed({"text": "gloss", "class": "major"}), ["gloss", "major"])
+    own = chained.drop("direct").join(solved.where("outer").drop("outer").withColumnsRenamed({"text": "gloss", "class": "major"}), ["gloss", "major"])
     settled = (F.size("chain") == 0) | F.col("direct").isNotNull()
     done = own.where(settled).select("gloss", "major", F.coalesce("direct", "fallback").alias("r"))
     # only a text that fits a template and is in no dictionary follows its chain
@@ -261,7 +262,7 @@ def translate_glosses(glosses: DataFrame, tables: DataFrame, reverse: DataFrame
         "gloss", "major", "fallback", "chain",
         F.posexplode(F.transform("chain", lambda c: c["inner"])).alias("depth", "text"),
     )
-    inner_results = solved.where(F.col("class") == "").select(
+    inner_results = solved.where("not outer").select(
         "text", F.col("direct").alias("inner_direct"), F.col("fallback").alias("inner_fallback")
     )
     folded = open_steps.join(inner_results, "text").groupBy("gloss", "major").agg(
@@ -291,6 +292,12 @@ def translate_glosses(glosses: DataFrame, tables: DataFrame, reverse: DataFrame
     return done.unionByName(followed).select("gloss", "major", "r.*")
 
 
+def _answered(texts: DataFrame, direct: DataFrame) -> DataFrame:
+    """(gloss, major, direct): each text with its dictionary result or NULL."""
+    result = _result(_finish(F.col("text"), F.col("major")), F.col("confidence"), F.col("method"), F.lit(False))
+    return texts.join(direct, ["gloss", "major"], "left").select("gloss", "major", F.when(F.col("method").isNotNull(), result).alias("direct"))
+
+
 def _fold_step(inner: Column, step: Column) -> Column:
     specs = [*fixed.TEMPLATES, fixed.TO_TEMPLATE]
     last = len(specs) - 1

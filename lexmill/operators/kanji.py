@@ -40,8 +40,8 @@ def kanji_index(lexicon: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def search_kanji(index: DataFrame, query: str, variants: DataFrame | None = None,
-                 limit: int | None = fixed.KANJI_LIST_LIMIT, compatibility: bool = True) -> DataFrame:
-    """Kanji that match a query by its script: character, kana or romaji."""
+                 limit: int | None = None, compatibility: bool = True) -> DataFrame:
+    """Kanji that match a query by its script: character, kana or romaji; all of them unless the caller asks for a page."""
     if query:
         normal = tx.normalize_search(F.lit(query), compatibility)
         joined = F.concat_ws("、", F.nullif("on_readings", F.lit("")), F.nullif("kun_readings", F.lit("")))
@@ -65,7 +65,8 @@ def search_kanji(index: DataFrame, query: str, variants: DataFrame | None = None
 
 def own_entries(search_terms: DataFrame, lexicon: DataFrame, kanji: str, limit: int = fixed.OWN_ENTRY_LIMIT) -> DataFrame:
     """Entries one of whose exact writings is the kanji, by rank."""
-    ids = search_terms.where((F.col("kind") == "writing") & (F.col("term") == kanji)).select("entry_id").distinct()
+    own = tx.normalize_search(F.lit(kanji))
+    ids = search_terms.where((F.col("kind") == "writing") & (F.col("term") == own)).select("entry_id").distinct()
     return lexicon.join(ids, "entry_id", "left_semi").orderBy(
         F.col("freq_rank").isNull(), "freq_rank", "source_ord"
     ).limit(limit)

@@ -18,7 +18,7 @@ from lexmill import fixed
 from lexmill.functions import classify as cl
 from lexmill.functions import text as tx
 from lexmill.functions.romaji import kana_to_romaji, romaji_variants
-from lexmill.operators.common import find_terms, first_n
+from lexmill.operators.common import cut_lineage, find_terms, first_n
 from lexmill.operators.variants import variant_forms, with_indexed_text
 
 FIELD = "\u0001"
@@ -54,7 +54,8 @@ TEXT_FIELDS = [
 KEPT_FIELDS = ["headword", "reading", "major", "cluster", "level", "ref_level", "transitivity", "kanji", "freq_rank"]
 
 
-def search_docs(lexicon: DataFrame, variants: DataFrame | None = None, compatibility: bool = True) -> DataFrame:
+def search_docs(lexicon: DataFrame, variants: DataFrame | None = None, compatibility: bool = True,
+                variant_limit: int | None = fixed.VARIANT_COMBINATIONS) -> DataFrame:
     """One row per entry with search texts, part labels and part groups.
 
     All text fields travel through NFKC as one string per row.
@@ -89,8 +90,8 @@ def search_docs(lexicon: DataFrame, variants: DataFrame | None = None, compatibi
         F.filter(F.split(F.replace("n.pos", F.lit(ITEM), F.lit(";")), "[；;]"), lambda x: x != "").alias("labels"),
         F.col("n.freq_pos").alias("_fp"),
     )
-    docs = with_indexed_text(docs, "entry_id", "writing_text", variants)
-    docs = with_indexed_text(docs, "entry_id", "all_text", variants)
+    docs = with_indexed_text(docs, "entry_id", "writing_text", variants, variant_limit)
+    docs = with_indexed_text(docs, "entry_id", "all_text", variants, variant_limit)
     groups = cl.part_groups("labels", "major", "transitivity", "_fp")
     return docs.select(
         *[c for c in docs.columns if c not in ("all_text", "_fp")],
@@ -100,7 +101,8 @@ def search_docs(lexicon: DataFrame, variants: DataFrame | None = None, compatibi
     )
 
 
-def search_terms(lexicon: DataFrame, variants: DataFrame | None = None, compatibility: bool = True) -> DataFrame:
+def search_terms(lexicon: DataFrame, variants: DataFrame | None = None, compatibility: bool = True,
+                 variant_limit: int | None = fixed.VARIANT_COMBINATIONS) -> DataFrame:
     """(entry_id, kind, term): exact writing, kanji, reading and romaji terms."""
     keys = lambda items: tx.non_empty(
         F.transform(F.split(tx.normalize_search(F.array_join(items, FIELD), compatibility), FIELD), tx.strip)
@@ -125,7 +127,7 @@ def search_terms(lexicon: DataFrame, variants: DataFrame | None = None, compatib
     if variants is None:
         return rows.distinct()
     written = rows.where(F.col("kind").isin("writing", "kanji") & tx.has_kanji("term"))
-    forms = variant_forms(written, "term", variants)
+    forms = variant_forms(written, "term", variants, variant_limit)
     extra = written.join(forms, "term").select("entry_id", "kind", F.explode("forms").alias("term"))
     return rows.unionByName(extra.where(F.col("term") != "")).distinct()
 
@@ -239,9 +241,10 @@ def matching(docs: DataFrame, request: SearchRequest, variants: DataFrame | None
     for token in query_tokens(request.text):
         found = found.where(token_matches(token, request.term_only))
     if request.kanji and request.kanji_reading:
-        forms = kanji_forms(request.kanji, variants)
+        forms = kanji_forms(fold(request.kanji), variants)
         wanted = re.sub(r"[.\-‐‑‒–—−\s]", "", fold(request.kanji_reading))
-        found = found.withColumn("_forms", forms).where(kanji_reading_filter(F.col("_forms"), wanted)).drop("_forms")
+        fits = kanji_reading_filter(F.col("_forms"), wanted) if wanted else F.lit(False)
+        found = found.withColumn("_forms", forms).where(fits).drop("_forms")
     found = with_status(found, progress, request.status, user_id)
     if request.transitivity:
         any_verb = F.coalesce(found.select(F.bool_or("is_verb")).scalar(), F.lit(False))
@@ -314,9 +317,8 @@ def batch_matches(docs: DataFrame, tokens: DataFrame, text_col: str = "search_te
     against those entries, so a query with one common word does not spread
     over all entries that hold it.
     """
-    found = find_terms(
-        docs, ["entry_id"], text_col, tokens.select(F.col("token").alias("term")).distinct()
-    )
+    # met three times below: stored, the texts are opened once
+    found = cut_lineage(find_terms(docs, ["entry_id"], text_col, tokens.select(F.col("token").alias("term")).distinct()).select("term", "entry_id"))
     spread = found.groupBy("term").agg(F.count("*").alias("n"))
     wanted = tokens.join(spread, tokens["token"] == spread["term"], "left").select(
         "query_id", "token", F.coalesce("n", F.lit(0)).alias("n")
@@ -334,7 +336,8 @@ def batch_exact_scores(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     """(query_id, entry_id, score) for entries exact on every token of a query."""
     weights = tx.literal_map(fixed.EXACT_SCORES)
     need = tokens.groupBy("query_id").agg(F.count("*").alias("need"))
-    best = terms.groupBy("term", "entry_id").agg(F.max(F.element_at(weights, F.col("kind"))).alias("score"))
+    asked = tokens.select(F.col("token").alias("term")).distinct()
+    best = terms.join(asked, "term", "left_semi").groupBy("term", "entry_id").agg(F.max(F.element_at(weights, F.col("kind"))).alias("score"))
     hits = tokens.withColumnRenamed("token", "term").join(best, "term")
     per_query = hits.groupBy("query_id", "entry_id").agg(F.min("score").alias("score"), F.count("*").alias("have"))
     return per_query.join(need, "query_id").where(F.col("have") == F.col("need")).select("query_id", "entry_id", "score")
@@ -342,8 +345,15 @@ def batch_exact_scores(terms: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def batch_search(docs: DataFrame, terms: DataFrame, queries: DataFrame, page_size: int = fixed.DEFAULT_PAGE_SIZE,
                  compatibility: bool = True, collation: str = "ja") -> DataFrame:
-    """First page of every query as (query_id, position, entry_id, score)."""
-    tokens = query_table(queries, compatibility)
+    """First page of every query as (query_id, position, entry_id, score).
+
+    Queries of equal token sets are answered once; only first pages go back to
+    the queries.
+    """
+    sets = query_table(queries, compatibility).groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("token")), " ").alias("token_set"))
+    sets = cut_lineage(sets)
+    distinct = sets.select(F.col("token_set").alias("query_id")).distinct()
+    tokens = distinct.select("query_id", F.explode(F.split("query_id", " ")).alias("token"))
     hits = batch_matches(docs, tokens).join(batch_exact_scores(terms, tokens), ["query_id", "entry_id"], "left")
     scored = hits.withColumn("score", F.coalesce("score", F.lit(0))).join(
         docs.select("entry_id", "freq_rank", "reading", "source_ord"), "entry_id"
@@ -353,6 +363,5 @@ def batch_search(docs: DataFrame, terms: DataFrame, queries: DataFrame, page_siz
         F.when(F.col("freq_rank").isNotNull(), F.collate(F.coalesce("reading", F.lit("")), collation)),
         F.col("source_ord"), F.col("entry_id"),
     ]
-    return first_n(scored, ["query_id"], order, page_size, rank="position").select(
-        "query_id", "position", "entry_id", "score"
-    )
+    pages = first_n(scored, ["query_id"], order, page_size, rank="position").withColumnRenamed("query_id", "token_set")
+    return sets.join(pages, "token_set").select("query_id", "position", "entry_id", "score")

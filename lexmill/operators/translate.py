@@ -7,9 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lexmill import fixed
 from lexmill.functions import text as tx
-from lexmill.operators.common import last_per_key
+from lexmill.operators.common import broadcast_if_small, cut_lineage, last_per_key, running_totals
 
-MAX_BROADCAST_GROUPS = 1_000_000
 
 def pending(rows: DataFrame, cache: DataFrame, force: bool = False) -> DataFrame:
     return rows if force else rows.join(cache, "entry_id", "left_anti")
@@ -39,9 +38,8 @@ def within_budget(rows: DataFrame, priority: str, size: str, order: list[str], b
     skipped, and any row that no longer fits ends the prefix.
 
     Rows with the same (priority, size) are interchangeable for the running
-    sum, so the sum runs over their counts, at most ``budget`` + 1 narrow rows;
-    only the group in which the budget runs out needs its rows in order, and
-    of those at most ``budget``. No window spans the rows themselves.
+    sum, so it runs over their counts, dealt by range; only the one group in
+    which the budget ends needs its rows in order. No window spans the rows.
     """
     rows = rows.where(F.col(size) > 0)
     groups = rows.groupBy(priority, size).agg(F.count("*").alias("n"))
@@ -51,35 +49,20 @@ def within_budget(rows: DataFrame, priority: str, size: str, order: list[str], b
         groups.where((F.col(size) > budget) & (F.struct(priority, size) > start))
         .select(F.min(F.struct(priority, size)).alias("s")).scalar()
     )
-    # every group taken costs at least one character, so budget + 1 groups
-    # always hold the whole prefix and the group that ends it
-    most = min(budget + 1, 2**31 - 1)
-    head = (
-        fits.where(first_large.isNull() | (F.struct(priority, size) < first_large))
-        .orderBy(priority, size).limit(most)
-    )
-    w = W.orderBy(priority, size)
+    head = fits.where(first_large.isNull() | (F.struct(priority, size) < first_large))
+    summed = running_totals(head, [priority, size], {"spent": F.col(size) * F.col("n"), "seen": F.col("n")})
     cap = F.lit(max_rows if max_rows else 2**62)
-    spent = F.sum(F.col(size) * F.col("n")).over(w) - F.col(size) * F.col("n")
-    seen = F.sum("n").over(w) - F.col("n")
-    taken = head.select(priority, size, "n", spent.alias("spent"), seen.alias("seen")).withColumn(
-        "take",
-        F.greatest(
-            F.lit(0),
-            F.least("n", F.floor((F.lit(budget) - F.col("spent")) / F.col(size)), cap - F.col("seen")),
-        ),
-    )
+    taken = summed.withColumn(
+        "take", F.greatest(F.lit(0), F.least("n", F.floor((F.lit(budget) - F.col("spent")) / F.col(size)), cap - F.col("seen"))),
+    ).select(priority, size, "n", "take")
+    taken = cut_lineage(taken)
     # the first group that is not taken whole ends the prefix
-    cut = F.coalesce(F.sum((F.col("take") < F.col("n")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    taken = taken.withColumn("cut", cut).where((F.col("cut") == 0) & (F.col("take") > 0)).select(priority, size, "n", "take")
-    if budget <= MAX_BROADCAST_GROUPS:
-        taken = F.broadcast(taken)
-    marked = rows.join(taken, [priority, size])
+    last = taken.where(F.col("take") < F.col("n")).select(F.min(F.struct(priority, size)).alias("s")).scalar()
+    kept = taken.where((F.col("take") > 0) & (last.isNull() | (F.struct(priority, size) <= last)))
+    marked = rows.join(broadcast_if_small(kept), [priority, size])
     whole = marked.where(F.col("take") == F.col("n")).drop("n", "take")
-    # one group at most is taken in part, and fewer rows of it than ``budget``
-    partial = marked.where(F.col("take") < F.col("n")).orderBy(*order).limit(min(budget, 2**31 - 1))
-    ranked = partial.withColumn("rn", F.row_number().over(W.partitionBy(priority, size).orderBy(*order)))
-    return whole.unionByName(ranked.where(F.col("rn") <= F.col("take")).drop("n", "take", "rn"))
+    partial = running_totals(marked.where(F.col("take") < F.col("n")), order, {"_rank": F.lit(1)})
+    return whole.unionByName(partial.where(F.col("_rank") < F.col("take")).drop("n", "take", "_rank"))
 
 
 def greedy_batches(rows: DataFrame, shard: Column, order: list[str], size: str, max_rows: int = fixed.BATCH_ROWS,
@@ -150,14 +133,15 @@ def parse_replies(replies: DataFrame, text_col: str = "content") -> DataFrame:
             lists,
             lambda x: F.struct(
                 F.try_variant_get(x, "$.id", "string").alias("id"),
-                F.coalesce(F.try_variant_get(x, "$.translation", "variant"), F.try_variant_get(x, "$.translations", "variant")).alias("value"),
+                F.array(F.try_variant_get(x, "$.translation", "variant"), F.try_variant_get(x, "$.translations", "variant")).alias("values"),
             ),
         ),
-    ).otherwise(F.transform(pairs, lambda p: F.struct(p["key"].alias("id"), p["value"].alias("value"))))
-    rows = v.select(*keep, F.posexplode(item).alias("item_ord", "i")).select(*keep, "item_ord", "i.id", "i.value")
-    value = F.coalesce(
-        F.try_variant_get("value", "$", "array<string>"), F.array(F.try_variant_get("value", "$", "string"))
-    )
+    ).otherwise(F.transform(pairs, lambda p: F.struct(p["key"].alias("id"), F.array(p["value"]).alias("values"))))
+    rows = v.select(*keep, F.posexplode(item).alias("item_ord", "i")).select(*keep, "item_ord", "i.id", "i.values")
+    # an empty or null first value gives way to the second one
+    read = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.array(F.try_variant_get(v, "$", "string")))
+    blank = lambda v: v.isNull() | F.call_function("is_variant_null", v) | (F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("x")) == "") | (F.size(F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.array(F.lit("x")))) == 0)
+    value = F.when(~blank(F.get("values", 0)), read(F.get("values", 0))).otherwise(read(F.get("values", 1)))
     items = rows.select(
         *keep, "item_ord", tx.collapse(F.coalesce("id", F.lit(""))).alias("entry_id"), tx.translation_items(value).alias("translation")
     ).where((F.col("entry_id") != "") & (F.size("translation") > 0))

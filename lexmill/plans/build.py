@@ -25,14 +25,14 @@ def loaded_counts(item: str, df: DataFrame) -> DataFrame:
 
 
 def build_lexicon(spark: SparkSession, dictionary: str, out: str, kanji: str | None = None, frequency: str | None = None,
-                  overrides: str | None = None, levels: str | None = None, compat: bool = True) -> dict[str, DataFrame]:
+                  overrides: str | None = None, levels: str | None = None, compat: bool = True, max_rank: int | None = fixed.FREQ_MAX_RANK) -> dict[str, DataFrame]:
     """Read, classify, enrich and write the lexicon.
 
     The classified entries are stored once as Parquet under ``out``; every
     further table reads that copy instead of running the classification again,
     and a lost executor never sends the job back to the source files.
     """
-    freq = frequency_keys(readers.read_frequency(spark, frequency)) if frequency else None
+    freq = frequency_keys(readers.read_frequency(spark, frequency, max_rank)) if frequency else None
     classified = lx.classify_entries(readers.read_dictionary(spark, dictionary), freq, compat)
     sinks.write_parquet(classified, f"{out}/tables/classified")
     stored = spark.read.parquet(f"{out}/tables/classified")
@@ -51,7 +51,7 @@ def build_lexicon(spark: SparkSession, dictionary: str, out: str, kanji: str | N
 
     facts = readers.read_kanji(spark, kanji) if kanji else None
     tree, clusters = lx.kanji_tree(lexicon, facts), lx.cluster_summary(lexicon)
-    audit = lx.audit(stored, policy_rows(spark))
+    audit = lx.audit(stored, policy_rows(spark, {"frequency_max_rank": (str(max_rank if max_rank is not None else "all"), "")}))
     for item, df in (
         ("kanjidic2_characters_loaded", facts), ("bccwj_keys_loaded", freq),
         ("translation_overrides_loaded", over), ("jlpt_levels_loaded", refs),

@@ -174,11 +174,12 @@ def read_kanji(spark: SparkSession, path: str, partitions: int | None = None) ->
     )
 
 
-def read_frequency(spark: SparkSession, path: str, max_rank: int = fixed.FREQ_MAX_RANK) -> DataFrame:
-    """Frequency list with rank within the limit, whatever the row order."""
+def read_frequency(spark: SparkSession, path: str, max_rank: int | None = None) -> DataFrame:
+    """Frequency list, whatever the row order; with ``max_rank`` the rows up to that rank."""
     raw = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path)
     ranked = with_line_order(raw).withColumn("rank", F.col("rank").try_cast("int"))
-    return ranked.where(F.col("rank") <= max_rank).select(
+    within = F.col("rank") <= max_rank if max_rank is not None else F.col("rank").isNotNull()
+    return ranked.where(within).select(
         "rank", "lemma", F.col("lForm").alias("form"), F.col("pos").alias("freq_pos"),
         F.col("frequency").alias("freq_count"), F.col("pmw").alias("freq_pmw"), "line_ord",
     )
@@ -201,8 +202,12 @@ def read_bilingual(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
-    """(sentence_id, lang, text); the last row of a repeated id stays."""
-    raw = with_line_order(spark.read.option("sep", "\t").schema("sentence_id STRING, lang STRING, text STRING").csv(path))
+    """(sentence_id, lang, text); the last row of a repeated id stays.
+
+    A field in quotes is read whole with doubled quotes as one. A quote that is
+    never closed takes the rest of its line.
+    """
+    raw = with_line_order(spark.read.option("sep", "\t").option("quote", '"').option("escape", '"').schema("sentence_id STRING, lang STRING, text STRING").csv(path))
     rows = raw.where(F.col("text").isNotNull()).withColumn("text", strip("text"))
     return last_per_key(rows, ["sentence_id"], F.col("line_ord")).drop("line_ord")
 
@@ -323,10 +328,16 @@ def variant_pairs(groups: DataFrame) -> DataFrame:
 
 
 def read_study_data(spark: SparkSession, path: str) -> DataFrame:
-    """Study lists of exported JSON files as (file, entry_id, status)."""
-    schema = "progress STRUCT<starred: ARRAY<STRING>, learned: ARRAY<STRING>>"
+    """Study lists of exported JSON files as (file, entry_id, status).
+
+    Reads single documents with two lists and, below a folder per status, the
+    rows that ``write_study_data`` gives.
+    """
+    schema = "progress STRUCT<starred: ARRAY<STRING>, learned: ARRAY<STRING>>, entry_id STRING, user_id STRING"
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    raw = raw.select("progress", F.col("_metadata.file_path").alias("file"))
+    raw = raw.select("progress", "entry_id", F.col("_metadata.file_path").alias("file"))
+    from_folder = F.nullif(F.regexp_extract("file", "/status=([a-z]+)/", 1), F.lit(""))
+    own = F.when(F.col("entry_id").isNotNull() & from_folder.isNotNull(), F.array(F.struct(F.col("entry_id").alias("entry_id"), from_folder.alias("status"))))
     empty = F.array().cast("array<string>")
     rows = raw.select(
         "file",
@@ -334,6 +345,7 @@ def read_study_data(spark: SparkSession, path: str) -> DataFrame:
             F.concat(
                 F.transform(F.coalesce("progress.starred", empty), lambda x: F.struct(x.alias("entry_id"), F.lit("starred").alias("status"))),
                 F.transform(F.coalesce("progress.learned", empty), lambda x: F.struct(x.alias("entry_id"), F.lit("learned").alias("status"))),
+                F.coalesce(own, F.array().cast("array<struct<entry_id:string,status:string>>")),
             )
         ).alias("r"),
     ).select("file", "r.*")

@@ -110,7 +110,7 @@ def test_kanji_and_frequency_scan(spark, files):
     k = {r["kanji"]: r for r in readers.read_kanji(spark, f"{files}/kanji.gz").collect()}
     assert (k["学"]["status"], k["学"]["on_readings"], k["学"]["kun_readings"]) == (fixed.JOYO_LABEL, "ガク", "まな.ぶ")
     assert k["校"]["status"] == ""
-    ranks = sorted(r["rank"] for r in readers.read_frequency(spark, f"{files}/freq.tsv").collect())
+    ranks = sorted(r["rank"] for r in readers.read_frequency(spark, f"{files}/freq.tsv", fixed.FREQ_MAX_RANK).collect())
     assert ranks == [1, 7, 10, 20, 30001]
 
 
