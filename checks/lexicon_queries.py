@@ -119,21 +119,37 @@ SELECT entry_id, headword, 'no_A_B_C_priority_or_bccwj_evidence' AS reason FROM
 WHERE reject_reason = 'no_abc_evidence' ORDER BY doc_pos, entry_id LIMIT 100"""
 
 
+PAIR_ENDINGS = ((0, "a", "まる", fixed.BOTH_TRANSITIVITIES), (0, "b", "める", fixed.TRANSITIVE), (1, "a", "る", fixed.BOTH_TRANSITIVITIES),
+                (1, "b", "す", fixed.TRANSITIVE), (2, "a", "つ", fixed.TRANSITIVE), (2, "b", "てる", fixed.BOTH_TRANSITIVITIES))
+
+
+def pair_verbs(spark, sf) -> DataFrame:
+    """Two verbs of different transitivity from every word; readings rewrite into each other."""
+    row = lambda m, side, end, t: F.when(F.col("n") % 3 == m, F.struct(
+        F.concat("w", F.lit("-" + side)).alias("entry_id"), F.concat(fd.kanji_form("w"), F.lit(end)).alias("headword"),
+        F.concat(fd.hira("w"), F.lit(end)).alias("reading"), F.lit(t).alias("transitivity")))
+    both = F.filter(F.array(*[row(*x) for x in PAIR_ENDINGS]), lambda x: x.isNotNull())
+    return fd.vocabulary(spark, sf).select(F.col("first_doc").alias("doc_pos"), F.lit(fixed.VERB).alias("major"), F.explode(both).alias("v")).select("doc_pos", "major", "v.*")
+
+
 def q_verb_pairs(spark, sf):
-    return lx.pair_candidates(lexicon(spark, sf)).select("entry_id", F.array_join("related", SEP).alias("related"))
+    return lx.pair_candidates(pair_verbs(spark, sf)).select("entry_id", F.array_join("related", SEP).alias("related"))
 
 
 _RULES = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(fixed.PAIR_REWRITES))
-SQL_PAIRS = ACCEPTED + f""",
-verbs AS (SELECT entry_id, doc_pos, headword, reading, transitivity FROM accepted WHERE major = '{fixed.VERB}'),
+PAIR_STEPS = f"""
 rules(rule, src, dst) AS (VALUES {_RULES}),
+asked AS (SELECT v.entry_id, v.transitivity, r.rule, left(v.reading, length(v.reading) - length(r.src)) || r.dst AS target FROM verbs v JOIN rules r ON ends_with(v.reading, r.src)),
 hits AS (
-  SELECT v.entry_id, r.rule, o.doc_pos, o.entry_id AS oid, o.headword || '（' || o.reading || '）' AS label
-  FROM verbs v JOIN rules r ON ends_with(v.reading, r.src)
-  JOIN verbs o ON o.reading = left(v.reading, length(v.reading) - length(r.src)) || r.dst
-  WHERE o.entry_id <> v.entry_id AND o.transitivity IS NOT NULL AND o.transitivity IS DISTINCT FROM v.transitivity),
+  SELECT a.entry_id, a.rule, o.doc_pos, o.entry_id AS oid, o.headword || '（' || o.reading || '）' AS label
+  FROM asked a JOIN verbs o ON o.reading = a.target
+  WHERE o.entry_id <> a.entry_id AND o.transitivity IS NOT NULL AND o.transitivity IS DISTINCT FROM a.transitivity),
 firsts AS (SELECT entry_id, label, min((rule, doc_pos, oid)) AS p FROM hits GROUP BY entry_id, label),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY p) AS rn FROM firsts)
+numbered AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY p) AS rn FROM firsts)"""
+_ENDINGS = ", ".join(f"({m}, '{s}', '{e}', '{t}')" for m, s, e, t in PAIR_ENDINGS)
+SQL_PAIRS = "WITH " + fd.SQL_VOCAB + f""",
+verbs AS (SELECT w || '-' || s AS entry_id, first_doc AS doc_pos, {fd.SQL_KANJI_FORM} || e AS headword, translate(w, '{fd.LETTERS}', '{fd.HIRA}') || e AS reading, t AS transitivity
+  FROM vocab JOIN (VALUES {_ENDINGS}) x(m, s, e, t) ON n % 3 = m),{PAIR_STEPS}
 SELECT entry_id, string_agg(label, '{SEP}' ORDER BY rn) AS related FROM numbered WHERE rn <= 5 GROUP BY entry_id"""
 
 
@@ -307,7 +323,8 @@ def q_enriched_lexicon(spark, sf):
     return out.select("entry_id", "translation", "ref_level", F.size(F.coalesce("related", F.array().cast("array<string>"))).alias("related_n"))
 
 
-SQL_ENRICHED = SQL_PAIRS.replace(f"SELECT entry_id, string_agg(label, '{SEP}' ORDER BY rn) AS related FROM numbered WHERE rn <= 5 GROUP BY entry_id", "").rstrip() + f""",
+SQL_ENRICHED = ACCEPTED + f""",
+verbs AS (SELECT entry_id, doc_pos, headword, reading, transitivity FROM accepted WHERE major = '{fixed.VERB}'),{PAIR_STEPS},
 rel AS (SELECT entry_id, CAST(count(*) AS INTEGER) AS related_n FROM numbered WHERE rn <= 5 GROUP BY entry_id),
 b AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '{fd.WORD}')) AS w FROM benchmark),
 g AS (SELECT w, min(item_id) AS lo, max(item_id) AS hi FROM b GROUP BY w)

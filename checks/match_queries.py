@@ -30,9 +30,9 @@ def level_lists(spark, sf) -> DataFrame:
 
 
 def small_lexicon(spark, sf) -> DataFrame:
-    """Entries of the vocabulary; words cut to six letters share writings and readings."""
+    """Entries of the vocabulary; words that differ in some vowels only share writings and readings."""
     v = fd.vocabulary(spark, sf)
-    short = F.left("w", F.lit(6))
+    short = F.translate("w", "eiou", "aaaa")
     v = v.withColumn("short", short)
     return v.select(
         F.col("w").alias("entry_id"), fd.kanji_form("short").alias("headword"), fd.hira("short").alias("reading"),
@@ -50,10 +50,11 @@ lists AS (
     {_T('w', fd.HIRA)} AS rk, w, item_id FROM b
   WHERE regexp_matches({_T('w', fd.KATA)}, '{fixed.KANA_ONLY}')),
 cand AS (
-  SELECT q AS writing_key, rk AS reading_key, 'N' || CAST(arg_min(lv, (-lv, w, item_id)) AS VARCHAR) AS level,
+  SELECT q AS writing_key, rk AS reading_key, any_value(CASE WHEN regexp_matches(q, '{fixed.KANA_ONLY}') THEN rk END) AS kana_key, 'N' || CAST(arg_min(lv, (-lv, w, item_id)) AS VARCHAR) AS level,
     count(DISTINCT lv) AS levels, string_agg(DISTINCT 'list-N' || CAST(lv AS VARCHAR), ';' ORDER BY 'list-N' || CAST(lv AS VARCHAR) DESC) AS source_file
   FROM lists GROUP BY q, rk),
-ent AS (SELECT w AS entry_id, {_KF('left(w, 6)')} AS wk, {_T('left(w, 6)', fd.HIRA)} AS rk, {_T('w', fd.HIRA)} AS rk2, n FROM vocab),
+short AS (SELECT *, translate(w, 'eiou', 'aaaa') AS sw FROM vocab),
+ent AS (SELECT w AS entry_id, {_KF('sw')} AS wk, {_T('sw', fd.HIRA)} AS rk, {_T('w', fd.HIRA)} AS rk2, n FROM short),
 ekeys AS (
   SELECT DISTINCT * FROM (
     SELECT 'pair' AS kind, wk AS k1, rk AS k2, entry_id FROM ent UNION ALL SELECT 'pair', wk, rk2, entry_id FROM ent WHERE n % 4 = 0
@@ -64,7 +65,7 @@ decided AS (
   SELECT c.*, CASE WHEN p.hits IS NOT NULL THEN 1 WHEN r.hits IS NOT NULL THEN 2 WHEN s.hits IS NOT NULL THEN 3 END AS tier,
     coalesce(p.hits, r.hits, s.hits) AS hits
   FROM cand c LEFT JOIN cnt p ON p.kind = 'pair' AND p.k1 = writing_key AND p.k2 = reading_key
-  LEFT JOIN cnt r ON r.kind = 'reading' AND r.k1 = reading_key AND regexp_matches(writing_key, '{fixed.KANA_ONLY}')
+  LEFT JOIN cnt r ON r.kind = 'reading' AND r.k1 = kana_key
   LEFT JOIN cnt s ON s.kind = 'writing' AND s.k1 = writing_key),
 named AS (
   SELECT *, CASE WHEN tier = 1 THEN 'exact_writing_reading' WHEN tier = 2 AND hits = 1 THEN 'reading_only_unique' WHEN tier = 2 THEN 'reading_only_multiple'
@@ -72,9 +73,9 @@ named AS (
     CASE WHEN tier IS NULL THEN 'none' WHEN hits > 1 THEN 'ambiguous' WHEN tier = 1 THEN 'high' WHEN tier = 2 THEN 'medium' ELSE 'low' END AS confidence
   FROM decided),
 matched AS (
-  SELECT n.*, k.entry_id FROM named n JOIN ekeys k ON
-    (tier = 1 AND kind = 'pair' AND k1 = writing_key AND k2 = reading_key) OR (tier = 2 AND kind = 'reading' AND k1 = reading_key)
-    OR (tier = 3 AND kind = 'writing' AND k1 = writing_key))"""
+  SELECT n.*, k.entry_id FROM named n JOIN ekeys k ON k.k1 = writing_key AND k.k2 = reading_key WHERE tier = 1 AND kind = 'pair'
+  UNION ALL SELECT n.*, k.entry_id FROM named n JOIN ekeys k ON k.k1 = reading_key WHERE tier = 2 AND kind = 'reading'
+  UNION ALL SELECT n.*, k.entry_id FROM named n JOIN ekeys k ON k.k1 = writing_key WHERE tier = 3 AND kind = 'writing')"""
 
 
 def _decided(spark, sf):
@@ -112,7 +113,8 @@ def q_best_levels(spark, sf):
 
 # -- examples ------------------------------------------------------------------------
 # Sentences: the pieces of conversation turns; each is linked to the next piece and
-# to the one after it as its translations. Terms: frequent words of the documents.
+# to the one after it as its translations. Terms: the words of the documents, one
+# entry for the document in which each stands first.
 
 def pieces(spark, sf) -> DataFrame:
     p = fd.table(spark, sf, "conversations").select(
@@ -148,13 +150,13 @@ def q_linked_sentences(spark, sf):
 
 
 def word_terms(spark, sf) -> DataFrame:
-    v = fd.ranked_vocabulary(spark, sf).where((F.length("w") >= 4) & (F.col("n") >= 10))
-    return v.select(F.col("w").alias("term"), F.concat(F.lit("e"), (F.col("first_doc") % 40).cast("string")).alias("entry_id"),
+    v = fd.ranked_vocabulary(spark, sf)
+    return v.select(F.col("w").alias("term"), F.concat(F.lit("e"), F.col("first_doc").cast("string")).alias("entry_id"),
                     F.col("rank").alias("freq_rank")).distinct()
 
 
 SQL_TERMS = """,
-terms AS (SELECT w AS term, 'e' || CAST(first_doc % 40 AS VARCHAR) AS entry_id, rank AS freq_rank FROM ranked WHERE length(w) >= 4 AND n >= 10)"""
+terms AS (SELECT w AS term, 'e' || CAST(first_doc AS VARCHAR) AS entry_id, rank AS freq_rank FROM ranked)"""
 
 
 def examples(spark, sf) -> DataFrame:
@@ -194,13 +196,13 @@ def q_terms_in_documents(spark, sf):
     """Documents per benchmark word: substring join over whole documents."""
     from lexmill.operators.common import find_terms
 
-    terms = fd.tokens(spark, sf, "benchmark", ("item_id",)).where(F.length("w") >= 8).select(F.col("w").alias("term")).distinct()
+    terms = fd.tokens(spark, sf, "benchmark", ("item_id",)).select(F.col("w").alias("term")).distinct()
     docs = fd.documents(spark, sf).select("doc_id", F.lower("text").alias("text"))
     return find_terms(docs, ["doc_id"], "text", terms).groupBy("term").agg(F.count("*").alias("docs"))
 
 
 SQL_TERMS_IN_DOCS = f"""
-WITH t AS (SELECT DISTINCT w AS term FROM (SELECT unnest(regexp_extract_all(lower(text), '{fd.WORD}')) AS w FROM benchmark) WHERE length(w) >= 8),
+WITH t AS (SELECT DISTINCT w AS term FROM (SELECT unnest(regexp_extract_all(lower(text), '{fd.WORD}')) AS w FROM benchmark)),
 d AS (SELECT doc_id, lower(text) AS txt FROM documents)
 SELECT term, count(*) AS docs FROM t JOIN d ON contains(txt, term) GROUP BY term"""
 

@@ -72,24 +72,26 @@ def q_exact_scores(spark, sf):
 
 
 _H = f"translate(w, '{fd.LETTERS}', '{fd.HIRA}')"
-SQL_EXACT = lq.ACCEPTED + f""",
-b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{fd.WORD}')) AS w FROM benchmark),
-q AS (SELECT w || '-1' AS query_id, {_H} AS token FROM b UNION SELECT w || '-2', {_H} FROM b UNION SELECT w || '-2', {fd.SQL_KANJI_FORM} FROM b),
-need AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1),
-t AS (SELECT entry_id, 40 AS s, unnest(list_concat([headword], writings)) AS term FROM accepted
+# (entry_id, term, s): exact terms and the weight of their best kind
+TERM_KINDS = f"""t AS (SELECT entry_id, 40 AS s, unnest(list_concat([headword], writings)) AS term FROM accepted
   UNION ALL SELECT entry_id, 20, unnest(regexp_extract_all(headword, '[{fixed.CJK}]')) FROM accepted
   UNION ALL SELECT entry_id, 32, unnest(readings) FROM accepted),
 nt AS (SELECT entry_id, translate(term, '{fd.KATA}', '{fd.HIRA}') AS term, max(s) AS s FROM t GROUP BY ALL),
 x0 AS (SELECT entry_id, regexp_replace({_romaji('reading')}, '[^a-z0-9]', '', 'g') AS ra FROM accepted),
 rom AS (SELECT entry_id, unnest([ra, replace(replace(replace(replace(ra, 'shi', 'si'), 'chi', 'ti'), 'tsu', 'tu'), 'fu', 'hu'),
    replace(replace(replace(replace(ra, 'ou', 'o'), 'oo', 'o'), 'uu', 'u'), 'ei', 'e')]) AS term FROM x0),
-al AS (SELECT entry_id, term, max(s) AS s FROM (SELECT * FROM nt UNION ALL SELECT entry_id, term, 30 FROM rom WHERE term <> '') GROUP BY ALL)
+al AS (SELECT entry_id, term, max(s) AS s FROM (SELECT * FROM nt UNION ALL SELECT entry_id, term, 30 FROM rom WHERE term <> '') GROUP BY ALL)"""
+SQL_EXACT = lq.ACCEPTED + f""",
+b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{fd.WORD}')) AS w FROM benchmark),
+q AS (SELECT w || '-1' AS query_id, {_H} AS token FROM b UNION SELECT w || '-2', {_H} FROM b UNION SELECT w || '-2', {fd.SQL_KANJI_FORM} FROM b),
+need AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1),
+{TERM_KINDS}
 SELECT q.query_id, al.entry_id, CAST(min(al.s) AS INTEGER) AS score FROM q JOIN al ON al.term = q.token JOIN need n ON n.query_id = q.query_id
 GROUP BY q.query_id, al.entry_id, n.need HAVING count(*) = n.need"""
 
 
 def _word_queries(spark, sf) -> DataFrame:
-    b = fd.tokens(spark, sf, "benchmark", ("item_id",)).where(F.col("w").rlike("^[a-z]{6,}$")).select("w").distinct()
+    b = fd.tokens(spark, sf, "benchmark", ("item_id",)).select("w").distinct()
     return b.select(F.col("w").alias("query_id"), F.concat("w", F.lit(" "), F.left("w", F.lit(5))).alias("text"))
 
 
@@ -99,8 +101,10 @@ def q_batch_search(spark, sf):
 
 
 SQL_BATCH = SQL_DOCS + f""",
-b AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '{fd.WORD}')) AS w FROM benchmark) WHERE regexp_matches(w, '^[a-z]{{6,}}$')),
-h AS (SELECT w AS query_id, docs.*, CAST(CASE WHEN w IN (ra, rb, rc) AND left(w, 5) IN (ra, rb, rc) THEN 30 ELSE 0 END AS INTEGER) AS score FROM b JOIN docs ON contains(latin, w)),
+b AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '{fd.WORD}')) AS w FROM benchmark)),
+{TERM_KINDS},
+h AS (SELECT w AS query_id, docs.*, CAST(coalesce(CASE WHEN x.s IS NOT NULL AND y.s IS NOT NULL THEN least(x.s, y.s) END, 0) AS INTEGER) AS score FROM b JOIN docs ON contains(latin, w)
+  LEFT JOIN al x ON x.entry_id = docs.entry_id AND x.term = w LEFT JOIN al y ON y.entry_id = docs.entry_id AND y.term = left(w, 5)),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {ORDER}) AS position FROM h)
 SELECT query_id, position, entry_id, score FROM n WHERE position <= 24"""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from checks import feeds as fd
 from lexmill import fixed
@@ -14,9 +14,18 @@ PLAIN = "^[a-z]{5,}$"
 NOT_KEYS = ["thing", "without"]
 
 
+def plain_word(w: Column) -> Column:
+    """A word of plain letters for every word: itself, or letters made of its digest."""
+    digest = F.concat(F.lit("q"), F.translate(F.md5(w), "0123456789", "ghijklmnop"))
+    return F.when(w.rlike(PLAIN) & ~w.isin(NOT_KEYS), w).otherwise(digest)
+
+
+SQL_PLAIN = f"CASE WHEN regexp_matches(w, '{PLAIN}') AND w NOT IN ('thing', 'without') THEN w ELSE 'q' || translate(md5(w), '0123456789', 'ghijklmnop') END"
+
+
 def words(spark, sf) -> DataFrame:
-    """Words that may be dictionary keys, with the class their entry gets."""
-    v = fd.vocabulary(spark, sf).where(F.col("w").rlike(PLAIN) & ~F.col("w").isin(NOT_KEYS))
+    """Every word as a dictionary key, with the class its entry gets."""
+    v = fd.vocabulary(spark, sf).withColumn("w", plain_word(F.col("w")))
     return v.withColumn("major", F.when(F.col("first_doc") % 3 == 0, fixed.I_ADJ).otherwise(fixed.NOUN)).withColumn(
         "k", F.translate("w", fd.LETTERS, fd.KANJI))
 
@@ -55,6 +64,11 @@ def bilingual(spark, sf) -> DataFrame:
 
 
 def translated(spark, sf) -> DataFrame:
+    """Solved once per session; entries, queue and outcomes read the stored table."""
+    return fd.stored(spark, sf, "translated", solve)
+
+
+def solve(spark, sf) -> DataFrame:
     asked = entries(spark, sf).select(F.explode("glosses").alias("gloss"), "major")
     return gl.translate_glosses(asked, dictionary_tables(spark, sf), gl.reverse_index(bilingual(spark, sf)))
 
@@ -66,9 +80,10 @@ def _adj(text):
 U = fixed.UNTRANSLATED
 # One row per word with what each dictionary says, then the result of every form.
 SQL_RESULTS = "WITH " + fd.SQL_VOCAB + f""",
+plain AS (SELECT {SQL_PLAIN} AS w, n, first_doc FROM vocab),
 w AS (SELECT w, n, first_doc AS d, first_doc % 3 = 0 AS adj, translate(w, '{fd.LETTERS}', '{fd.KANJI}') AS k,
   n % 3 = 0 AS ex, n % 4 = 0 AND first_doc % 3 = 0 AS cx, n % 7 = 0 AND length(w) <= 8 AS rv, n % 3 = 1 AS wd, n % 5 = 0 AS ph
-  FROM vocab WHERE regexp_matches(w, '{PLAIN}') AND w NOT IN ('thing', 'without')),
+  FROM plain),
 i AS (SELECT *, ex OR rv OR wd AS known, CASE WHEN ex THEN 0.98 WHEN rv THEN 0.68 WHEN wd THEN 0.72 ELSE 0.10 END AS ic FROM w),
 forms AS (
   SELECT *, [
@@ -143,7 +158,7 @@ SELECT CASE WHEN n % 2 <> 0 THEN 'skipped' WHEN n % 11 = 0 THEN 'preserved' WHEN
 
 def q_reverse_index(spark, sf):
     """Short keys shared by very many words: only the first five stay."""
-    v = fd.vocabulary(spark, sf).where(F.col("w").rlike("^[a-z]{2,10}$"))
+    v = fd.vocabulary(spark, sf).withColumn("w", F.when(F.col("w").rlike("^[a-z]{2,10}$"), F.col("w")).otherwise(F.left(plain_word(F.col("w")), F.lit(8))))
     b = v.select(
         F.translate("w", fd.LETTERS, fd.KANJI).alias("simplified"), F.struct("first_doc", "w").alias("line_ord"),
         F.concat(F.lit("to "), F.left("w", F.lit(3)), F.lit("; "), F.left("w", F.lit(2)), F.lit(" (x)/surname "), F.left("w", F.lit(1))).alias("definitions"))
@@ -151,7 +166,8 @@ def q_reverse_index(spark, sf):
 
 
 SQL_REVERSE = "WITH " + fd.SQL_VOCAB + f""",
-b AS (SELECT w, first_doc, translate(w, '{fd.LETTERS}', '{fd.KANJI}') AS s FROM vocab WHERE regexp_matches(w, '^[a-z]{{2,8}}$')),
+v AS (SELECT CASE WHEN regexp_matches(w, '^[a-z]{{2,10}}$') THEN w ELSE left({SQL_PLAIN}, 8) END AS w, first_doc FROM vocab),
+b AS (SELECT w, first_doc, translate(w, '{fd.LETTERS}', '{fd.KANJI}') AS s FROM v WHERE length(w) <= 8),
 k AS (SELECT replace(replace('to ' || left(w, 3), 'sb', 'somebody'), 'sth', 'something') AS key, s, first_doc, w, 0 AS c FROM b
   UNION ALL SELECT replace(replace(left(w, 3), 'sb', 'somebody'), 'sth', 'something'), s, first_doc, w, 0 FROM b
   UNION ALL SELECT replace(left(w, 2), 'sb', 'somebody'), s, first_doc, w, 1 FROM b),
