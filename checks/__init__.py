@@ -2,7 +2,7 @@
 
 import functools
 
-MODULES = ("lexicon_queries", "match_queries", "text_queries", "translate_queries", "search_queries", "study_queries")
+MODULES = ("lexicon_queries", "match_queries", "text_queries", "translate_queries", "search_queries", "study_queries", "file_queries")
 
 
 def registry() -> dict:

@@ -333,23 +333,13 @@ def read_study_data(spark: SparkSession, path: str) -> DataFrame:
     Reads single documents with two lists and, below a folder per status, the
     rows that ``write_study_data`` gives.
     """
-    schema = "progress STRUCT<starred: ARRAY<STRING>, learned: ARRAY<STRING>>, entry_id STRING, user_id STRING"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    raw = raw.select("progress", "entry_id", F.col("_metadata.file_path").alias("file"))
-    from_folder = F.nullif(F.regexp_extract("file", "/status=([a-z]+)/", 1), F.lit(""))
-    own = F.when(F.col("entry_id").isNotNull() & from_folder.isNotNull(), F.array(F.struct(F.col("entry_id").alias("entry_id"), from_folder.alias("status"))))
-    empty = F.array().cast("array<string>")
-    rows = raw.select(
-        "file",
-        F.explode(
-            F.concat(
-                F.transform(F.coalesce("progress.starred", empty), lambda x: F.struct(x.alias("entry_id"), F.lit("starred").alias("status"))),
-                F.transform(F.coalesce("progress.learned", empty), lambda x: F.struct(x.alias("entry_id"), F.lit("learned").alias("status"))),
-                F.coalesce(own, F.array().cast("array<struct<entry_id:string,status:string>>")),
-            )
-        ).alias("r"),
-    ).select("file", "r.*")
-    return rows.where(F.col("entry_id") != "").distinct()
+    lists = "progress STRUCT<starred: ARRAY<STRING>, learned: ARRAY<STRING>>"
+    raw = spark.read.schema(lists).option("multiLine", True).json(path).select("progress", F.col("_metadata.file_path").alias("file"))
+    tagged = lambda name: F.transform(F.coalesce(F.col(f"progress.{name}"), F.array().cast("array<string>")), lambda x: F.struct(x.alias("entry_id"), F.lit(name).alias("status")))
+    whole = raw.select("file", F.explode(F.concat(tagged("starred"), tagged("learned"))).alias("r")).select("file", "r.*")
+    own = spark.read.schema("entry_id STRING").json(path).select(F.col("_metadata.file_path").alias("file"), "entry_id")
+    rows = own.withColumn("status", F.regexp_extract("file", "/status=([a-z]+)/", 1)).where(F.col("status") != "")
+    return whole.unionByName(rows).where(F.col("entry_id") != "").distinct()
 
 
 def read_level_lists(spark: SparkSession, path: str) -> DataFrame:
