@@ -58,6 +58,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Text of these characters alone is its own NFKC form; anything else may not be.
+NFKC_STABLE = r"^[\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u3001-\u3020\u3041-\u3096\u309D\u309E\u30A1-\u30FE\u4E00-\u9FFF]*$"
+
+
+def with_nfkc(df: DataFrame, column: str) -> DataFrame:
+    """Compatibility form of a text column; only rows that it can change go to Python."""
+    from lexmill.functions.text import nfkc
+
+    stable = F.coalesce(F.col(column).rlike(NFKC_STABLE), F.lit(True))
+    return df.where(stable).unionByName(df.where(~stable).withColumn(column, nfkc(column)))
+
+
 def spread_scan(df: DataFrame, key: str) -> DataFrame:
     """Give a plain scan at least one task per core.
 

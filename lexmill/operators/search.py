@@ -18,11 +18,12 @@ from lexmill import fixed
 from lexmill.functions import classify as cl
 from lexmill.functions import text as tx
 from lexmill.functions.romaji import kana_to_romaji, romaji_variants
-from lexmill.operators.common import cut_lineage, find_terms, first_n
+from lexmill.operators.common import cut_lineage, find_terms, first_n, with_nfkc
 from lexmill.operators.variants import variant_forms, with_indexed_text
 
 FIELD = "\u0001"
 ITEM = "\u0002"
+GROUP = "\u0003"
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,8 @@ def search_docs(lexicon: DataFrame, variants: DataFrame | None = None, compatibi
                 variant_limit: int | None = fixed.VARIANT_COMBINATIONS) -> DataFrame:
     """One row per entry with search texts, part labels and part groups.
 
-    All text fields travel through NFKC as one string per row.
+    All text fields travel through NFKC as one string per row, and only rows
+    that it can change leave the JVM.
     """
     have = {f.name: f.dataType.typeName() for f in lexicon.schema.fields}
 
@@ -70,7 +72,10 @@ def search_docs(lexicon: DataFrame, variants: DataFrame | None = None, compatibi
         return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
     packed = F.concat_ws(FIELD, *[joined(n) for n in TEXT_FIELDS])
-    normal = F.split(tx.normalize_search(packed, compatibility), FIELD, -1)
+    lexicon = lexicon.withColumn("_packed", packed)
+    if compatibility:
+        lexicon = with_nfkc(lexicon, "_packed")
+    normal = F.split(tx.normalize_search("_packed", False), FIELD, -1)
     at = {n: F.get(normal, i) for i, n in enumerate(TEXT_FIELDS)}
     items = lambda n: F.filter(F.split(F.col(f"n.{n}"), ITEM), lambda x: x != "")
     kept = [c for c in KEPT_FIELDS if c in have]
@@ -104,15 +109,18 @@ def search_docs(lexicon: DataFrame, variants: DataFrame | None = None, compatibi
 def search_terms(lexicon: DataFrame, variants: DataFrame | None = None, compatibility: bool = True,
                  variant_limit: int | None = fixed.VARIANT_COMBINATIONS) -> DataFrame:
     """(entry_id, kind, term): exact writing, kanji, reading and romaji terms."""
-    keys = lambda items: tx.non_empty(
-        F.transform(F.split(tx.normalize_search(F.array_join(items, FIELD), compatibility), FIELD), tx.strip)
-    )
-    base = lexicon.select(
-        "entry_id",
-        keys(F.concat(F.array(F.coalesce("headword", F.lit(""))), "writings")).alias("writing"),
-        keys(F.col("kanji")).alias("kanji"),
-        keys(F.concat(F.array(F.coalesce("reading", F.lit(""))), "readings")).alias("reading"),
-    )
+    joined = lambda items: F.coalesce(F.array_join(items, FIELD), F.lit(""))
+    packed = lexicon.select("entry_id", F.concat_ws(
+        GROUP,
+        joined(F.concat(F.array(F.coalesce("headword", F.lit(""))), "writings")),
+        joined(F.col("kanji")),
+        joined(F.concat(F.array(F.coalesce("reading", F.lit(""))), "readings")),
+    ).alias("_packed"))
+    if compatibility:
+        packed = with_nfkc(packed, "_packed")
+    parts = F.split(tx.normalize_search("_packed", False), GROUP, -1)
+    keys = lambda i: tx.non_empty(F.transform(F.split(F.get(parts, i), FIELD), tx.strip))
+    base = packed.select("entry_id", keys(0).alias("writing"), keys(1).alias("kanji"), keys(2).alias("reading"))
     tagged = lambda kind, arr: F.transform(arr, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
     romaji = F.flatten(F.transform("reading", lambda r: romaji_variants(kana_to_romaji(r))))
     rows = base.select(

@@ -91,3 +91,25 @@ def test_variants_without_a_limit(spark):
     free = {r["run"]: (set(r.forms), r.whole) for r in variant_forms(runs, "run", variants, limit=None).collect()}
     rows = variant_rows(runs, "run", variants).collect()
     assert len(rows) == 65 and free["学国会"][1] and {r.form for r in rows if r["run"] == "学国会"} == free["学国会"][0]
+
+
+def test_compatibility_forms(spark):
+    """Every character that NFKC changes, alone and in pairs that compose, is seen as such."""
+    import re
+    import unicodedata
+
+    texts = [chr(c) for c in range(1, 0x3400) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0xF900, 0x10000)] + ["か\u3099", "e\u0301", "ｶﾞ", "Ａｂ", "ﬁ", "①", "学校 abc é"]
+    stable = re.compile(common.NFKC_STABLE)
+    assert not [t for t in texts if stable.match(t) and unicodedata.normalize("NFKC", t) != t]
+    pairs = [a + b for a in "eかガ学ᄀ" for b in map(chr, range(0x300, 0x3200)) if unicodedata.normalize("NFKC", a + b) != a + b]
+    assert not [p for p in pairs if stable.match(p)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
+    got = {r.i: r.t for r in common.with_nfkc(df, "t").collect()}
+    assert got == {i: unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)} | {-1: None}
+
+
+def test_search_tables_with_wide_forms(spark):
+    rows = [("1", "Ｔｅｓｔ学", "ｶﾞｯｺｳ", ["Ｔｅｓｔ学"], ["ｶﾞｯｺｳ"], ["学"]), ("2", "学校", "がっこう", ["学校"], ["がっこう"], ["学", "校"])]
+    lex = spark.createDataFrame(rows, "entry_id string, headword string, reading string, writings array<string>, readings array<string>, kanji array<string>")
+    terms = {(r.entry_id, r.kind, r.term) for r in se.search_terms(lex).collect()}
+    assert {("1", "writing", "test学"), ("1", "reading", "がっこう"), ("2", "writing", "学校"), ("2", "reading", "がっこう"), ("2", "kanji", "校")} <= terms
