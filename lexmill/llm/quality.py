@@ -26,6 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexmill.llm.common import stored, table
+from lexmill.operators.common import broadcast_if_small
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -149,27 +150,32 @@ def distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", squares).drop(*[f"z{i}" for i in range(DIM)])
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A table of one row per group, stored, measured, and broadcast while it is small: points are then not dealt by group."""
+    return broadcast_if_small(stored(df))
+
+
 def fit(vectors: DataFrame) -> DataFrame:
     """One row per group of every level: n, centre m0 ..., factor l00 ..., scale.
 
     ``vectors`` holds GROUP, v0 ... and the number of rows ``w`` at that point.
     """
     median = [F.percentile(v, 0.5, F.col("w")).alias(f"c{i}") for i, v in enumerate(V)]
-    centre = stored(vectors.groupBy(*GROUP).agg(F.sum("w").alias("n"), *median))
+    centre = few(vectors.groupBy(*GROUP).agg(F.sum("w").alias("n"), *median))
     off = [F.percentile(F.abs(F.col(v) - F.col(f"c{i}")), 0.5, F.col("w")).alias(f"q{i}") for i, v in enumerate(V)]
     deviation = vectors.join(centre, GROUP).groupBy(*GROUP).agg(F.first("n").alias("n"), *[F.first(f"c{i}").alias(f"c{i}") for i in range(DIM)], *off)
     sigma = [F.greatest(1.4826 * F.col(f"q{i}") / GRID, F.lit(FLOORS[i])) for i in range(DIM)]
     estimate = deviation.select(*GROUP, "n", *[(F.col(f"c{i}") / GRID).alias(f"m{i}") for i in range(DIM)], *[(sigma[i] * sigma[i] if i == j else F.lit(0.0)).alias(f"s{i}{j}") for j in range(DIM) for i in range(j, DIM)])
-    estimate = stored(_factor(estimate))
+    estimate = few(_factor(estimate))
     for _ in range(STEPS):
         measured = distance(vectors.join(estimate, GROUP)).withColumn("bin", F.floor(F.log1p("d2") * BIN).cast("int")).select(*GROUP, "n", *V, "w", "bin")
         near = measured.groupBy(*GROUP).agg(F.percentile("bin", SUPPORT, F.col("w")).alias("within"))
-        inner = measured.join(near, GROUP).where(F.col("bin") <= F.ceil("within"))
+        inner = measured.join(few(near), GROUP).where(F.col("bin") <= F.ceil("within"))
         total = F.sum("w")
         x = [F.col(v) / GRID for v in V]
         moments = inner.groupBy(*GROUP).agg(F.first("n").alias("n"), total.alias("h"), *[F.sum(x[i] * F.col("w")).alias(f"t{i}") for i in range(DIM)], *[F.sum(x[i] * x[j] * F.col("w")).alias(f"u{i}{j}") for j in range(DIM) for i in range(j, DIM)])
         estimate = moments.select(*GROUP, "n", *[(F.col(f"t{i}") / F.col("h")).alias(f"m{i}") for i in range(DIM)], *[(F.col(f"u{i}{j}") / F.col("h") - F.col(f"t{i}") * F.col(f"t{j}") / F.col("h") / F.col("h") + F.lit(FLOORS[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for j in range(DIM) for i in range(j, DIM)])
-        estimate = stored(_factor(estimate))
+        estimate = few(_factor(estimate))
     half = distance(vectors.join(estimate, GROUP)).withColumn("bin", F.floor(F.log1p("d2") * BIN).cast("int")).groupBy(*GROUP).agg(F.percentile("bin", 0.5, F.col("w")).alias("half"))
     scale = F.greatest((F.exp(F.col("half") / BIN) - 1) / CHI_MEDIAN, F.lit(1.0))
     return stored(estimate.join(half, GROUP).withColumn("scale", scale).drop("half"))
@@ -193,7 +199,7 @@ def with_verdict(counted: DataFrame, lang: Column, source: Column) -> DataFrame:
     level = own.select("lang_", "source_", "n").join(by_lang, F.col("lang_") == F.col("_l")).select("lang_", "source_", F.when(F.col("n") >= MIN_GROUP, 0).when(F.col("_n") >= MIN_GROUP, 1).otherwise(2).alias("level"))
     chosen = level.select(F.col("lang_").alias("_lang"), F.col("source_").alias("_source"), "level", F.when(F.col("level") < 2, F.col("lang_")).otherwise("").alias("lang_"), F.when(F.col("level") < 1, F.col("source_")).otherwise("").alias("source_"))
     estimate = chosen.join(fitted.drop("n"), GROUP).drop(*GROUP).withColumnsRenamed({"_lang": "lang_", "_source": "source_"})
-    measured = distance(rows.join(estimate, ["lang_", "source_"], "left"))
+    measured = distance(rows.join(few(estimate), ["lang_", "source_"], "left"))
     worse = reduce(F.greatest, [F.col(f"v{i}") / GRID - F.col(f"m{i}") - FLOORS[i] for i in range(1, DIM)])
     outlier = F.coalesce((F.col("d2") / F.col("scale") > CUTOFF) & (worse > 0), F.lit(False))
     return measured.withColumns({"d2": F.col("d2") / F.col("scale"), "kept": ~F.col("base_failed") & ~outlier}).select(*columns, "d2", "kept")
