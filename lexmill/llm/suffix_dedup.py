@@ -123,6 +123,8 @@ def _found(length: int, gram: int):
             if not got:
                 continue
             row, h, ctx, pos, left, right = (np.concatenate(x) for x in zip(*got, strict=True))
+            once = np.unique(row << 32 | pos, return_index=True)[1]  # segments overlap: an anchor of two is one
+            row, h, ctx, pos, left, right = (v[once] for v in (row, h, ctx, pos, left, right))
             h, ctx = h.view(np.int64), ctx.view(np.int64)
             by = np.argsort((h.view(U) * U(3) + ctx.view(U)), kind="stable")  # rows came in (key, position) order
             row, h, ctx, pos, left, right = (v[by] for v in (row, h, ctx, pos, left, right))

@@ -122,6 +122,16 @@ def test_suffix_dedup(spark, monkeypatch):
     assert {r.k for r in got} == {"c"} and all("�" not in r.kept for r in got)
 
 
+def test_suffix_dedup_of_long_texts(spark):
+    rng = random.Random(6)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2 * suffix.SEGMENT + 1000))
+    seam = suffix.SEGMENT
+    rows = [(1, text), (2, text[2 * seam - 30 : 2 * seam + 30] + "!")]
+    got = suffix.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), length=20, gram=8).collect()
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
+    assert got == removed(rows, 20) and got[0][2] == 0
+
+
 def test_suffix_dedup_repeated_ids(spark):
     a, b = "q" * 5 + "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz!"
     rows = [(3, b), (3, a), (None, a), (None, None), (1, "short")]
