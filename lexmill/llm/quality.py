@@ -3,11 +3,13 @@
 Every text gives counts of words, characters, symbols, repeated lines and repeated
 word windows. Fixed rules reject texts that are too short or repeat themselves.
 The counts give a vector of rates on a grid of 1/GRID. For every (language,
-source) a minimum-covariance-determinant estimate is fitted: start from medians
-and median deviations, then concentration steps - keep the share ``SUPPORT`` of
-the rows that lie nearest, take their mean and covariance, measure all rows anew.
-A row is rejected if its Mahalanobis distance is beyond ``CUTOFF`` on the side of
-more symbols, repeats or capitals.
+source) a minimum-covariance-determinant estimate is fitted from two starts -
+medians with median deviations, and the mean and covariance of all rows - by
+concentration steps: keep the share ``SUPPORT`` of the rows that lie nearest, take
+their mean and covariance, measure all rows anew, until no estimate moves or
+``STEPS`` are done. Each group keeps the start of least determinant. A row is
+rejected if its Mahalanobis distance is beyond ``CUTOFF`` on the side of more
+symbols, repeats or capitals.
 
 All statistics cover all rows. Rows of one group and grid point are one weighted
 row, combined before the shuffle; distances are counted in bins, so quantiles
@@ -34,11 +36,13 @@ SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GRID = 20
 SUPPORT = 0.75
-STEPS = 4
+#: At most so many steps; they end when no estimate moves.
+STEPS = 12
 MIN_GROUP = 100
-CUTOFF = 45.0
-#: Least standard deviation of each coordinate: below it a difference says nothing.
-FLOORS = (0.15, 0.3, 1.0, 1.0, 0.4)
+#: The 0.975 quantile of a chi-square of DIM degrees of freedom.
+CUTOFF = 12.8325
+#: Least standard deviation of each coordinate, small against its range; one repeated line in a short text is no outlier.
+FLOORS = (0.1, 0.2, 1.0, 0.3, 0.2)
 DIM = len(FLOORS)
 #: The median of a chi-square of DIM degrees of freedom.
 CHI_MEDIAN = 4.3515
@@ -126,6 +130,9 @@ def vector() -> list[Column]:
 
 V = [f"v{i}" for i in range(DIM)]
 GROUP = ["level", "lang_", "source_"]
+RUN = [*GROUP, "start"]
+PARTS = [f"m{i}" for i in range(DIM)] + [f"s{i}{j}" for j in range(DIM) for i in range(j, DIM)]
+FACTORS = [f"l{i}{j}" for j in range(DIM) for i in range(j, DIM)]
 
 
 def _factor(df: DataFrame) -> DataFrame:
@@ -150,6 +157,13 @@ def distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", squares).drop(*[f"z{i}" for i in range(DIM)])
 
 
+def _moments(rows: DataFrame, n: Column, keys: list[str]) -> DataFrame:
+    """Mean m0 ... and covariance s00 ... of weighted rows, FLOORS added."""
+    x = [F.col(v) / GRID for v in V]
+    sums = rows.groupBy(*keys).agg(n.alias("n"), F.sum("w").alias("h"), *[F.sum(x[i] * F.col("w")).alias(f"t{i}") for i in range(DIM)], *[F.sum(x[i] * x[j] * F.col("w")).alias(f"u{i}{j}") for j in range(DIM) for i in range(j, DIM)])
+    return sums.select(*keys, "n", *[(F.col(f"t{i}") / F.col("h")).alias(f"m{i}") for i in range(DIM)], *[(F.col(f"u{i}{j}") / F.col("h") - F.col(f"t{i}") * F.col(f"t{j}") / F.col("h") / F.col("h") + F.lit(FLOORS[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for j in range(DIM) for i in range(j, DIM)])
+
+
 def few(df: DataFrame) -> DataFrame:
     """A table of one row per group, stored, measured, and broadcast while it is small: points are then not dealt by group."""
     return broadcast_if_small(stored(df))
@@ -165,17 +179,20 @@ def fit(vectors: DataFrame) -> DataFrame:
     off = [F.percentile(F.abs(F.col(v) - F.col(f"c{i}")), 0.5, F.col("w")).alias(f"q{i}") for i, v in enumerate(V)]
     deviation = vectors.join(centre, GROUP).groupBy(*GROUP).agg(F.first("n").alias("n"), *[F.first(f"c{i}").alias(f"c{i}") for i in range(DIM)], *off)
     sigma = [F.greatest(1.4826 * F.col(f"q{i}") / GRID, F.lit(FLOORS[i])) for i in range(DIM)]
-    estimate = deviation.select(*GROUP, "n", *[(F.col(f"c{i}") / GRID).alias(f"m{i}") for i in range(DIM)], *[(sigma[i] * sigma[i] if i == j else F.lit(0.0)).alias(f"s{i}{j}") for j in range(DIM) for i in range(j, DIM)])
-    estimate = few(_factor(estimate))
+    robust = deviation.select(*GROUP, "n", *[(F.col(f"c{i}") / GRID).alias(f"m{i}") for i in range(DIM)], *[(sigma[i] * sigma[i] if i == j else F.lit(0.0)).alias(f"s{i}{j}") for j in range(DIM) for i in range(j, DIM)])
+    starts = [robust.withColumn("start", F.lit(0)), _moments(vectors, F.sum("w"), GROUP).withColumn("start", F.lit(1))]
+    estimate = few(_factor(reduce(DataFrame.unionByName, starts)))
     for _ in range(STEPS):
-        measured = distance(vectors.join(estimate, GROUP)).withColumn("bin", F.floor(F.log1p("d2") * BIN).cast("int")).select(*GROUP, "n", *V, "w", "bin")
-        near = measured.groupBy(*GROUP).agg(F.percentile("bin", SUPPORT, F.col("w")).alias("within"))
-        inner = measured.join(few(near), GROUP).where(F.col("bin") <= F.ceil("within"))
-        total = F.sum("w")
-        x = [F.col(v) / GRID for v in V]
-        moments = inner.groupBy(*GROUP).agg(F.first("n").alias("n"), total.alias("h"), *[F.sum(x[i] * F.col("w")).alias(f"t{i}") for i in range(DIM)], *[F.sum(x[i] * x[j] * F.col("w")).alias(f"u{i}{j}") for j in range(DIM) for i in range(j, DIM)])
-        estimate = moments.select(*GROUP, "n", *[(F.col(f"t{i}") / F.col("h")).alias(f"m{i}") for i in range(DIM)], *[(F.col(f"u{i}{j}") / F.col("h") - F.col(f"t{i}") * F.col(f"t{j}") / F.col("h") / F.col("h") + F.lit(FLOORS[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for j in range(DIM) for i in range(j, DIM)])
-        estimate = few(_factor(estimate))
+        before = estimate
+        measured = distance(vectors.join(before, GROUP)).withColumn("bin", F.floor(F.log1p("d2") * BIN).cast("int")).select(*RUN, "n", *V, "w", "bin")
+        near = measured.groupBy(*RUN).agg(F.percentile("bin", SUPPORT, F.col("w")).alias("within"))
+        inner = measured.join(few(near), RUN).where(F.col("bin") <= F.ceil("within"))
+        estimate = few(_factor(_moments(inner, F.first("n"), RUN)))
+        moves = reduce(lambda a, b: a | b, [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) > 1e-9 for c in PARTS])
+        if not before.alias("a").join(estimate.alias("b"), RUN).where(moves).limit(1).count():
+            break
+    volume = reduce(lambda a, b: a + b, [F.log(f"l{i}{i}") for i in range(DIM)])
+    estimate = few(estimate.groupBy(*GROUP).agg(F.min_by(F.struct("n", *PARTS, *FACTORS), F.struct(F.round(volume, 9), "start")).alias("best")).select(*GROUP, "best.*"))
     half = distance(vectors.join(estimate, GROUP)).withColumn("bin", F.floor(F.log1p("d2") * BIN).cast("int")).groupBy(*GROUP).agg(F.percentile("bin", 0.5, F.col("w")).alias("half"))
     scale = F.greatest((F.exp(F.col("half") / BIN) - 1) / CHI_MEDIAN, F.lit(1.0))
     return stored(estimate.join(half, GROUP).withColumn("scale", scale).drop("half"))

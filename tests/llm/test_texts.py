@@ -209,6 +209,21 @@ def test_quality_rules(spark):
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_quality_rules_reject_repeats(spark):
+    rng = np.random.default_rng(9)
+
+    def words(n):
+        return ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
+
+    rows = [(i, " ".join(words(int(rng.integers(80, 160))))) for i in range(200)]
+    windows, lines = words(200), words(150)
+    windows[100:130] = windows[:30]  # 60 of 200 words stand in repeated windows
+    rows += [(300, " ".join(windows)), (301, "\n".join([*lines[:100], *["go up"] * 12]))]
+    rows += [(302, "\n".join([" ".join(lines), *["read more"] * 20])), (303, " ".join(windows[:90] + windows[:20]))]
+    out = quality.quality_rules(spark.createDataFrame([(*r, "en", "s0") for r in rows], "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r.base_failed for r in out) and {r.doc_id for r in out if r.kept} == set(range(200))
+
+
 def test_mixing_meets_its_targets(spark):
     rng = np.random.default_rng(3)
     rows = [(i, "word " * int(rng.integers(1, 40)) + rng.choice(["alpha", "gamma", "delta"]), f"s{i % 3 if i % 2 else 0}", "en" if i % 5 else "fr", 0) for i in range(600)]
