@@ -35,6 +35,19 @@ def test_template_of_a_host(spark):
     assert html.html_extraction(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_templates_outside_the_article(spark):
+    def page(i):
+        twice = "<p class=b>Printed twice</p>" * 2
+        most = "" if i == 7 else "<p class=c>On all but one</p>"
+        half = "" if i % 2 and i != 1 else "<p class=d>Half of the pages</p><p class=e>have two lines</p>"
+        few = "<p class=f>On a few</p>" if i % 5 == 0 else ""
+        return f"<div class=x>{twice}{most}{half}{few}<p>Story {i} goes on</p></div>"
+
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(40)] + [(40, "http://a.example/e", ""), (41, "http://a.example/n", None)]
+    got = {r.page_id: r.text for r in html.html_extraction(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: ("On a few\n\n" if i % 5 == 0 else "") + f"Story {i} goes on" for i in range(40)} | {40: "", 41: ""}
+
+
 def test_html_over_the_table(spark, sf):
     got = {r.page_id: r.text for r in html.op3_html_extraction(spark, sf).collect()}
     from html import unescape
