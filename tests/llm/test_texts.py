@@ -48,6 +48,19 @@ def test_templates_outside_the_article(spark):
     assert got == {i: ("On a few\n\n" if i % 5 == 0 else "") + f"Story {i} goes on" for i in range(40)} | {40: "", 41: ""}
 
 
+def test_articles_and_repeated_pages_stay_whole(spark):
+    def article(i):
+        return f"<div><p>Printed here</p></div><article><h2>Introduction</h2><p>Story {i}</p></article>"
+
+    rows = [(i, f"http://b.example/{i}", "<article><p>One page</p></article>") for i in range(20)] + [(100 + i, f"http://c.example/{i}", "<p>Same page</p>") for i in range(20)]
+    rows += [(200 + i, f"http://d.example/{i}", article(i)) for i in range(20)] + [(300, None, "<p>Twin</p>")] * 20
+    out = html.html_extraction(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = {r.page_id: r.text for r in out}
+    assert len(out) == len(rows) and got[300] == "Twin"
+    for i in range(20):
+        assert (got[i], got[100 + i], got[200 + i]) == ("One page", "Same page", f"Introduction\n\nStory {i}")
+
+
 def test_html_over_the_table(spark, sf):
     got = {r.page_id: r.text for r in html.op3_html_extraction(spark, sf).collect()}
     from html import unescape
