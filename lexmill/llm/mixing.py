@@ -2,8 +2,11 @@
 
 Tokens are summed per (source, language, topic) cell. Rounds of fitting scale the
 cells so that their sums meet the target of each source, each language and each
-topic in turn. A document is kept with the probability fitted / present weight of
-its cell, at most 1, drawn by a hash of its id.
+topic in turn; a cell is never scaled above its tokens, what it cannot give is
+asked of the other cells of its side, and rounds go on until the sums settle. A
+document is kept with the probability fitted / present weight of its cell, drawn by
+a hash of its id. What infeasible targets miss is returned with the cells. The query
+``op8_mixing`` gives what its SQL gives: ROUNDS rounds without that bound, cut at 1.
 
 The topic of a text is a bucket of its most frequent word of at least
 ``TOPIC_LETTERS`` letters (ties: the least word); another topic column may be
@@ -28,6 +31,9 @@ TOPIC_LETTERS = 4
 TEMPER = 0.7
 SHARE = 0.8
 ROUNDS = 8
+#: Blocks of rounds at most, and the move of a weight, as a share of its cell, that counts as settled.
+BLOCKS = 12
+SETTLED = 1e-5
 SEED = "mix-1"
 SIDES = ("source", "lang", "topic")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,11 +65,14 @@ def with_tokens(docs: DataFrame, text: Column, topic: Column | None = None) -> D
     return docs.withColumn("_both", both).withColumns({"n_tokens": F.col("_both.n"), "topic": F.col("_both.t")}).drop("_both")
 
 
-def fitted_cells(cells: DataFrame, targets: dict[str, dict] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
-    """``cells`` (source, lang, topic, base) with probability."""
+def fitted_cells(cells: DataFrame, targets: dict[str, dict] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, share: float = SHARE, bounded: bool = True) -> DataFrame:
+    """``cells`` (source, lang, topic, base) with probability and, per side, the tokens its target misses (short_source ...).
+
+    Not ``bounded``: ``rounds`` rounds of plain scaling, cut at 1 after them.
+    """
     targets = targets or {}
-    whole = W.partitionBy(F.lit(1))
-    now = cells.withColumn("total", F.sum("base").over(whole))
+    cells = stored(cells)
+    now = cells.crossJoin(F.broadcast(cells.agg(F.sum("base").alias("total"))))
     for side in SIDES:
         mine = F.sum("base").over(W.partitionBy(side))
         if side in targets:
@@ -73,15 +82,32 @@ def fitted_cells(cells: DataFrame, targets: dict[str, dict] | None = None, tempe
             now = now.withColumn(f"t_{side}", F.pow(mine / F.col("total"), F.lit(temper)))
         # a side's wishes sum to the tokens asked for
         first = F.row_number().over(W.partitionBy(side).orderBy(*SIDES)) == 1
-        now = now.withColumn("_once", F.when(first, F.col(f"t_{side}")).otherwise(0.0))
-        now = now.withColumn(f"t_{side}", F.col(f"t_{side}") / F.sum("_once").over(whole) * F.col("total") * share).drop("_once")
-    now = stored(now.withColumn("w", F.col("base").cast("double")))
-    for _ in range(rounds):
-        for side in SIDES:
-            mine = F.sum("w").over(W.partitionBy(side))
-            now = now.withColumn("w", F.when(mine > 0, F.col("w") * F.col(f"t_{side}") / mine).otherwise(0.0))
+        now = now.withColumn(f"_once_{side}", F.when(first, F.col(f"t_{side}")).otherwise(0.0))
+    now = stored(now)
+    now = now.crossJoin(F.broadcast(now.agg(*[F.sum(f"_once_{s}").alias(f"_all_{s}") for s in SIDES])))
+    now = now.withColumns({f"t_{s}": F.col(f"t_{s}") / F.col(f"_all_{s}") * F.col("total") * share for s in SIDES})
+    now = stored(now.select(*SIDES, "base", *[f"t_{s}" for s in SIDES], F.col("base").cast("double").alias("w")))
+    some = min(rounds, 4) if bounded else rounds  # rounds between two stored tables
+    for _ in range(BLOCKS * rounds // some if bounded else 1):
+        now = now.withColumn("before", F.col("w"))
+        for _ in range(some):
+            for side in SIDES:
+                here, wish = W.partitionBy(side), F.col(f"t_{side}")
+                mine = F.sum("w").over(here)
+                scaled = F.when(mine > 0, F.col("w") * wish / mine).otherwise(0.0)
+                if bounded:
+                    held = F.sum(F.when(F.col("w") >= F.col("base"), F.col("w")).otherwise(0.0)).over(here)
+                    raised = F.when((F.col("w") >= F.col("base")) | (mine <= held), F.col("w")).otherwise(F.least(F.col("base").cast("double"), F.col("w") * (wish - held) / (mine - held)))
+                    scaled = F.when(mine < wish, raised).otherwise(scaled)
+                now = now.withColumn("w", scaled)
+        if bounded:
+            now = stored(now)
+            if not now.where(F.abs(F.col("w") - F.col("before")) > SETTLED * F.col("base")).limit(1).count():
+                break
     probability = F.when(F.col("base") > 0, F.round(F.least(F.col("w") / F.col("base"), F.lit(1.0)), 6)).otherwise(0.0)
-    return now.select(*SIDES, "base", probability.alias("probability"))
+    now = now.withColumn("probability", probability)
+    short = [(F.col(f"t_{s}") - F.sum(F.col("base") * F.col("probability")).over(W.partitionBy(s))).alias(f"short_{s}") for s in SIDES]
+    return now.select(*SIDES, "base", "probability", *short)
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -109,7 +135,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
     counted = stored(with_tokens(docs, F.col("text")).drop("text"))
-    rows = _drawn(counted, F.col("doc_id"), F.col("source"), F.col("lang"))
+    rows = _drawn(counted, F.col("doc_id"), F.col("source"), F.col("lang"), bounded=False)
     return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic", "n_tokens", "probability", "kept")
 
 

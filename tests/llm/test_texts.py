@@ -268,6 +268,30 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.mix_documents(df.limit(0)).count() == 0
 
 
+def test_mixing_meets_its_targets_at_the_defaults(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "word " * int(rng.integers(1, 40)) + str(rng.choice(["alpha", "gamma", "delta", "omega"])), "hot" if i % 2 else f"s{i % 7}", "en" if i % 5 else "fr") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    counted = mixing.stored(mixing.with_tokens(docs, docs["text"]))
+    cells = counted.groupBy("source", "lang", "topic").agg(mixing.F.sum("n_tokens").alias("base"))
+    out = mixing.fitted_cells(cells).collect()
+    total = sum(r.base for r in out)
+    assert all(0 <= r.probability <= 1 for r in out) and any(r.probability == 1 for r in out)
+    missing = 0
+    for side in mixing.SIDES:
+        have, base = Counter(), Counter()
+        for r in out:
+            have[r[side]] += r.base * r.probability
+            base[r[side]] += r.base
+        wish = {k: (v / total) ** mixing.TEMPER for k, v in base.items()}
+        for k in base:
+            want = min(base[k], wish[k] / sum(wish.values()) * total * mixing.SHARE)
+            short = {r[f"short_{side}"] for r in out if r[side] == k}
+            assert len(short) == 1 and short.pop() == pytest.approx(wish[k] / sum(wish.values()) * total * mixing.SHARE - have[k], abs=0.01 * total / 100)
+            missing = max(missing, abs(have[k] / want - 1))
+    assert missing < 0.02
+
+
 def test_url_aliases(spark):
     def link(url):
         return f'<html><LINK href="{url}" rel="canonical"><p>'
