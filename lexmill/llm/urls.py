@@ -10,6 +10,7 @@ compared as host, path and query, without scheme and fragment.
 Only DataFrame functions are used; rules are a short list of the caller. Defined
 cases: a null url, or one without ``://``, has an empty host and path, no rule, no
 alias and is allowed; null html gives no link; equal rows are judged alike.
+Character references of ASCII marks in links are read as the marks.
 """
 
 from __future__ import annotations
@@ -27,6 +28,16 @@ HREF = "(?is)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)"
 REFRESH_TAG = "(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b[^>]*>"
 REFRESH_URL = "(?is)\\burl\\s*=\\s*[\"']?([^\"'\\s>;]+)"
 
+#: Marks of an address by name in HTML, the ampersand last: what it uncovers is not read again.
+MARKS = {'"': "quot|QUOT", "'": "apos", "/": "sol", ":": "colon", "?": "quest", "=": "equals", "#": "num", "%": "percnt", ";": "semi", ",": "comma", ".": "period", "+": "plus", "@": "commat", "&": "amp|AMP"}
+
+
+def decoded(text: Column) -> Column:
+    """``text`` with references of MARKS replaced."""
+    for mark, names in MARKS.items():
+        text = F.regexp_replace(text, f"&(?:{names}|#0*{ord(mark)}|#[xX]0*(?i:{ord(mark):x}));", mark)
+    return text
+
 
 def rest_of(url: Column) -> Column:
     """What follows the first ``://``; null without one."""
@@ -67,8 +78,8 @@ def alias_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(a, b): addresses of pages and of their redirect and canonical targets."""
     html, rest = F.col(html_col), rest_of(F.col(url_col))
     links = F.concat(
-        F.transform(F.regexp_extract_all(html, F.lit(CANONICAL_TAG), F.lit(0)), lambda t: F.regexp_extract(t, HREF, 1)),
-        F.transform(F.regexp_extract_all(html, F.lit(REFRESH_TAG), F.lit(0)), lambda t: F.regexp_extract(t, REFRESH_URL, 1)),
+        F.transform(F.regexp_extract_all(html, F.lit(CANONICAL_TAG), F.lit(0)), lambda t: decoded(F.regexp_extract(t, HREF, 1))),
+        F.transform(F.regexp_extract_all(html, F.lit(REFRESH_TAG), F.lit(0)), lambda t: F.regexp_extract(decoded(t), REFRESH_URL, 1)),
     )
     found = pages.where(rest.isNotNull() & (F.instr(html, "<") > 0)).select(rest.alias("rest"), F.explode(links).alias("link")).where("link <> ''")
     return found.select(address(F.col("rest")).alias("a"), target_of(F.col("link"), host_of(F.col("rest")), path_of(F.col("rest"))).alias("b"))

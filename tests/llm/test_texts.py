@@ -292,6 +292,16 @@ def test_mixing_meets_its_targets_at_the_defaults(spark):
     assert missing < 0.02
 
 
+def test_url_references(spark):
+    def link(url):
+        return f'<link rel="canonical" href="{url}">'
+
+    rows = [(1, "http://b.net/1?page=2&ref=x", link("http://example.org/es/1")), (2, "http://b.net/2", link("http://b.net/1?page=2&amp;ref=x")), (3, "http://b.net/3", link("&#x2F;1?page=2&#38;ref=x"))]
+    rows += [(4, "http://b.net/4", '<meta http-equiv="refresh" content="0; url=&quot;/1?page=2&amp;ref=x&quot;">'), (5, "http://b.net/5", link("/1?page=2&amp;amp;ref=x"))]
+    got = {r.page_id: r.verdict for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
 def test_url_aliases(spark):
     def link(url):
         return f'<html><LINK href="{url}" rel="canonical"><p>'
