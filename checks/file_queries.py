@@ -16,7 +16,7 @@ from lexmill.functions import text as tx
 from lexmill.operators import examples as ex
 from lexmill.operators import gloss as gl
 from lexmill.operators import lexicon as lx
-from lexmill.operators import search as se
+from lexmill.operators import search as se, search_index as si
 from lexmill.operators.common import checkpoint_dir
 from lexmill.plans.build import policy_rows
 from lexmill.plans.match import match_levels
@@ -275,7 +275,7 @@ SQL_PART_FILTER = sq.SQL_DOCS + " SELECT major, count(*) AS entries FROM docs WH
 
 def q_term_only_search(spark, sf):
     """Latin text is looked for in readings and writings only."""
-    return se.matching(sq.docs(spark, sf), se.SearchRequest(text="ka", term_only=True)).select("entry_id")
+    return si.indexed_matching(sq.index(spark, sf), se.SearchRequest(text="ka", term_only=True)).select("entry_id")
 
 
 SQL_TERM_ONLY = sq.SQL_DOCS + """

@@ -10,7 +10,8 @@ from lexmill import fixed
 from lexmill.functions import text as tx
 from lexmill.operators import facets as fc
 from lexmill.operators import kanji as kj
-from lexmill.operators import search as se
+from lexmill.operators import paging, search as se, search_index as si
+from lexmill.operators.common import checkpoint_dir
 from lexmill.operators.variants import variant_forms
 from lexmill.plans.build import ordered_lexicon
 
@@ -30,6 +31,18 @@ def terms(spark, sf) -> DataFrame:
     return fd.stored(spark, sf, "search_terms", lambda s, f: se.search_terms(_searchable(s, f)))
 
 
+_INDEXES: set = set()
+
+
+def index(spark, sf) -> si.SearchIndex:
+    """The stored index, in the order that SQL can state."""
+    folder = f"{checkpoint_dir(spark)}/lexmill/{spark.sparkContext.applicationId}/{abs(hash(sf))}/search_index"
+    if folder not in _INDEXES:
+        si.write_index(docs(spark, sf), terms(spark, sf), folder, BINARY)
+        _INDEXES.add(folder)
+    return si.read_index(spark, folder, BINARY)
+
+
 def _romaji(kana: str) -> str:
     for k, latin in fixed.ROMAJI_SINGLES.items():
         if k in fd.HIRA:
@@ -49,7 +62,7 @@ ORDER = f"coalesce(freq_rank, {fixed.UNRANKED}), CASE WHEN freq_rank IS NOT NULL
 
 def q_search_page(spark, sf):
     request = se.SearchRequest(text="tion", page=2, page_size=24, levels=("A", "B"))
-    page = se.search(docs(spark, sf), terms(spark, sf), request, collation=BINARY)
+    page = si.indexed_search(index(spark, sf), request)
     return page.select("entry_id", "headword", "level", "freq_rank", F.col("score").cast("int").alias("score"))
 
 
@@ -59,6 +72,41 @@ SELECT entry_id, headword, level, freq_rank, CAST(0 AS INTEGER) AS score {_PAGE}
 LIMIT 24 OFFSET (SELECT greatest(0, least(1, CAST(ceil(count(*) / 24.0) AS INTEGER) - 1)) * 24 {_PAGE})"""
 
 
+DEEP = 25
+
+
+def q_deep_page(spark, sf):
+    """The last page of all entries, opened by the rank directory."""
+    page = si.indexed_search(index(spark, sf), se.SearchRequest(page=10**9, page_size=DEEP))
+    return page.select("entry_id", "headword", "freq_rank")
+
+
+SQL_DEEP = SQL_DOCS + f""",
+n AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS place, count(*) OVER () AS total FROM docs)
+SELECT entry_id, headword, freq_rank FROM n WHERE place > (greatest(total, 1) - 1) // {DEEP} * {DEEP}"""
+
+
+def q_next_page(spark, sf):
+    """The entries after the one at place 1,000 (or the last of page 1,000), by its key."""
+    held = index(spark, sf)
+    last = paging.directory_page(held.docs, ["part"], se.result_order(se.SearchRequest(), BINARY), 1000, 1, held.directory.collect())
+    return si.following(held, last, 48).select("entry_id", "headword", "freq_rank")
+
+
+SQL_NEXT = SQL_DOCS + f""",
+n AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS place FROM docs)
+SELECT entry_id, headword, freq_rank FROM n WHERE place BETWEEN 1001 AND 1048"""
+
+
+def q_search_matches(spark, sf):
+    """Entries that hold two typed words, one of them a single letter: by postings and the exact test."""
+    request = se.SearchRequest(text="ent a", levels=("A", "C"))
+    return si.indexed_matching(index(spark, sf), request).select("entry_id", "headword", "level")
+
+
+SQL_MATCHES = SQL_DOCS + " SELECT entry_id, headword, level FROM docs WHERE contains(latin, 'ent') AND contains(latin, 'a') AND level IN ('A', 'C')"
+
+
 def _exact_queries(spark, sf) -> DataFrame:
     b = fd.tokens(spark, sf, "benchmark", ("item_id",)).select("w").distinct()
     two = F.concat(fd.hira("w"), F.lit(" "), fd.kanji_form("w"))
@@ -258,6 +306,9 @@ ORDER BY freq_rank NULLS FIRST, entry_id LIMIT 8"""
 
 QUERIES = {
     "search_page": (q_search_page, SQL_PAGE),
+    "deep_page": (q_deep_page, SQL_DEEP),
+    "next_page": (q_next_page, SQL_NEXT),
+    "search_matches": (q_search_matches, SQL_MATCHES),
     "exact_scores": (q_exact_scores, SQL_EXACT),
     "batch_search": (q_batch_search, SQL_BATCH),
     "part_groups": (q_part_groups, SQL_GROUPS),

@@ -135,6 +135,13 @@ def anchor_length(term: Column) -> Column:
     return out.otherwise(1)
 
 
+def overlapping_blocks(text: Column, longest: int, size: int = TEXT_BLOCK) -> Column:
+    """Array of (n, text): blocks of n characters, each with the ``longest`` - 1 characters that follow it."""
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return F.element_at(F.transform(F.array(cut), lambda bs: F.transform(bs, lambda b, i: F.struct(
+        F.length(b).alias("n"), F.concat(b, F.left(F.coalesce(F.get(bs, i + 1), F.lit("")), F.lit(longest - 1))).alias("text")))), 1)
+
+
 def find_terms(texts: DataFrame, keep: list[str], text_col: str, terms: DataFrame) -> DataFrame:
     """Rows of ``terms`` for every term that occurs inside a text.
 

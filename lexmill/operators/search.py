@@ -19,6 +19,7 @@ from lexmill.functions import classify as cl
 from lexmill.functions import text as tx
 from lexmill.functions.romaji import kana_to_romaji, romaji_variants
 from lexmill.operators.common import cut_lineage, find_terms, first_n, with_nfkc
+from lexmill.operators.paging import dealt_page
 from lexmill.operators.variants import variant_forms, with_indexed_text
 
 FIELD = "\u0001"
@@ -286,23 +287,10 @@ def ranked(found: DataFrame, terms: DataFrame | None, request: SearchRequest) ->
     return scored.withColumn("score", F.coalesce("score", F.lit(0)))
 
 
-def page_of(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """One page. Spark keeps the first page * size rows per task, no full sort.
-
-    A page past the end is clamped to the last one, which needs a count; the
-    first page never does.
-    """
-    page = max(1, page)
-    if page > 1:
-        total = rows.count()
-        page = min(page, max(1, -(-total // size)))
-    return rows.orderBy(*order).offset((page - 1) * size).limit(size)
-
-
 def search(docs: DataFrame, terms: DataFrame | None, request: SearchRequest, variants: DataFrame | None = None,
            progress: DataFrame | None = None, user_id=None, collation: str = "ja") -> DataFrame:
     found = matching(docs, request, variants, progress, user_id)
-    return page_of(ranked(found, terms, request), result_order(request, collation), request.page, request.page_size)
+    return dealt_page(ranked(found, terms, request), result_order(request, collation), request.page, request.page_size)
 
 
 # -- many requests at once --------------------------------------------------------------

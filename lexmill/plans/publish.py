@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from lexmill.operators import facets as fc
 from lexmill.operators import kanji as kj
 from lexmill.operators import search as se
+from lexmill.operators.search_index import SearchIndex, write_index
 from lexmill.sources import sinks
 
 FACETS = ["major", "level", "ref_level", "transitivity"]
@@ -25,15 +26,6 @@ def export_tables(lexicon: DataFrame, tree: DataFrame, out: str | None = None) -
     return tables
 
 
-def write_search_tables(lexicon: DataFrame, out: str, variants: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Store ``search_docs`` by class and ``search_terms`` sorted by term.
-
-    Sorting by term lets a request for a few exact terms skip almost every
-    row group of the term table.
-    """
-    spark = lexicon.sparkSession
-    docs = se.search_docs(lexicon, variants)
-    sinks.write_parquet(docs, f"{out}/search_docs", ["major"])
-    terms = se.search_terms(lexicon, variants)
-    terms.repartitionByRange("term", "entry_id").sortWithinPartitions("term", "entry_id").write.mode("overwrite").parquet(f"{out}/search_terms")
-    return spark.read.parquet(f"{out}/search_docs"), spark.read.parquet(f"{out}/search_terms")
+def write_search_tables(lexicon: DataFrame, out: str, variants: DataFrame | None = None, collation: str = "ja") -> SearchIndex:
+    """Store the search index of a lexicon: entries by rank, gram postings, exact terms, rank directory."""
+    return write_index(se.search_docs(lexicon, variants), se.search_terms(lexicon, variants), out, collation)
