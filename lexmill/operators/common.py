@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -123,7 +124,7 @@ def last_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 ANCHORS = (8, 4, 2, 1)
-TEXT_BLOCK = 256
+TEXT_BLOCK = 64
 
 
 def anchor_length(term: Column) -> Column:
@@ -142,34 +143,84 @@ def overlapping_blocks(text: Column, longest: int, size: int = TEXT_BLOCK) -> Co
         F.length(b).alias("n"), F.concat(b, F.left(F.coalesce(F.get(bs, i + 1), F.lit("")), F.lit(longest - 1))).alias("text")))), 1)
 
 
+FILTER_BITS = 1 << 23
+
+
+def _probes(anchor: Column, bits: int) -> list[Column]:
+    """Places of an anchor in a set of bits."""
+    h = F.xxhash64(anchor)
+    return [h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))]
+
+
+def anchor_filter(anchors: DataFrame, rows: int, most: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """Test whether an anchor may be among ``anchors`` (never wrong about one that is).
+
+    The set of bits is built by aggregation, has at most ``most`` bits and
+    reaches the tasks as one array value.
+    """
+    bits = min(most, 1 << max(12, (16 * rows).bit_length()))
+    places = anchors.select(F.explode(F.array(*_probes(F.col("anchor"), bits))).alias("p"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(mask).alias("b"))
+    every = anchors.sparkSession.range(0, bits // 64, 1, 1).withColumnRenamed("id", "w").join(words, "w", "left")
+    held = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")))), lambda x: x["b"])).scalar()
+
+    def test(anchor: Column) -> Column:
+        bit = lambda p: F.call_function("getbit", F.get(held, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
+        return reduce(lambda a, b: a & b, [bit(p) for p in _probes(anchor, bits)])
+
+    return test
+
+
 def find_terms(texts: DataFrame, keep: list[str], text_col: str, terms: DataFrame) -> DataFrame:
     """Rows of ``terms`` for every term that occurs inside a text.
 
     ``keep`` names the narrow columns of ``texts`` (id, lengths) that go with
-    each hit. A text is cut into blocks that overlap by the longest term; each
-    position of a block gives the piece that starts there, with at most one
-    anchor (its first 8, 4, 2 or 1 characters) for each anchor length that terms
-    have. Anchors meet the terms' anchors by equality and the piece decides. So
-    rows are positions times at most four, at any number of terms, and no long
-    text is one array. Positions are code points. One pass over the terms gives
-    their longest length; a measured small table is broadcast.
+    each hit. A text is cut into blocks; each position of a block is a row with
+    the first 8, 4, 2 or 1 characters from there, as far as terms have anchors of
+    that length. A set of bits of the terms' anchors drops most of them where
+    they arise; the rest meet the anchors by equality.
+
+    Where the terms are measured small they are broadcast and tested on the
+    block, without a shuffle. Otherwise a row that travels holds 8 characters
+    and a place, however long the terms are; terms of more than 8 characters are
+    tested in a second step, on the text at the places that are left. Positions
+    are code points, so no code point is cut.
     """
     terms = terms.where(F.length("term") > 0)
     words = terms.select("term").distinct().withColumn("anchor", F.left("term", anchor_length(F.col("term"))))
-    longest, classes = words.agg(F.max(F.length("term")), F.collect_set(F.length("anchor"))).first()
-    longest, classes = longest or 1, sorted(classes) or [1]
-    block = max(TEXT_BLOCK, longest)
-    cut = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
-    overlapping = F.element_at(
-        F.transform(F.array(cut), lambda bs: F.transform(bs, lambda b, i: F.struct(
-            F.length(b).alias("n"), F.concat(b, F.left(F.coalesce(F.get(bs, i + 1), F.lit("")), F.lit(longest - 1))).alias("text")))), 1)
-    blocks = texts.select(*keep, F.explode(overlapping).alias("_block"))
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_block.n")), lambda i: F.substring(F.col("_block.text"), i, longest)))
-    anchored = F.flatten(F.transform(pieces, lambda x: F.filter(
-        F.array(*[F.struct(F.left(x, F.lit(n)).alias("anchor"), x.alias("piece")) for n in classes]), lambda a: F.length(a["anchor"]) <= F.length(x))))
-    if classes != [1]:
-        full = lambda a: F.length(a["anchor"]).isin(classes)
-        anchored = F.filter(anchored, full)
-    starts = blocks.select(*keep, F.explode(anchored).alias("_a")).select(*keep, "_a.anchor", "_a.piece")
-    hits = starts.join(broadcast_if_small(words), "anchor").where(F.startswith("piece", "term")).select(*keep, "term").distinct()
-    return hits.join(broadcast_if_small(terms), "term")
+    longest, classes, rows, size = words.agg(F.max(F.length("term")), F.collect_set(F.length("anchor")), F.count("*"), F.sum(row_bytes(words))).first()
+    if not rows:
+        return texts.select(*keep).limit(0).join(terms.limit(0), F.lit(True))
+    small = size <= BROADCAST_BYTES
+    found = _anchored(texts, keep, text_col, words, sorted(classes), longest, rows, small).distinct()
+    return found.join(broadcast_if_small(terms) if small else terms, "term")
+
+
+def _anchored(texts: DataFrame, keep: list[str], text_col: str, words: DataFrame, classes: list[int], longest: int, rows: int, small: bool) -> DataFrame:
+    """(keep..., term), perhaps repeated, by anchors and blocks."""
+    reach = max(longest if small else 0, ANCHORS[0])
+    block = max(TEXT_BLOCK, 2 * reach)
+    may_be = anchor_filter(words, rows)
+    blocks = texts.select(*keep, F.posexplode(overlapping_blocks(F.col(text_col), reach, block)).alias("_k", "_b"))
+    places = blocks.select(*keep, "_k", F.col("_b.text").alias("_text"), F.explode(F.sequence(F.lit(1), F.col("_b.n"))).alias("_i"))
+    starts = places.withColumn("_piece", F.substring("_text", F.col("_i"), F.lit(ANCHORS[0])))
+
+    def anchor(n: int) -> Column:
+        own = F.left("_piece", F.lit(n))
+        # a single character counts where it first stands in its block
+        first = F.lit(True) if n > 1 else F.instr(F.col("_text"), own) == F.col("_i")
+        return F.when((F.length(own) == n) & may_be(own) & first, own)
+
+    met = starts.withColumn("anchor", F.explode(F.array(*[anchor(n) for n in classes]))).where(F.col("anchor").isNotNull())
+    short = F.length("term") <= ANCHORS[0]
+    begins = (F.length("term") == F.length("anchor")) | F.startswith("_piece", "term")
+    if small:
+        held = met.join(F.broadcast(words), "anchor")
+        return held.where(F.when(short, begins).otherwise(F.startswith(F.substring("_text", F.col("_i"), F.lit(longest)), "term"))).select(*keep, "term")
+    met = met.select(*keep, "anchor", "_piece", (F.col("_k") * block + F.col("_i")).alias("_at")).join(words, "anchor")
+    sure = met.where(short & begins).select(*keep, "term")
+    open_ = met.where(~short).select(*[F.col(k).alias(f"_{k}") for k in keep], "term", "_at").distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keep])
+    late = texts.select(*keep, F.col(text_col).alias("_whole")).join(open_, same).where(F.substring("_whole", F.col("_at"), F.length("term")) == F.col("term"))
+    return sure.unionByName(late.select(*keep, "term"))
