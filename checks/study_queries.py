@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from checks import feeds as fd
 from lexmill.operators import progress as pg
 from lexmill.operators.common import checkpoint_dir
-from lexmill.operators.translate import latest_records
+from lexmill.operators.translate import cache_overrides, latest_records
+from lexmill.operators.versions import Versions
 from lexmill.streaming import progress as sp
 from lexmill.streaming import translations as st
 
@@ -78,6 +79,41 @@ def q_streamed_cache(spark, sf):
     return st.current_overrides(users, spark.read.parquet(f"{folder}/log"), "events").select("entry_id", "translation", "translation_source")
 
 
+def _slices(df, n=5):
+    """Whole-table slices by time, so that rows of one time stay together."""
+    return [df.where(F.pmod(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000), F.lit(n)) == i) for i in range(n)]
+
+
+def q_kept_progress(spark, sf):
+    """Five batches, out of order and each given twice, kept as a compacted snapshot and its tail."""
+    log = Versions(spark, _run_folder(spark))
+    for n, part in enumerate(_slices(toggles(spark, sf))):
+        for _ in range(2):
+            sp.add_events(log, part, n, lateness="100 years", most=2)
+    return sp.kept_progress(log)
+
+
+def q_kept_progress_in_order(spark, sf):
+    """Five batches in the order of time, the older part folded to set marks at each compaction."""
+    log = Versions(spark, _run_folder(spark))
+    t = toggles(spark, sf)
+    span = t.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("a"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("b")).first()
+    step = (span.b - span.a) // 5 + 1 if span.a is not None else 1
+    for n in range(5):
+        sp.add_events(log, t.where(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(span.a)) / step) == n), n, lateness="1 hour", most=1)
+    return sp.kept_progress(log)
+
+
+def q_kept_cache(spark, sf):
+    """Records in five batches, each given twice, kept as a versioned cache."""
+    cache = Versions(spark, _run_folder(spark))
+    e = fd.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("entry_id"), F.array("event_type").alias("translation"), F.lit(None).cast("string").alias("source"), "ts", F.col("event_id").alias("seq"))
+    for n, part in enumerate(_slices(e)):
+        for _ in range(2):
+            st.add_records(cache, part.withColumnRenamed("ts", "created_at"), n, most=2)
+    return cache_overrides(e.select("entry_id").distinct(), st.cached_records(cache), "events").select("entry_id", "translation", "translation_source")
+
+
 SQL_CACHE = """SELECT CAST(user_id AS VARCHAR) AS entry_id, arg_max(event_type, (ts, event_id)) AS translation, 'events' AS translation_source
 FROM events GROUP BY user_id"""
 
@@ -104,6 +140,9 @@ SELECT * FROM cur WHERE user_id NOT IN (SELECT user_id FROM imp) UNION ALL SELEC
 QUERIES = {
     "study_progress": (q_study_progress, SQL_FOLD),
     "toggle_parity": (q_toggle_parity, SQL_PARITY),
+    "kept_progress": (q_kept_progress, SQL_FOLD),
+    "kept_progress_in_order": (q_kept_progress_in_order, SQL_FOLD),
+    "kept_cache": (q_kept_cache, SQL_CACHE),
     "streamed_progress": (q_streamed_progress, SQL_FOLD),
     "streamed_cache": (q_streamed_cache, SQL_CACHE),
     "latest_records": (q_latest_records, SQL_LATEST),

@@ -8,6 +8,10 @@ from checks import feeds as fd
 from lexmill import fixed
 from lexmill.operators import gloss as gl
 from lexmill.operators import translate as tr
+from lexmill.operators.batches import request_batches
+from lexmill.operators.common import checkpoint_dir
+from lexmill.operators.versions import Versions
+from lexmill.plans.translation_run import translation_run
 
 SEP = fixed.LIST_SEPARATOR
 PLAIN = "^[a-z]{5,}$"
@@ -212,6 +216,55 @@ r AS (SELECT doc_id, shard, rn, CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS
 SELECT doc_id, shard, batch FROM r"""
 
 
+def q_request_sequence(spark, sf):
+    """All documents packed in one sequence of batches, in parts of 300 rows."""
+    docs = fd.table(spark, sf, "documents").select("doc_id", "n_chars", F.length("lang").alias("texts"))
+    return request_batches(docs, ["doc_id"], "n_chars", max_rows=12, max_chars=20_000, count="texts", part_rows=300).select("doc_id", "batch")
+
+
+SQL_SEQUENCE = """
+WITH RECURSIVE o AS (SELECT doc_id, n_chars, length(lang) AS texts, row_number() OVER (ORDER BY doc_id) AS rn FROM documents),
+r AS (SELECT doc_id, rn, CAST(0 AS BIGINT) AS batch, CAST(texts AS BIGINT) AS held, CAST(n_chars AS BIGINT) AS used FROM o WHERE rn = 1
+  UNION ALL SELECT o.doc_id, o.rn, CASE WHEN held + o.texts > 12 OR used + o.n_chars > 20000 THEN batch + 1 ELSE batch END,
+    CASE WHEN held + o.texts > 12 OR used + o.n_chars > 20000 THEN o.texts ELSE held + o.texts END, CASE WHEN held + o.texts > 12 OR used + o.n_chars > 20000 THEN o.n_chars ELSE used + o.n_chars END
+  FROM r JOIN o ON o.rn = r.rn + 1)
+SELECT doc_id, batch FROM r"""
+
+
+def _part_lexicon(spark, sf) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return fd.table(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("entry_id"), F.col("p_partkey").alias("doc_pos"), F.col("p_name").alias("headword"), F.col("p_brand").alias("reading"),
+        F.when(F.col("p_size") > 10, "A").otherwise("B").alias("level"), F.col("p_type").alias("major"), F.array("p_type").alias("pos"),
+        F.split("p_name", " ").alias("glosses"), none.alias("translation"), none.alias("translation_source"))
+
+
+def _answers(requests: DataFrame, skip: int) -> DataFrame:
+    """A stand-in for the service: each item's reading, but for ids that ``skip`` divides."""
+    item = requests.select("batch", F.explode("items").alias("item"))
+    read = item.select("batch", F.get_json_object("item", "$.id").alias("id"), F.get_json_object("item", "$.reading").alias("reading"))
+    kept = read.where(F.col("id").cast("long") % skip != 0)
+    return kept.groupBy("batch").agg(F.to_json(F.struct(F.collect_list(F.struct("id", F.array("reading").alias("translation"))).alias("items"))).alias("content"))
+
+
+def q_translation_run(spark, sf):
+    """Two runs over one cache: the second asks only for what the first got no answer to."""
+    import uuid
+
+    folder = f"{checkpoint_dir(spark)}/lexmill/run-{uuid.uuid4().hex}"
+    lexicon, audit = _part_lexicon(spark, sf), spark.createDataFrame([("entries", "0", "")], "item string, amount string, note string")
+    cache = Versions(spark, f"{folder}/cache")
+    for n, skip in enumerate((7, 21)):
+        run = translation_run(lexicon, audit, lambda r, s=skip: _answers(r, s), cache, Versions(spark, f"{folder}/run{n}"), "service", f"2024-01-0{n + 1} 00:00:00")
+    asked = run.requests.select(F.explode("items").alias("item")).select(F.get_json_object("item", "$.id").alias("entry_id"), F.lit(True).alias("asked_again"))
+    return run.lexicon.join(asked, "entry_id", "left").select("entry_id", "translation", "translation_source", "updated", F.coalesce("asked_again", F.lit(False)).alias("asked_again"))
+
+
+SQL_RUN = """
+SELECT CAST(p_partkey AS VARCHAR) AS entry_id, CASE WHEN p_partkey % 21 <> 0 THEN p_brand END AS translation,
+  CASE WHEN p_partkey % 21 <> 0 THEN 'service' END AS translation_source, p_partkey % 21 <> 0 AS updated, p_partkey % 7 = 0 AS asked_again FROM part"""
+
+
 def _replies(spark, sf):
     e = fd.table(spark, sf, "events")
     i, t = F.col("event_id").cast("string"), F.col("event_type")
@@ -304,6 +357,8 @@ QUERIES = {
     "pending_rows": (q_pending_rows, SQL_PENDING),
     "character_budget": (q_character_budget, SQL_BUDGET),
     "request_batches": (q_request_batches, SQL_BATCHES),
+    "request_sequence": (q_request_sequence, SQL_SEQUENCE),
+    "translation_run": (q_translation_run, SQL_RUN),
     "request_sizes": (q_request_sizes, SQL_SIZES),
     "parsed_replies": (q_parsed_replies, SQL_REPLIES),
     "missing_replies": (q_missing_replies, SQL_MISSING),

@@ -7,6 +7,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from lexmill.operators.common import last_per_key
 from lexmill.operators.translate import cache_overrides
+from lexmill.operators.versions import Versions
+
+MOST_FOLDERS = 8
 
 
 def log_records(records: DataFrame, log: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -33,3 +36,31 @@ def current_cache(log: DataFrame) -> DataFrame:
 
 def current_overrides(lexicon: DataFrame, log: DataFrame, source_label: str) -> DataFrame:
     return cache_overrides(lexicon, current_cache(log), source_label)
+
+
+def compact_cache(records: DataFrame) -> DataFrame:
+    """One record per id, the latest; it keeps its batch, so later batches compare as before."""
+    return last_per_key(records, ["entry_id"], F.struct("created_at", "batch", "seq"))
+
+
+def upsert_records(records: DataFrame, folder: str, checkpoint: str, source: str = "records", most: int = MOST_FOLDERS, trigger: dict | None = None) -> StreamingQuery:
+    """Keep a versioned cache: a micro-batch is reduced, stored and named by a manifest that carries its id.
+
+    A batch that runs again, or again after a crash before the manifest was in
+    place, changes nothing. A read opens at most ``most`` folders however old
+    the stream is. ``source`` names the stream where several write to a folder.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        add_records(Versions(batch.sparkSession, folder), batch, batch_id, source, most)
+
+    return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def add_records(cache: Versions, batch: DataFrame, batch_id: int, source: str = "records", most: int = MOST_FOLDERS) -> bool:
+    return cache.append(compact_cache(batch.withColumn("batch", F.lit(batch_id).cast("long"))), source, batch_id, compact_cache, most)
+
+
+def cached_records(cache: Versions) -> DataFrame | None:
+    rows = cache.current()
+    return None if rows is None else compact_cache(rows)
