@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -55,10 +57,47 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/lexmill/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    for owner in _OWNERS:
+        owner.append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+_OWNERS: list[list[str]] = []
+
+
+@contextmanager
+def owned_cuts() -> Iterator[list[str]]:
+    """The folders of all tables that ``cut_lineage`` stores inside the block, for their owner to drop."""
+    mine: list[str] = []
+    _OWNERS.append(mine)
+    try:
+        yield mine
+    finally:
+        _OWNERS[:] = [o for o in _OWNERS if o is not mine]
+
+
+def roots(df: DataFrame) -> set[str]:
+    """Folders and files that a DataFrame's plan reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    out: set[str] = set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            out |= set(leaf.relation().location().rootPaths().mkString("\n").split("\n"))
+    return out
+
+
+def drop_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of the shared file system, and let Spark clean the shuffle files that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 #: Text of these characters alone is its own NFKC form; anything else may not be.
 NFKC_STABLE = r"^[\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u3001-\u3020\u3041-\u3096\u309D\u309E\u30A1-\u30FE\u4E00-\u9FFF]*$"
 
