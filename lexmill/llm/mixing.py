@@ -34,6 +34,8 @@ ROUNDS = 8
 #: Blocks of rounds at most, and the move of a weight, as a share of its cell, that counts as settled.
 BLOCKS = 12
 SETTLED = 1e-5
+#: Cells that one task holds while fitting.
+FEW_CELLS = 100_000
 SEED = "mix-1"
 SIDES = ("source", "lang", "topic")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,7 +74,11 @@ def fitted_cells(cells: DataFrame, targets: dict[str, dict] | None = None, tempe
     """
     targets = targets or {}
     cells = stored(cells)
-    now = cells.crossJoin(F.broadcast(cells.agg(F.sum("base").alias("total"))))
+    # Cells are one row per (source, lang, topic). Where they are measured few they stay in one task, and no
+    # round shuffles them; beyond that every side is a shuffle of its own.
+    few = cells.count() <= FEW_CELLS
+    held_in = lambda df: df.coalesce(1) if few else df
+    now = held_in(cells).crossJoin(F.broadcast(cells.agg(F.sum("base").alias("total"))))
     for side in SIDES:
         mine = F.sum("base").over(W.partitionBy(side))
         if side in targets:
@@ -83,10 +89,10 @@ def fitted_cells(cells: DataFrame, targets: dict[str, dict] | None = None, tempe
         # a side's wishes sum to the tokens asked for
         first = F.row_number().over(W.partitionBy(side).orderBy(*SIDES)) == 1
         now = now.withColumn(f"_once_{side}", F.when(first, F.col(f"t_{side}")).otherwise(0.0))
-    now = stored(now)
+    now = held_in(stored(now))
     now = now.crossJoin(F.broadcast(now.agg(*[F.sum(f"_once_{s}").alias(f"_all_{s}") for s in SIDES])))
     now = now.withColumns({f"t_{s}": F.col(f"t_{s}") / F.col(f"_all_{s}") * F.col("total") * share for s in SIDES})
-    now = stored(now.select(*SIDES, "base", *[f"t_{s}" for s in SIDES], F.col("base").cast("double").alias("w")))
+    now = held_in(stored(now.select(*SIDES, "base", *[f"t_{s}" for s in SIDES], F.col("base").cast("double").alias("w"))))
     some = min(rounds, 4) if bounded else rounds  # rounds between two stored tables
     for _ in range(BLOCKS * rounds // some if bounded else 1):
         now = now.withColumn("before", F.col("w"))
@@ -101,7 +107,7 @@ def fitted_cells(cells: DataFrame, targets: dict[str, dict] | None = None, tempe
                     scaled = F.when(mine < wish, raised).otherwise(scaled)
                 now = now.withColumn("w", scaled)
         if bounded:
-            now = stored(now)
+            now = held_in(stored(now))
             if not now.where(F.abs(F.col("w") - F.col("before")) > SETTLED * F.col("base")).limit(1).count():
                 break
     probability = F.when(F.col("base") > 0, F.round(F.least(F.col("w") / F.col("base"), F.lit(1.0)), 6)).otherwise(0.0)
