@@ -231,6 +231,25 @@ r AS (SELECT doc_id, rn, CAST(0 AS BIGINT) AS batch, CAST(texts AS BIGINT) AS he
 SELECT doc_id, batch FROM r"""
 
 
+def q_text_batches(spark, sf):
+    """Parts as a repair queue: levels first, then short names, packed by words and characters."""
+    p = fd.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 30, "B").when(F.col("p_size") > 10, "A").otherwise("D").alias("level"),
+        F.col("p_brand").alias("word"), F.split(F.regexp_replace("p_name", "red", ""), " ").alias("glosses"))
+    return tr.text_batches(p, 45, 300).select("id", "batch")
+
+
+SQL_TEXT_BATCHES = """
+WITH RECURSIVE p AS (SELECT p_partkey AS id, CASE WHEN p_size > 30 THEN 1 WHEN p_size > 10 THEN 0 ELSE 9 END AS lr, p_brand AS word, string_split(replace(p_name, 'red', ''), ' ') AS g FROM part),
+q AS (SELECT *, len(list_filter(g, lambda x: x <> '')) AS texts, length(array_to_string(g, '')) AS chars FROM p),
+o AS (SELECT id, texts, chars, row_number() OVER (ORDER BY lr, chars, word, id) AS rn FROM q WHERE texts > 0),
+r AS (SELECT id, rn, CAST(0 AS BIGINT) AS batch, CAST(texts AS BIGINT) AS held, CAST(chars AS BIGINT) AS used FROM o WHERE rn = 1
+  UNION ALL SELECT o.id, o.rn, CASE WHEN held + o.texts > 45 OR used + o.chars > 300 THEN batch + 1 ELSE batch END,
+    CASE WHEN held + o.texts > 45 OR used + o.chars > 300 THEN o.texts ELSE held + o.texts END, CASE WHEN held + o.texts > 45 OR used + o.chars > 300 THEN o.chars ELSE used + o.chars END
+  FROM r JOIN o ON o.rn = r.rn + 1)
+SELECT id, batch FROM r"""
+
+
 def _part_lexicon(spark, sf) -> DataFrame:
     none = F.lit(None).cast("string")
     return fd.table(spark, sf, "part").select(
@@ -357,6 +376,7 @@ QUERIES = {
     "pending_rows": (q_pending_rows, SQL_PENDING),
     "character_budget": (q_character_budget, SQL_BUDGET),
     "request_batches": (q_request_batches, SQL_BATCHES),
+    "text_batches": (q_text_batches, SQL_TEXT_BATCHES),
     "request_sequence": (q_request_sequence, SQL_SEQUENCE),
     "translation_run": (q_translation_run, SQL_RUN),
     "request_sizes": (q_request_sizes, SQL_SIZES),

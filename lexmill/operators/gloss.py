@@ -362,13 +362,13 @@ def translation_outcomes(entries: DataFrame, translations: DataFrame, levels: li
     )
 
 
-def repair_queue(entries: DataFrame, translations: DataFrame) -> DataFrame:
-    """Rows below the confidence threshold, in the queue's published shape."""
+def repair_queue(entries: DataFrame, translations: DataFrame, instruction: str = "") -> DataFrame:
+    """Rows below the confidence threshold, in the queue's published shape; the caller words the instruction."""
     low = translations.where(F.col("translation_source") == fixed.REPAIR_SOURCE)
     return entries.drop("translation", "translation_source").join(low, "entry_id").select(
         F.col("entry_id").alias("id"), "level", F.col("headword").alias("word"), "reading", "major",
         F.array_join("pos", fixed.LIST_SEPARATOR).alias("subpos"), "glosses",
         F.col("translation").alias("draft_translation"),
         F.round("confidence", 2).alias("min_confidence"), "methods",
-        F.lit(fixed.REPAIR_INSTRUCTION).alias("instruction"),
+        F.lit(instruction).alias("instruction"),
     )

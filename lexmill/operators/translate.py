@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lexmill import fixed
 from lexmill.functions import text as tx
+from lexmill.operators.batches import request_batches
 from lexmill.operators.common import broadcast_if_small, cut_lineage, last_per_key, running_totals
 
 
@@ -23,10 +24,22 @@ def queue_level_rank(level) -> Column:
     return F.coalesce(F.try_element_at(table, tx.as_col(level)), F.lit(fixed.QUEUE_OTHER_LEVEL))
 
 
+def queue_keys(queue: DataFrame) -> DataFrame:
+    """Repair queue with its order: level, gloss characters, word, id, as columns."""
+    chars = F.aggregate("glosses", F.lit(0), lambda n, g: n + F.length(g))
+    return queue.withColumns({"level_rank": queue_level_rank("level"), "chars": chars})
+
+
 def queue_order(queue: DataFrame) -> DataFrame:
     """Repair queue by level, gloss characters, word."""
-    chars = F.aggregate("glosses", F.lit(0), lambda n, g: n + F.length(g))
-    return queue.orderBy(queue_level_rank("level"), chars, "word", "id")
+    return queue_keys(queue).orderBy("level_rank", "chars", "word", "id").drop("level_rank", "chars")
+
+
+def text_batches(queue: DataFrame, max_texts: int = fixed.TEXT_BATCH_ROWS, max_chars: int = fixed.TEXT_BATCH_CHARS) -> DataFrame:
+    """Repair queue packed by number of texts and characters, in the queue's order; rows without a text are left out."""
+    texts = F.filter("glosses", lambda g: g != "")
+    keyed = queue_keys(queue).withColumn("texts", F.size(texts)).where(F.col("texts") > 0)
+    return request_batches(keyed, ["level_rank", "chars", "word", "id"], "chars", max_texts, max_chars, "texts")
 
 
 def within_budget(rows: DataFrame, priority: str, size: str, order: list[str], budget: int = fixed.CHARACTER_BUDGET,

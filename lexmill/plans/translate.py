@@ -12,7 +12,7 @@ from lexmill.sources import sinks
 
 def translate_lexicon(lexicon: DataFrame, tables: DataFrame, reverse: DataFrame | None = None, out: str | None = None,
                       levels: tuple[str, ...] = ("A",), preserve_prefixes: tuple[str, ...] = (),
-                      threshold: float = fixed.CONFIDENCE_THRESHOLD, max_rows: int = 0) -> dict[str, DataFrame]:
+                      threshold: float = fixed.CONFIDENCE_THRESHOLD, max_rows: int = 0, instruction: str = "") -> dict[str, DataFrame]:
     """Overrides, repair queue and outcome counts."""
     rows = lexicon.where(F.col("level").isin(list(levels))) if levels else lexicon
     if "translation_source" in rows.columns:
@@ -22,12 +22,12 @@ def translate_lexicon(lexicon: DataFrame, tables: DataFrame, reverse: DataFrame
     asked = rows.select(F.explode("glosses").alias("gloss"), "major")
     translated = gl.translate_glosses(asked, tables, reverse)
     overrides = gl.entry_translations(rows, translated, threshold=threshold)
-    queue = gl.repair_queue(rows, overrides)
+    queue = gl.repair_queue(rows, overrides, instruction)
     outcomes = gl.translation_outcomes(lexicon, overrides, list(levels), preserve_prefixes)
     if out:
         sinks.write_parquet(overrides, f"{out}/tables/translations")
         overrides = overrides.sparkSession.read.parquet(f"{out}/tables/translations")
-        queue = gl.repair_queue(rows, overrides)
+        queue = gl.repair_queue(rows, overrides, instruction)
         outcomes = gl.translation_outcomes(lexicon, overrides, list(levels), preserve_prefixes)
         sinks.write_overrides(overrides, out)
         sinks.write_repair_queue(queue, out)
