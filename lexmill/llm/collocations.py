@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -221,82 +221,114 @@ def _count(k: int, filters: dict[int, Broadcast], mask: int):
     return run
 
 
-def _equal(low: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether the bytes from each a equal those from each b, over ``sizes`` bytes."""
-    out = np.ones(len(a), np.bool_)
-    i, ends = 0, np.cumsum(sizes)
-    while i < len(a):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 21), "right")))
-        same = low[ranges(a[i:j], sizes[i:j])] == low[ranges(b[i:j], sizes[i:j])]
-        out[i:j] = np.logical_and.reduceat(same, np.r_[0, ends[i : j - 1] - (ends[i - 1] if i else 0)])
-        i = j
-    return out
-
-
 def joined(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words with one blank between them, and their places there."""
     sizes = ends - starts
     new_ends = np.cumsum(sizes + 1) - 1
-    text = np.full(int(new_ends[-1]) + 1 if len(sizes) else 0, 32, np.uint8)
+    text = np.full((int(new_ends[-1]) if len(sizes) else 0) + 9, 32, np.uint8)  # spare bytes for lanes
     text[ranges(new_ends - sizes, sizes)] = low[ranges(starts, sizes)]
     return text, new_ends - sizes, new_ends
 
 
-def phrase_counts(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, k: int, prints: np.ndarray, add: Callable) -> None:
-    """Give ``add(first place, phrase, count)`` per phrase; equal fingerprints are compared byte by byte."""
-    order = np.argsort(prints, kind="stable")
-    at, prints = at[order], prints[order]
-    first = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]])
-    group = np.cumsum(np.r_[True, prints[1:] != prints[:-1]]) - 1
-    pointer = at[first][group]
-    a, sizes = starts[at], ends[at + k - 1] - starts[at]
-    same = sizes == ends[pointer + k - 1] - starts[pointer]
-    same[same] = _equal(text, a[same], starts[pointer][same], sizes[same])
-    for place, count in zip(at[first].tolist(), np.bincount(group, same, len(first)).astype(np.int64).tolist(), strict=True):
-        add(place, text[starts[place] : ends[place + k - 1]].tobytes(), count)
-    for place in at[~same].tolist():
-        add(place, text[starts[place] : ends[place + k - 1]].tobytes(), 1)
+def _lanes(buffer: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of a buffer that ends in eight spare bytes."""
+    return np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
 
 
-def _materialise(filters: dict[int, Broadcast], mask: int):
-    schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+_LANE_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = {n: b.value for n, b in filters.items()}
-        held: Counter = Counter()
 
-        def out():
-            rows = list(held.items())
-            for i in range(0, len(rows), 50_000):
-                keys = [x for x, _ in rows[i : i + 50_000]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in keys]), pa.array([x[1] for x in keys], pa.int32()), pa.array([x[2] for x in keys], pa.binary()).cast(pa.string()), pa.array([n for _, n in rows[i : i + 50_000]], pa.int64())],
-                    schema=schema)
-            held.clear()
+def equal_bytes(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes of ``left`` from each a equal those of ``right`` from each b, over ``sizes`` bytes."""
+    x, y = _lanes(left), _lanes(right)
+    out, at, j = np.ones(len(a), np.bool_), np.arange(len(a)), 0
+    while len(at := at[sizes[at] > j]):
+        differ = (x[a[at] + j] ^ y[b[at] + j]) & _LANE_MASKS[np.minimum(8, sizes[at] - j)]
+        out[at[differ != 0]] = False
+        j += 8
+    return out
+
+
+class Phrases:
+    """Phrases of one task: fingerprints point to bytes kept once, counts are of equal bytes only."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.prints, self.slots = np.zeros(0, U), np.zeros(0, np.int64)
+        self.offsets, self.k, self.lang, self.n = (np.zeros(m, np.int64) for m in (1, 0, 0, 0))
+        self.bytes = np.zeros(1 << 16, np.uint8)
+        self.odd: Counter = Counter()
+
+    def __len__(self) -> int:
+        return len(self.n) + len(self.odd)
+
+    def _keep(self, prints, starts, sizes, k, lang, text) -> None:
+        """New fingerprints with the bytes of their first occurrence."""
+        used = int(self.offsets[-1])
+        need = used + int(sizes.sum()) + 8
+        if need > len(self.bytes):
+            self.bytes = np.r_[self.bytes[:used], np.zeros(2 * need - used, np.uint8)]
+        self.bytes[used : need - 8] = text[ranges(starts, sizes)]
+        slots = np.arange(len(self.n), len(self.n) + len(prints))
+        at = np.searchsorted(self.prints, prints)
+        self.prints, self.slots = np.insert(self.prints, at, prints), np.insert(self.slots, at, slots)
+        self.offsets = np.r_[self.offsets, used + np.cumsum(sizes)]
+        self.k, self.lang, self.n = np.r_[self.k, k], np.r_[self.lang, lang], np.r_[self.n, np.zeros(len(prints), np.int64)]
+
+    def add(self, prints, starts, sizes, k, lang, text) -> None:
+        """Count occurrences: each meets the bytes its fingerprint points to; those that differ count by their own."""
+        found, first, inverse = np.unique(prints, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.prints, found)
+        new = first[self.prints[np.minimum(at, len(self.prints) - 1)] != found] if len(self.prints) else first
+        if len(new):
+            self._keep(prints[new], starts[new], sizes[new], k[new], lang[new], text)
+        slot = self.slots[np.searchsorted(self.prints, found)][inverse]
+        same = (sizes == self.offsets[slot + 1] - self.offsets[slot]) & (k == self.k[slot]) & (lang == self.lang[slot])
+        same[same] = equal_bytes(text, starts[same], self.bytes, self.offsets[slot[same]], sizes[same])
+        self.n += np.bincount(slot[same], minlength=len(self.n))
+        for i in np.flatnonzero(~same).tolist():
+            self.odd[int(lang[i]), int(k[i]), text[starts[i] : starts[i] + sizes[i]].tobytes()] += 1
+
+    def rows(self, names: list[str], size: int = 100_000) -> Iterator[pa.RecordBatch]:
+        """Batches of (lang, k, phrase, n)."""
+        langs, columns = pa.array(names, pa.string()), ["lang", "k", "phrase", "n"]
+        for i in range(0, len(self.n), size):
+            j = min(len(self.n), i + size)
+            own = self.bytes[self.offsets[i] : self.offsets[j]]
+            phrases = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(self.offsets[i : j + 1] - self.offsets[i]), pa.py_buffer(own)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(self.lang[i:j])), pa.array(self.k[i:j].astype(np.int32)), phrases, pa.array(self.n[i:j])], names=columns)
+        odd = list(self.odd.items())
+        for i in range(0, len(odd), size):
+            keys, counts = zip(*odd[i : i + size], strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [langs.take(pa.array([x[0] for x in keys])), pa.array([x[1] for x in keys], pa.int32()), pa.array([x[2] for x in keys], pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=columns)
+
 
+def _materialise(filters: dict[int, Broadcast], mask: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = {n: b.value for n, b in filters.items()}
+        held, codes, sizes = Phrases(), {}, Counter()
         for part in pieces(parts, 1, STRETCH):
             for names, (low, starts, ends), lang, first, stretch in _stretches_of(part, mask):
-                t = first + len(stretch.piece)
-                for code, n in zip(*np.unique(lang[first : first + stretch.own], return_counts=True), strict=True):
-                    held[names[code], 0, b""] += int(n)
-                text, s, e = joined(low, starts[first:t], ends[first:t])
-                own = lang[first:t]
+                mine = np.array([codes.setdefault(x, len(codes)) for x in names])[lang[first : first + len(stretch.piece)]]
+                sizes.update(dict(zip(*(x.tolist() for x in np.unique(mine[: stretch.own], return_counts=True)), strict=True)))
+                text, s, e = joined(low, starts[first : first + len(mine)], ends[first : first + len(mine)])
+                places = []
                 for k in got:
                     at, prints = stretch.frequent(k, got)
                     ok = contained(got[k], prints)
-
-                    def add(place, phrase, count, k=k):
-                        if count:
-                            held[names[own[place]], k, phrase] += count
-
-                    if ok.any():
-                        # The language joins the comparison, so pointers of two languages never count together.
-                        for code in np.unique(own[at[ok]]):
-                            mine = ok & (own[at] == code)
-                            phrase_counts(text, s, e, at[mine], k, prints[mine], add)
-            if len(held) > 400_000:
-                yield from out()
-        yield from out()
+                    at = at[ok]
+                    places.append((prints[ok], s[at], e[at + k - 1] - s[at], np.full(len(at), k), mine[at]))
+                held.add(*(np.concatenate(x) for x in zip(*places, strict=True)), text)
+            if len(held) > HELD // 2 or held.offsets[-1] > 48 * HELD:
+                yield from held.rows(list(codes))
+                held.clear()
+        yield from held.rows(list(codes))
+        if sizes:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(codes)).take(pa.array(list(sizes))), pa.array([0] * len(sizes), pa.int32()), pa.array([""] * len(sizes)), pa.array(list(sizes.values()), pa.int64())], names=["lang", "k", "phrase", "n"])
 
     return run
 
