@@ -271,6 +271,9 @@ def q_random_page(spark, sf):
     return se.search(docs(spark, sf), terms(spark, sf), se.SearchRequest(sort="random", seed=7, page_size=48)).select("entry_id", "headword")
 
 
+SQL_RANDOM = SQL_DOCS + " SELECT entry_id, headword FROM docs ORDER BY md5(entry_id || ':7'), entry_id LIMIT 48"
+
+
 SWAPPED = "badcfehgjilknmporqtsvuxwzy"
 
 
@@ -319,7 +322,7 @@ QUERIES = {
     "status_filters": (q_status_filters, SQL_STATUS),
     "part_search": (q_part_search, SQL_PART_SEARCH),
     "sorted_by_reading": (q_sorted_by_reading, None),
-    "random_page": (q_random_page, None),
+    "random_page": (q_random_page, SQL_RANDOM),
     "variant_forms": (q_variant_forms, SQL_VARIANTS),
     "own_entries": (q_own_entries, SQL_OWN),
 }

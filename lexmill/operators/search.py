@@ -267,7 +267,7 @@ def result_order(request: SearchRequest, collation: str = "ja") -> list[Column]:
         "reading": [kana("reading"), kana("headword")],
         "word": [kana("headword"), kana("reading")],
         "category": [kana("major"), kana("cluster"), kana("reading")],
-        "random": [F.xxhash64("entry_id", F.lit(request.seed))],
+        "random": [F.md5(F.concat_ws(":", F.col("entry_id").cast("string"), F.lit(str(request.seed))))],
     }
     by_rank = [
         F.coalesce("freq_rank", F.lit(fixed.UNRANKED)),
