@@ -5,7 +5,14 @@ and the start of its path. Pages are linked with the targets of their canonical
 links and refresh redirects; the connected components of these links are classes
 of aliases. A page without a rule is blocked if a rule blocks any address of its
 class and none allows one: an explicit allow has precedence. Addresses are
-compared as host, path and query, without scheme and fragment.
+compared as host, path and query, without scheme and fragment; an empty path is
+``/``, and ``.`` and ``..`` are resolved.
+
+Links are read from tags outside comments, scripts, styles, titles and text areas:
+``link`` with ``canonical`` among the words of ``rel``, and ``meta`` refresh with a
+time. A relative link is resolved against its page's address (``base`` elements are
+not followed); one of a scheme without ``://`` and one to a place inside the page
+give no alias.
 
 Only DataFrame functions are used; rules are a short list of the caller. Defined
 cases: a null url, or one without ``://``, has an empty host and path, no rule, no
@@ -15,6 +22,8 @@ Character references of ASCII marks in links are read as the marks.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexmill.llm.common import table
@@ -23,10 +32,18 @@ from lexmill.llm.components import components
 ALLOW, BLOCK = "allow", "block"
 RULES = ((ALLOW, "org", "/"), (BLOCK, "example.org", "/es/"), (BLOCK, "example.org", "/en/1"), (ALLOW, "com", "/fr/"), (BLOCK, "com", "/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CANONICAL_TAG = "(?is)<link\\b[^>]*\\brel\\s*=\\s*[\"']?canonical\\b[^>]*>"
-HREF = "(?is)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)"
-REFRESH_TAG = "(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b[^>]*>"
-REFRESH_URL = "(?is)\\burl\\s*=\\s*[\"']?([^\"'\\s>;]+)"
+S = "[\\x09-\\x0D\\x20]"
+WORD = "[^\\x09-\\x0D\\x20"  # an open class
+#: What holds no tags: comments and elements of plain text.
+HIDDEN = "(?is)<!--.*?(?:-->|\\z)" + "".join(f"|<{e}(?:[\\x09-\\x0D\\x20/][^>]*)?>.*?(?:</{e}[\\x09-\\x0D\\x20/>]|\\z)" for e in ("script", "style", "textarea", "title"))
+#: A tag whose attributes may hold ``>`` in quotes; possessive here, as the SQL's engine never steps back.
+TAG = "(?is)<(?:link|meta)[\\x09-\\x0D\\x20/](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+#: Attributes one behind another, so nothing inside a value is taken for a name.
+ATTRIBUTE = f"{WORD}\"'>/=]+(?:{S}*={S}*(?:\"[^\"]*\"|'[^']*'|{WORD}\"'>]{WORD}>]*))?"
+#: What follows the time of a refresh.
+REFRESH = f"(?is)^{S}*[0-9.]+[\\x09-\\x0D\\x20;,]+(?:url{S}*={S}*)?(.*)"
+SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
+DOTS = "/\\.\\.?(?:/|\\z)"
 
 #: Marks of an address by name in HTML, the ampersand last: what it uncovers is not read again.
 MARKS = {'"': "quot|QUOT", "'": "apos", "/": "sol", ":": "colon", "?": "quest", "=": "equals", "#": "num", "%": "percnt", ";": "semi", ",": "comma", ".": "period", "+": "plus", "@": "commat", "&": "amp|AMP"}
@@ -62,27 +79,69 @@ def fitting_rule(host: Column, path: Column, rules) -> Column:
     return out
 
 
+def clean(path: Column) -> Column:
+    """``path`` with ``.`` and ``..`` resolved; ``/`` for an empty one."""
+
+    def step(done: Column, part: Column) -> Column:
+        return F.when(part == "..", F.regexp_replace(done, "/[^/]*\\z", "")).when(part == ".", done).otherwise(F.concat(done, F.lit("/"), part))
+
+    parts = F.split(F.regexp_replace(path, "(/\\.\\.?)\\z", "$1/"), "/")
+    resolved = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.lit(""), step)
+    return F.when(path == "", "/").when(path.rlike(DOTS), resolved).otherwise(path)
+
+
 def address(rest: Column) -> Column:
     """Host in lower case, path and query."""
-    return F.concat(host_of(rest), F.regexp_extract(rest, "^[^/?#]*([^#]*)", 1))
+    return F.concat(host_of(rest), clean(path_of(rest)), F.regexp_extract(rest, "^[^?#]*([^#]*)", 1))
 
 
 def target_of(link: Column, host: Column, path: Column) -> Column:
-    """Address that a link of a page leads to."""
-    folder = F.regexp_extract(path, "^(.*/)", 1)
-    local = F.when(F.startswith(link, F.lit("//")), address(F.substring(link, 3, 1 << 30))).when(F.startswith(link, F.lit("/")), F.concat(host, F.regexp_extract(link, "^[^#]*", 0)))
-    return F.when(F.instr(link, "://") > 0, address(rest_of(link))).otherwise(F.coalesce(local, F.concat(host, F.when(folder == "", "/").otherwise(folder), F.regexp_extract(link, "^[^#]*", 0))))
+    """Address that a link of a page leads to; null if it leads to none."""
+    own, query = F.regexp_extract(link, "^[^?#]*", 0), F.regexp_extract(link, "^[^?#]*([^#]*)", 1)
+    folder = F.concat(F.regexp_extract(path, "(?s)^(.*)/", 1), F.lit("/"))
+    full = F.when(own == "", path).when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(folder, own))
+    return (
+        F.when(link.rlike(SCHEME + "//"), address(rest_of(link)))
+        .when(link.rlike(SCHEME), None)
+        .when(F.startswith(link, F.lit("//")), address(F.substring(link, 3, 1 << 30)))
+        .when((own != "") | (query != ""), F.concat(host, clean(full), query))
+    )
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{S}+|{S}+\\z", "")
+
+
+def value_of(attributes: Column, name: str) -> Column:
+    """Value of the first attribute of a name; empty without one."""
+    raw = F.regexp_replace(F.get(F.filter(attributes, lambda a: a.rlike(f"(?i)^{name}{S}*=")), F.lit(0)), f"^[^=]*={S}*", "")
+    bare = F.when(F.substring(raw, 1, 1).isin('"', "'"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    return F.coalesce(trimmed(decoded(bare)), F.lit(""))
+
+
+def link_of(attributes: Column) -> Column:
+    """Canonical link or refresh target of a tag, or null."""
+
+    def unquoted(rest: Column) -> Column:
+        first = F.substring(rest, 1, 1)
+        return F.when(first == '"', F.regexp_extract(rest, '^"([^"]*)', 1)).when(first == "'", F.regexp_extract(rest, "^'([^']*)", 1)).otherwise(rest)
+
+    refresh = F.regexp_extract(value_of(attributes, "content"), REFRESH, 1)
+    return F.when(value_of(attributes, "rel").rlike(f"(?i)(?:^|{S})canonical(?:{S}|\\z)"), value_of(attributes, "href")).when(
+        F.lower(value_of(attributes, "http-equiv")) == "refresh", trimmed(unquoted(refresh))
+    )
 
 
 def alias_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(a, b): addresses of pages and of their redirect and canonical targets."""
     html, rest = F.col(html_col), rest_of(F.col(url_col))
-    links = F.concat(
-        F.transform(F.regexp_extract_all(html, F.lit(CANONICAL_TAG), F.lit(0)), lambda t: decoded(F.regexp_extract(t, HREF, 1))),
-        F.transform(F.regexp_extract_all(html, F.lit(REFRESH_TAG), F.lit(0)), lambda t: F.regexp_extract(decoded(t), REFRESH_URL, 1)),
-    )
-    found = pages.where(rest.isNotNull() & (F.instr(html, "<") > 0)).select(rest.alias("rest"), F.explode(links).alias("link")).where("link <> ''")
-    return found.select(address(F.col("rest")).alias("a"), target_of(F.col("link"), host_of(F.col("rest")), path_of(F.col("rest"))).alias("b"))
+    tags = F.regexp_extract_all(F.regexp_replace(html, HIDDEN, " "), F.lit(TAG), F.lit(0))
+    some = pages.where(rest.isNotNull() & html.rlike("(?i)canonical|refresh")).select(rest.alias("rest"), F.explode(tags).alias("tag"))
+    some = some.select("rest", F.lower(F.substring("tag", 2, 4)).alias("kind"), F.regexp_extract_all(F.substring("tag", 6, 1 << 30), F.lit(ATTRIBUTE), F.lit(0)).alias("attributes"))
+    allowed = F.when(F.col("kind") == "link", F.filter("attributes", lambda a: ~a.rlike("(?i)^http-equiv"))).otherwise(F.filter("attributes", lambda a: ~a.rlike("(?i)^rel")))
+    found = some.select("rest", link_of(allowed).alias("link")).where("link <> ''")
+    target = target_of(F.col("link"), host_of(F.col("rest")), clean(path_of(F.col("rest"))))
+    return found.select(address(F.col("rest")).alias("a"), target.alias("b")).where("b is not null")
 
 
 def class_verdicts(edges: DataFrame, rules=RULES) -> DataFrame:
@@ -122,29 +181,69 @@ def _quoted(x: str) -> str:
     return x.replace("'", "''")
 
 
-_REST = "CASE WHEN contains({0}, '://') THEN substr({0}, strpos({0}, '://') + 3) END"
-_ADDRESS = "translate(regexp_extract({0}, '^[^/?#]*'), '" + UPPER + "', '" + LOWER + "') || regexp_extract({0}, '^[^/?#]*([^#]*)', 1)"
+def _sql_decoded(text: str) -> str:
+    for mark, names in MARKS.items():
+        text = f"regexp_replace({text}, '&(?:{names}|#0*{ord(mark)}|#[xX]0*(?i:{ord(mark):x}));', '{_quoted(mark)}', 'g')"
+    return text
+
+
+def _sql_clean(path: str) -> str:
+    step = "CASE WHEN y = '..' THEN regexp_replace(x, '/[^/]*\\z', '') WHEN y = '.' THEN x ELSE x || '/' || y END"
+    resolved = f"list_reduce(string_split(regexp_replace({path}, '(/\\.\\.?)\\z', '\\1/'), '/'), lambda x, y: {step})"
+    return f"CASE WHEN {path} = '' THEN '/' WHEN regexp_matches({path}, '{DOTS}') THEN {resolved} ELSE {path} END"
+
+
+def _sql_trimmed(text: str) -> str:
+    return f"regexp_replace({text}, '^{S}+|{S}+\\z', '', 'g')"
+
+
+def _sql_value(name: str) -> str:
+    raw = f"regexp_replace(list_filter(attributes, lambda a: regexp_matches(a, '(?i)^{name}{S}*='))[1], '^[^=]*={S}*', '')"
+    bare = f"CASE WHEN {raw}[1] IN (chr(34), chr(39)) THEN substr({raw}, 2, length({raw}) - 2) ELSE {raw} END"
+    return f"coalesce({_sql_trimmed(_sql_decoded(bare))}, '')"
+
+
+def _sql_host(rest: str) -> str:
+    return f"translate(regexp_extract({rest}, '^[^/?#]*'), '{UPPER}', '{LOWER}')"
+
+
+def _sql_path(rest: str) -> str:
+    return f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+
+
+def _sql_address(rest: str) -> str:
+    return f"{_sql_host(rest)} || {_sql_clean(_sql_path(rest))} || regexp_extract({rest}, '^[^?#]*([^#]*)', 1)"
+
+
+_LINEAR = re.sub(r"(?<=[+*])\+", "", TAG)  # this engine has no possessive form and needs none
 OP10_SQL = f"""
 WITH RECURSIVE p AS (
-  SELECT page_id, html, {_REST.format("url")} AS rest FROM pages
+  SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
 ), j AS (
-  SELECT page_id, html, rest, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host,
-    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, {_ADDRESS.format("rest")} AS address FROM p
-), l AS (
-  SELECT address, host, path, unnest(list_concat(
-    list_transform(regexp_extract_all(html, '{_quoted(CANONICAL_TAG)}'), lambda t: regexp_extract(t, '{_quoted(HREF)}', 1)),
-    list_transform(regexp_extract_all(html, '{_quoted(REFRESH_TAG)}'), lambda t: regexp_extract(t, '{_quoted(REFRESH_URL)}', 1)))) AS link
+  SELECT page_id, html, rest, coalesce({_sql_host("rest")}, '') AS host, coalesce({_sql_path("rest")}, '') AS path, {_sql_address("rest")} AS address FROM p
+), g AS (
+  SELECT address, host, {_sql_clean("path")} AS path, unnest(regexp_extract_all(regexp_replace(html, '{_quoted(HIDDEN)}', ' ', 'g'), '{_quoted(_LINEAR)}')) AS tag
   FROM j WHERE rest IS NOT NULL
+), q AS (SELECT *, lower(substr(tag, 2, 4)) AS kind, regexp_extract_all(substr(tag, 6), '{_quoted(ATTRIBUTE)}') AS attributes FROM g
+), v AS (
+  SELECT *, {_sql_value("rel")} AS rel, {_sql_value("href")} AS href, {_sql_value("http-equiv")} AS equiv,
+    regexp_extract({_sql_value("content")}, '{_quoted(REFRESH)}', 1) AS refresh FROM q
+), l AS (
+  SELECT address, host, path, CASE WHEN kind = 'link' AND regexp_matches(rel, '(?i)(?:^|{S})canonical(?:{S}|\\z)') THEN href
+    WHEN kind = 'meta' AND lower(equiv) = 'refresh' THEN {_sql_trimmed("CASE WHEN refresh[1] = chr(34) THEN regexp_extract(refresh, '^\\x22([^\\x22]*)', 1) WHEN refresh[1] = chr(39) THEN regexp_extract(refresh, '^\\x27([^\\x27]*)', 1) ELSE refresh END")} END AS link
+  FROM v
+), w AS (
+  SELECT *, regexp_extract(link, '^[^?#]*') AS own, regexp_extract(link, '^[^?#]*([^#]*)', 1) AS query FROM l WHERE link <> ''
+), x AS (
+  SELECT *, CASE WHEN own = '' THEN path WHEN starts_with(own, '/') THEN own ELSE regexp_extract(path, '(?s)^(.*)/', 1) || '/' || own END AS whole,
+    CASE WHEN regexp_matches(link, '{SCHEME}//') THEN substr(link, strpos(link, '://') + 3) WHEN starts_with(link, '//') THEN substr(link, 3) END AS away FROM w
 ), e AS (
-  SELECT address AS a, CASE WHEN contains(link, '://') THEN {_ADDRESS.format("substr(link, strpos(link, '://') + 3)")}
-    WHEN starts_with(link, '//') THEN {_ADDRESS.format("substr(link, 3)")}
-    WHEN starts_with(link, '/') THEN host || regexp_extract(link, '^[^#]*')
-    ELSE host || CASE WHEN regexp_extract(path, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END || regexp_extract(link, '^[^#]*') END AS b
-  FROM l WHERE link <> ''
-), n AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e
+  SELECT address AS a, CASE WHEN away IS NOT NULL THEN {_sql_address("away")}
+    WHEN NOT regexp_matches(link, '{SCHEME}') AND own || query <> '' THEN host || {_sql_clean("whole")} || query END AS b FROM x
+), n AS (SELECT a, b FROM e WHERE b IS NOT NULL UNION SELECT b, a FROM e WHERE b IS NOT NULL UNION SELECT a, a FROM e WHERE b IS NOT NULL UNION SELECT b, b FROM e WHERE b IS NOT NULL
 ), r AS (SELECT a, b FROM n UNION SELECT r.a, n.b FROM r JOIN n ON r.b = n.a
 ), c AS (
-  SELECT a AS address, min({_sql_rule("regexp_extract(b, '^[^/?#]*')", "regexp_extract(b, '^[^/?#]*([^?#]*)', 1)", 1)}) AS class_verdict FROM r GROUP BY a
+  SELECT a AS address, min({_sql_rule("regexp_extract(b, '^[^/?#]*')", _sql_path("b"), 1)}) AS class_verdict FROM r GROUP BY a
 )
 SELECT page_id, host, path, {_sql_rule("host", "path", 0)} AS rule, coalesce({_sql_rule("host", "path", 1)}, class_verdict, '{ALLOW}') AS verdict
 FROM j LEFT JOIN c USING (address)

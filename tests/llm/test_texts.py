@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -302,6 +303,40 @@ def test_url_references(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
 
 
+LINKS = [  # (url, html, verdict): the forms a link may have, and marks that are none
+    ("http://c.net/1", '<link rel="canonical" href="/out?u=http://x.com/de/no">', "allow"),
+    ("http://d.net/p?v=1", '<link rel="canonical" href="?v=2">', "block"),
+    ("http://d.net/p?v=2", '<link rel="canonical" href="http://x.com/de/no">', "block"),
+    ("http://e.net/a/b/c", '<link rel="canonical" href="../z">', "block"),
+    ("http://e.net/a/b/d", '<link rel="canonical" href="./../z">', "block"),
+    ("http://e.net/a/./z", '<link rel="canonical" href="http://x.com/fr/../de/no">', "block"),
+    ("http://f.net/1", '<link rel="canonical" data-href="http://f.net/ok" href="http://x.com/de/no">', "block"),
+    ("http://f.net/2", '<link rel="canonical" title=" href=http://x.com/de/no">', "allow"),
+    ("http://f.net/3", '<link title="a > b" rel="shortlink Canonical" href=http://x.com/de/no>', "block"),
+    ("http://f.net/4", '<link rel="canonical-not" href="http://x.com/de/no">', "allow"),
+    ("http://g.net/1", '<!-- <link rel="canonical" href="http://x.com/de/no"> -->', "allow"),
+    ("http://g.net/2", """<script>var a = '<link rel="canonical" href="http://x.com/de/no">'</script>""", "allow"),
+    ("http://g.net/3", '<script>x</script><link rel="canonical" href="http://x.com/de/no"><!-- open', "block"),
+    ("http://h.net/1", '<meta http-equiv="Refresh" content="0;URL=http://x.com/de/a;b">', "block"),
+    ("http://h.net/2", """<meta content="5, url='/1' and more" http-equiv=refresh>""", "block"),
+    ("http://h.net/3", '<meta http-equiv="refresh" content="30">', "allow"),
+    ("http://h.net/4", '<meta rel="canonical" href="http://x.com/de/no"><link rel=canonical href="#top"><link rel=canonical href="mailto:a@x.com">', "allow"),
+    ("http://i.net", '<link rel="canonical" href="http://x.com/de/no">', "block"),
+    ("http://i.net/", None, "block"),
+    ("http://i.net/long", "<link " + "a='b' " * 30_000 + "<meta " * 30_000, "allow"),
+]
+
+
+def test_url_link_forms(spark, tmp_path):
+    pages = spark.createDataFrame([(i, *row[:2]) for i, row in enumerate(LINKS)], "page_id long, url string, html string")
+    out = urls.url_filter(pages).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert {LINKS[r.page_id][0]: r.verdict for r in out} == {u: v for u, _, v in LINKS}
+    pages.write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages/*.parquet')")
+    assert sorted(map(str, con.execute(urls.OP10_SQL).fetchall())) == sorted(str(tuple(r)) for r in out)
+
+
 def test_url_aliases(spark):
     def link(url):
         return f'<html><LINK href="{url}" rel="canonical"><p>'
