@@ -5,8 +5,9 @@ cells so that their sums meet the target of each source, each language and each
 topic in turn; a cell is never scaled above its tokens, what it cannot give is
 asked of the other cells of its side, and rounds go on until the sums settle. A
 document is kept with the probability fitted / present weight of its cell, drawn by
-a hash of its id. What infeasible targets miss is returned with the cells. The query
-``op8_mixing`` gives what its SQL gives: ROUNDS rounds without that bound, cut at 1.
+a hash of its id. What infeasible targets miss is returned with the cells, as is
+whether the sums settled. The query ``op8_mixing`` fits ROUNDS rounds, which its SQL
+can state, and returns what they miss.
 
 The topic of a text is a bucket of its most frequent word of at least
 ``TOPIC_LETTERS`` letters (ties: the least word); another topic column may be
@@ -34,6 +35,8 @@ ROUNDS = 8
 #: Blocks of rounds at most, and the move of a weight, as a share of its cell, that counts as settled.
 BLOCKS = 12
 SETTLED = 1e-5
+#: A cell this close to its tokens holds them all: the order of a sum does not decide it.
+FULL = 1 - 1e-9
 #: Cells that one task holds while fitting.
 FEW_CELLS = 100_000
 SEED = "mix-1"
@@ -67,10 +70,10 @@ def with_tokens(docs: DataFrame, text: Column, topic: Column | None = None) -> D
     return docs.withColumn("_both", both).withColumns({"n_tokens": F.col("_both.n"), "topic": F.col("_both.t")}).drop("_both")
 
 
-def fitted_cells(cells: DataFrame, targets: dict[str, dict] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, share: float = SHARE, bounded: bool = True) -> DataFrame:
-    """``cells`` (source, lang, topic, base) with probability and, per side, the tokens its target misses (short_source ...).
+def fitted_cells(cells: DataFrame, targets: dict[str, dict] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, share: float = SHARE, blocks: int | None = BLOCKS) -> DataFrame:
+    """``cells`` (source, lang, topic, base) with probability, the tokens that each side's target misses (short_source ...) and settled.
 
-    Not ``bounded``: ``rounds`` rounds of plain scaling, cut at 1 after them.
+    At most ``blocks`` times ``rounds`` rounds, fewer if they settle; ``rounds`` of them if ``blocks`` is None.
     """
     targets = targets or {}
     cells = stored(cells)
@@ -93,27 +96,25 @@ def fitted_cells(cells: DataFrame, targets: dict[str, dict] | None = None, tempe
     now = now.crossJoin(F.broadcast(now.agg(*[F.sum(f"_once_{s}").alias(f"_all_{s}") for s in SIDES])))
     now = now.withColumns({f"t_{s}": F.col(f"t_{s}") / F.col(f"_all_{s}") * F.col("total") * share for s in SIDES})
     now = held_in(stored(now.select(*SIDES, "base", *[f"t_{s}" for s in SIDES], F.col("base").cast("double").alias("w"))))
-    some = min(rounds, 4) if bounded else rounds  # rounds between two stored tables
-    for _ in range(BLOCKS * rounds // some if bounded else 1):
+    most = rounds * (blocks or 1)
+    done, settled = 0, False
+    while done < most and not (blocks and settled):
+        some = min(4, most - done)  # rounds between two stored tables
         now = now.withColumn("before", F.col("w"))
         for _ in range(some):
             for side in SIDES:
-                here, wish = W.partitionBy(side), F.col(f"t_{side}")
-                mine = F.sum("w").over(here)
-                scaled = F.when(mine > 0, F.col("w") * wish / mine).otherwise(0.0)
-                if bounded:
-                    held = F.sum(F.when(F.col("w") >= F.col("base"), F.col("w")).otherwise(0.0)).over(here)
-                    raised = F.when((F.col("w") >= F.col("base")) | (mine <= held), F.col("w")).otherwise(F.least(F.col("base").cast("double"), F.col("w") * (wish - held) / (mine - held)))
-                    scaled = F.when(mine < wish, raised).otherwise(scaled)
-                now = now.withColumn("w", scaled)
-        if bounded:
-            now = held_in(stored(now))
-            if not now.where(F.abs(F.col("w") - F.col("before")) > SETTLED * F.col("base")).limit(1).count():
-                break
+                here, wish, full = W.partitionBy(side), F.col(f"t_{side}"), F.col("w") >= F.col("base") * FULL
+                mine, held = F.sum("w").over(here), F.sum(F.when(full, F.col("w")).otherwise(0.0)).over(here)
+                raised = F.when(full | (mine <= held), F.col("w")).otherwise(F.least(F.col("base").cast("double"), F.col("w") * (wish - held) / (mine - held)))
+                lowered = F.when(mine > 0, F.col("w") * wish / mine).otherwise(0.0)
+                now = now.withColumn("w", F.when(mine < wish, raised).otherwise(lowered))
+        now = held_in(stored(now))
+        done += some
+        settled = not now.where(F.abs(F.col("w") - F.col("before")) > SETTLED * F.col("base")).limit(1).count()
     probability = F.when(F.col("base") > 0, F.round(F.least(F.col("w") / F.col("base"), F.lit(1.0)), 6)).otherwise(0.0)
     now = now.withColumn("probability", probability)
     short = [(F.col(f"t_{s}") - F.sum(F.col("base") * F.col("probability")).over(W.partitionBy(s))).alias(f"short_{s}") for s in SIDES]
-    return now.select(*SIDES, "base", "probability", *short)
+    return now.select(*SIDES, "base", "probability", *short, F.lit(settled).alias("settled"))
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -122,10 +123,10 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
 
 
 def _drawn(counted: DataFrame, doc_id: Column, source: Column, lang: Column, **options) -> DataFrame:
-    """Stored rows with n_tokens and topic, and _source, _lang, probability and kept."""
+    """Stored rows with n_tokens and topic, and _source, _lang, probability, kept and what the sides' targets miss."""
     side = {"source": F.coalesce(source, F.lit("")), "lang": F.coalesce(lang, F.lit("")), "topic": F.col("topic")}
     cells = counted.groupBy(*[c.alias(n) for n, c in side.items()]).agg(F.sum("n_tokens").alias("base"))
-    fitted = stored(fitted_cells(cells, **options)).select(*[F.col(s).alias(f"_{s}") for s in SIDES], "probability")
+    fitted = stored(fitted_cells(cells, **options)).select(*[F.col(s).alias(f"_{s}") for s in SIDES], "probability", *[F.col(f"short_{s}").alias(f"_short_{s}") for s in SIDES])
     at = (side["source"] == F.col("_source")) & (side["lang"] == F.col("_lang")) & (side["topic"] == F.col("_topic"))
     return counted.join(fitted, at).withColumn("kept", draw(doc_id) < F.col("probability"))
 
@@ -141,19 +142,23 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
     counted = stored(with_tokens(docs, F.col("text")).drop("text"))
-    rows = _drawn(counted, F.col("doc_id"), F.col("source"), F.col("lang"), bounded=False)
-    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic", "n_tokens", "probability", "kept")
+    rows = _drawn(counted, F.col("doc_id"), F.col("source"), F.col("lang"), blocks=None)
+    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic", "n_tokens", "probability", "kept", *[F.round(f"_short_{s}", 2).alias(f"short_{s}") for s in SIDES])
 
 
 def _sql() -> str:
     steps, last = [], "r0"
     for i in range(ROUNDS * len(SIDES)):
         side = SIDES[i % len(SIDES)]
-        steps.append(f"r{i + 1} AS (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {side}) > 0 THEN w * t_{side} / sum(w) OVER (PARTITION BY {side}) ELSE 0 END AS w) FROM {last})")
+        full, here = f"w >= base * {FULL!r}", f"OVER (PARTITION BY {side})"
+        raised = f"CASE WHEN {full} OR mine <= held THEN w ELSE least(base, w * (t_{side} - held) / (mine - held)) END"
+        steps.append(f"s{i + 1} AS (SELECT *, sum(w) {here} AS mine, sum(CASE WHEN {full} THEN w ELSE 0 END) {here} AS held FROM {last})")
+        steps.append(f"r{i + 1} AS (SELECT * EXCLUDE (mine, held) REPLACE (CASE WHEN mine < t_{side} THEN {raised} WHEN mine > 0 THEN w * t_{side} / mine ELSE 0 END AS w) FROM s{i + 1})")
         last = f"r{i + 1}"
     marginals = ", ".join(f"m_{s} AS (SELECT {s}, pow(sum(base) / (SELECT sum(base) FROM cells), {TEMPER}) AS t FROM cells GROUP BY {s})" for s in SIDES)
     wishes = ", ".join(f"m_{s}.t / (SELECT sum(t) FROM m_{s}) * (SELECT sum(base) FROM cells) * {SHARE} AS t_{s}" for s in SIDES)
     joins = " ".join(f"JOIN m_{s} USING ({s})" for s in SIDES)
+    short = ", ".join(f"round(t_{s} - sum(base * probability) OVER (PARTITION BY {s}), 2) AS short_{s}" for s in SIDES)
     return f"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
@@ -170,11 +175,11 @@ WITH d AS (
 ), cells AS (SELECT source, lang, topic, sum(n_tokens) AS base FROM t GROUP BY ALL
 ), {marginals}, r0 AS (SELECT cells.*, base::DOUBLE AS w, {wishes} FROM cells {joins}
 ), {", ".join(steps)}, p AS (
-  SELECT source, lang, topic, CASE WHEN base > 0 THEN round(least(w / base, 1), 6) ELSE 0 END AS probability FROM {last}
-)
-SELECT doc_id, source, lang, topic, n_tokens, probability,
+  SELECT *, CASE WHEN base > 0 THEN round(least(w / base, 1), 6) ELSE 0 END AS probability FROM {last}
+), m AS (SELECT source, lang, topic, probability, {short} FROM p)
+SELECT doc_id, source, lang, topic, n_tokens, probability, {", ".join(f"short_{s}" for s in SIDES)},
   ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / {float(1 << 52)} < probability AS kept
-FROM t JOIN p USING (source, lang, topic)
+FROM t JOIN m USING (source, lang, topic)
 """
 
 
