@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexmill.llm.common import table
 from lexmill.llm.components import components
+from lexmill.llm.quality import let
 
 ALLOW, BLOCK = "allow", "block"
 RULES = ((ALLOW, "org", "/"), (BLOCK, "example.org", "/es/"), (BLOCK, "example.org", "/en/1"), (ALLOW, "com", "/fr/"), (BLOCK, "com", "/de/"))
@@ -85,27 +86,34 @@ def clean(path: Column) -> Column:
     def step(done: Column, part: Column) -> Column:
         return F.when(part == "..", F.regexp_replace(done, "/[^/]*\\z", "")).when(part == ".", done).otherwise(F.concat(done, F.lit("/"), part))
 
-    parts = F.split(F.regexp_replace(path, "(/\\.\\.?)\\z", "$1/"), "/")
-    resolved = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.lit(""), step)
-    return F.when(path == "", "/").when(path.rlike(DOTS), resolved).otherwise(path)
+    def resolved(p: Column) -> Column:
+        parts = F.split(F.regexp_replace(p, "(/\\.\\.?)\\z", "$1/"), "/")
+        return F.aggregate(F.slice(parts, 2, 1 << 30), F.lit(""), step)
+
+    return let(path, lambda p: F.when(p == "", "/").when(p.rlike(DOTS), resolved(p)).otherwise(p))
 
 
 def address(rest: Column) -> Column:
     """Host in lower case, path and query."""
-    return F.concat(host_of(rest), clean(path_of(rest)), F.regexp_extract(rest, "^[^?#]*([^#]*)", 1))
+    return let(rest, lambda r: F.concat(host_of(r), clean(path_of(r)), F.regexp_extract(r, "^[^?#]*([^#]*)", 1)))
 
 
 def target_of(link: Column, host: Column, path: Column) -> Column:
     """Address that a link of a page leads to; null if it leads to none."""
-    own, query = F.regexp_extract(link, "^[^?#]*", 0), F.regexp_extract(link, "^[^?#]*([^#]*)", 1)
-    folder = F.concat(F.regexp_extract(path, "(?s)^(.*)/", 1), F.lit("/"))
-    full = F.when(own == "", path).when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(folder, own))
-    return (
-        F.when(link.rlike(SCHEME + "//"), address(rest_of(link)))
-        .when(link.rlike(SCHEME), None)
-        .when(F.startswith(link, F.lit("//")), address(F.substring(link, 3, 1 << 30)))
-        .when((own != "") | (query != ""), F.concat(host, clean(full), query))
-    )
+
+    def inside(l: Column) -> Column:
+        own, query = F.regexp_extract(l, "^[^?#]*", 0), F.regexp_extract(l, "^[^?#]*([^#]*)", 1)
+        folder = F.concat(F.regexp_extract(path, "(?s)^(.*)/", 1), F.lit("/"))
+        full = let(own, lambda o: F.when(o == "", path).when(F.startswith(o, F.lit("/")), o).otherwise(F.concat(folder, o)))
+        return F.when(F.regexp_extract(l, "^[^#]*", 0) != "", F.concat(host, clean(full), query))
+
+    def away(l: Column) -> Column:
+        return F.when(l.rlike(SCHEME + "//"), rest_of(l)).when(F.startswith(l, F.lit("//")), F.substring(l, 3, 1 << 30))
+
+    def target(l: Column) -> Column:
+        return let(away(l), lambda rest: F.when(rest.isNotNull(), address(rest)).when(~l.rlike(SCHEME), inside(l)))
+
+    return let(link, target)
 
 
 def trimmed(text: Column) -> Column:
@@ -115,33 +123,41 @@ def trimmed(text: Column) -> Column:
 def value_of(attributes: Column, name: str) -> Column:
     """Value of the first attribute of a name; empty without one."""
     raw = F.regexp_replace(F.get(F.filter(attributes, lambda a: a.rlike(f"(?i)^{name}{S}*=")), F.lit(0)), f"^[^=]*={S}*", "")
-    bare = F.when(F.substring(raw, 1, 1).isin('"', "'"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    bare = let(raw, lambda r: F.when(F.substring(r, 1, 1).isin('"', "'"), F.substring(r, F.lit(2), F.length(r) - 2)).otherwise(r))
     return F.coalesce(trimmed(decoded(bare)), F.lit(""))
 
 
-def link_of(attributes: Column) -> Column:
+def link_of(tag: Column) -> Column:
     """Canonical link or refresh target of a tag, or null."""
 
     def unquoted(rest: Column) -> Column:
         first = F.substring(rest, 1, 1)
         return F.when(first == '"', F.regexp_extract(rest, '^"([^"]*)', 1)).when(first == "'", F.regexp_extract(rest, "^'([^']*)", 1)).otherwise(rest)
 
-    refresh = F.regexp_extract(value_of(attributes, "content"), REFRESH, 1)
-    return F.when(value_of(attributes, "rel").rlike(f"(?i)(?:^|{S})canonical(?:{S}|\\z)"), value_of(attributes, "href")).when(
-        F.lower(value_of(attributes, "http-equiv")) == "refresh", trimmed(unquoted(refresh))
-    )
+    def read(a: Column) -> Column:
+        link = F.lower(F.substring(tag, 2, 4)) == "link"
+        canonical = link & value_of(a, "rel").rlike(f"(?i)(?:^|{S})canonical(?:{S}|\\z)")
+        refresh = ~link & (F.lower(value_of(a, "http-equiv")) == "refresh")
+        return F.when(canonical, value_of(a, "href")).when(refresh, trimmed(let(F.regexp_extract(value_of(a, "content"), REFRESH, 1), unquoted)))
+
+    return let(F.regexp_extract_all(F.substring(tag, 6, 1 << 30), F.lit(ATTRIBUTE), F.lit(0)), read)
 
 
 def alias_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(a, b): addresses of pages and of their redirect and canonical targets."""
+    """(a, b): addresses of pages and of their redirect and canonical targets.
+
+    Each value is bound once, so the expression stays as long as it is written.
+    """
     html, rest = F.col(html_col), rest_of(F.col(url_col))
     tags = F.regexp_extract_all(F.regexp_replace(html, HIDDEN, " "), F.lit(TAG), F.lit(0))
-    some = pages.where(rest.isNotNull() & html.rlike("(?i)canonical|refresh")).select(rest.alias("rest"), F.explode(tags).alias("tag"))
-    some = some.select("rest", F.lower(F.substring("tag", 2, 4)).alias("kind"), F.regexp_extract_all(F.substring("tag", 6, 1 << 30), F.lit(ATTRIBUTE), F.lit(0)).alias("attributes"))
-    allowed = F.when(F.col("kind") == "link", F.filter("attributes", lambda a: ~a.rlike("(?i)^http-equiv"))).otherwise(F.filter("attributes", lambda a: ~a.rlike("(?i)^rel")))
-    found = some.select("rest", link_of(allowed).alias("link")).where("link <> ''")
-    target = target_of(F.col("link"), host_of(F.col("rest")), clean(path_of(F.col("rest"))))
-    return found.select(address(F.col("rest")).alias("a"), target.alias("b")).where("b is not null")
+    links = F.filter(F.transform(tags, link_of), lambda l: l != "")
+
+    def targets(at: Column) -> Column:
+        return F.transform(links, lambda l: target_of(l, at["host"], at["path"]))
+
+    at = F.struct(host_of(rest).alias("host"), clean(path_of(rest)).alias("path"))
+    some = pages.where(F.col(url_col).contains("://") & html.rlike("(?i)canonical|refresh"))
+    return some.select(address(rest).alias("a"), F.explode(let(at, targets)).alias("b")).where("b is not null")
 
 
 def class_verdicts(edges: DataFrame, rules=RULES) -> DataFrame:
