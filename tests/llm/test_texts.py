@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.llm import chat, coder, html, mixing, pieces, quality, token_files, urls
 
@@ -62,14 +63,79 @@ def test_articles_and_repeated_pages_stay_whole(spark):
         assert (got[i], got[100 + i], got[200 + i]) == ("One page", "Same page", f"Introduction\n\nStory {i}")
 
 
-def test_html_over_the_table(spark, sf):
-    got = {r.page_id: r.text for r in html.op3_html_extraction(spark, sf).collect()}
+def test_article_text_is_not_cut_by_class_words():
+    kept = '<section class="related-work"><p>Rel</p></section><p class="share-price">Up <math><mi>x</mi><mo>=</mo><mn>2</mn></math> now</p><div class=notice>Note</div>'
+    more = '<p data-hidden=1 title=" hidden ">Seen</p><p><noscript>No</noscript> <object>Ob</object></p>'
+    gone = "<aside>a</aside><div class='x ad'>b</div><div role=navigation>c</div><p hidden>d</p><div id=comments><p>e</p></div>"
+    page = f"<noscript>off</noscript><article><h1>T</h1>{kept}{gone}{more}</article><div class=notice>out</div>"
+    assert html.main_text(page, set(), set()) == "T\n\nRel\n\nUp x=2 now\n\nNote\n\nSeen\n\nNo Ob"
+    assert html.main_text("<article>" + "<p>long text</p>" * 50_000 + "</article>", set(), set()).count("long") == 50_000
+
+
+def test_template_decides_names_inside_the_article(spark):
+    def page(host, i):
+        box = f'<div class="box notice"><p>Box {i}</p></div>' if host == "a" or i == 3 else ""
+        return f"<article><h1>T {i}</h1>{box}<p>Story {i}</p></article>"
+
+    rows = [(100 * k + i, f"http://{h}.example/{i}", page(h, i)) for k, h in enumerate("ab") for i in range(12)]
+    got = {r.page_id: r.text for r in html.html_extraction(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "T 3\n\nStory 3"  # a box on every page of its host is the template's
+    assert got[103] == "T 3\n\nBox 3\n\nStory 3"  # one author's box is not
+
+
+def plain_templates(rows):
+    """Equivalence classes of a host's tokens by comparing whole vectors."""
+    out = {}
+    for host, group in rows.items():
+        pages = sorted(set(group))
+        vectors, about = {}, {}
+        for i, page in enumerate(pages):
+            for key, (n, chars, linked, parent, shape) in html.page_tokens(page).items():
+                vectors.setdefault(key, []).append((i, n))
+                old = about.get(key, (0, 0, parent, shape))
+                about[key] = (old[0] + chars, old[1] + linked, parent, max(old[3], shape))
+        often = {k: tuple(v) for k, v in vectors.items() if len(v) > 1 and len(v) >= html.SPAN * len(pages)}
+        size = Counter(often.values())
+        valid = {k for k, v in often.items() if size[v] >= html.MIN_CLASS or len(v) >= html.NEARLY * len(pages)}
+        tokens = [{t for kind, t in valid if kind == k} for k in (1, 2, 3)]
+        menus = {t for t in tokens[0] if about[1, t][1] > html.MOST_LINKS * about[1, t][0]}
+        places = [(t, about[3, t][2], about[3, t][0] - about[3, t][1], about[3, t][3]) for t in tokens[2]]
+        if valid:
+            out[host] = (tokens[1], menus, tokens[0], html.text_slot(places))
+    return out
+
+
+def test_templates_equal_whole_vectors(spark, sf):
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select(html.host_column(F.col("url")).alias("host"), "html")
+    # few hosts of many pages: the made-up hosts are dealt to their last name
+    rows = rows.withColumn("host", F.regexp_extract("host", "[^.]*$", 0)).unionAll(rows.limit(3))
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(r.host, []).append(r.html or "")
+    got = {r.host: (set(r.fixed), set(r.menus), set(r.placed), r.slot) for r in html.templates(rows).collect()}
+    assert got == plain_templates(groups) and any(slot for *_, slot in got.values())
+
+
+def table_text(page):
     from html import unescape
 
+    body = re.search("<article>(.*)</article>", page, re.S)[1]
+    parts = [" ".join(unescape(re.sub("</?b>", "", x)).split()) for x in re.split("</?(?:p|h1|br)>", body)]
+    return "\n\n".join(p for p in parts if p)
+
+
+def test_html_over_the_table(spark, sf):
+    got = {r.page_id: r.text for r in html.op3_html_extraction(spark, sf).collect()}
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
-        body = re.search("<article>(.*)</article>", r.html, re.S)[1]
-        parts = [" ".join(unescape(re.sub("</?b>", "", x)).split()) for x in re.split("</?(?:p|h1|br)>", body)]
-        assert got[r.page_id] == "\n\n".join(p for p in parts if p)
+        assert got[r.page_id] == table_text(r.html)
+
+
+def test_text_slot_without_names(spark, sf):
+    """All holders are plain div: the template of the host finds the text."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").where("html LIKE '%</article>%'")
+    plain = pages.withColumn("html", F.regexp_replace("html", "<(/?)(?:article|nav|footer|aside|header|div)[^>]*>", "<$1div>")).withColumn("url", F.lit("http://a.example/"))
+    got = {r.page_id: r.text for r in html.html_extraction(plain).collect()}
+    assert got == {r.page_id: table_text(r.html) for r in pages.collect()}
 
 
 @pytest.fixture(scope="module")
