@@ -8,6 +8,7 @@ from checks import feeds as fd
 from checks import lexicon_queries as lq
 from lexmill import fixed
 from lexmill.functions import text as tx
+from lexmill.functions.collation import LARGE, MARK_BASE, MARKS, SMALL, marked
 from lexmill.operators import facets as fc
 from lexmill.operators import kanji as kj
 from lexmill.operators import paging, search as se, search_index as si
@@ -267,6 +268,20 @@ def q_sorted_by_reading(spark, sf):
     return se.search(docs(spark, sf), terms(spark, sf), request).select("entry_id", "reading")
 
 
+# readings hold plain and voiced hiragana, both sizes of tsu and letters with and without marks; no long mark and no kanji
+_OWN, _BARE = zip(*((c, plain) for c, (plain, _) in marked().items()))
+_MARKED = "".join(_OWN)
+_CLASSES = "".join(chr(MARK_BASE + MARKS.index(m)) for _, m in marked().values())
+_SPAN = f"{chr(MARK_BASE)}-{chr(MARK_BASE + len(MARKS) - 1)}"
+_SMALL = f"translate(reading, '{SMALL}', '{LARGE}')"
+SQL_SORTED = SQL_DOCS + f""",
+k AS (SELECT entry_id, reading, doc_pos, major, level, headword, freq_rank,
+  translate({_SMALL}, '{_MARKED}', '{"".join(_BARE)}') AS k1,
+  regexp_replace(regexp_replace(translate(reading, '{_MARKED}', '{_CLASSES}'), '[^{_SPAN}]', 'a', 'g'), '([{_SPAN}])', 'a\\1', 'g') AS k2,
+  regexp_replace(regexp_replace(regexp_replace(reading, '[{SMALL}]', '1', 'g'), '[ぁ-ゖ]', '2', 'g'), '[^012]', '1', 'g') AS k3 FROM docs)
+SELECT entry_id, reading FROM k ORDER BY k1, k2, k3, headword, major, level, reading, doc_pos, entry_id LIMIT 200"""
+
+
 def q_random_page(spark, sf):
     return se.search(docs(spark, sf), terms(spark, sf), se.SearchRequest(sort="random", seed=7, page_size=48)).select("entry_id", "headword")
 
@@ -321,7 +336,7 @@ QUERIES = {
     "result_summary": (q_result_summary, SQL_SUMMARY),
     "status_filters": (q_status_filters, SQL_STATUS),
     "part_search": (q_part_search, SQL_PART_SEARCH),
-    "sorted_by_reading": (q_sorted_by_reading, None),
+    "sorted_by_reading": (q_sorted_by_reading, SQL_SORTED),
     "random_page": (q_random_page, SQL_RANDOM),
     "variant_forms": (q_variant_forms, SQL_VARIANTS),
     "own_entries": (q_own_entries, SQL_OWN),

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lexmill import fixed
 from lexmill.functions import classify as cl
 from lexmill.functions import text as tx
+from lexmill.functions.collation import japanese_keys
 from lexmill.functions.romaji import kana_to_romaji, romaji_variants
 from lexmill.operators.common import cut_lineage, find_terms, first_n, with_nfkc
 from lexmill.operators.paging import dealt_page
@@ -261,18 +262,20 @@ def matching(docs: DataFrame, request: SearchRequest, variants: DataFrame | None
     return found
 
 
+def kana_order(c: str, collation: str = "ja") -> list[Column]:
+    """Sort keys of a text: plain columns in Japanese order, else one column in the named collation."""
+    return japanese_keys(c) if collation == "ja" else [F.collate(F.coalesce(F.col(c), F.lit("")), collation)]
+
+
 def result_order(request: SearchRequest, collation: str = "ja") -> list[Column]:
-    kana = lambda c: F.collate(F.coalesce(F.col(c), F.lit("")), collation)
+    kana = lambda c: kana_order(c, collation)
     orders = {
-        "reading": [kana("reading"), kana("headword")],
-        "word": [kana("headword"), kana("reading")],
-        "category": [kana("major"), kana("cluster"), kana("reading")],
+        "reading": [*kana("reading"), *kana("headword")],
+        "word": [*kana("headword"), *kana("reading")],
+        "category": [*kana("major"), *kana("cluster"), *kana("reading")],
         "random": [F.md5(F.concat_ws(":", F.col("entry_id").cast("string"), F.lit(str(request.seed))))],
     }
-    by_rank = [
-        F.coalesce("freq_rank", F.lit(fixed.UNRANKED)),
-        F.when(F.col("freq_rank").isNotNull(), kana("reading")),
-    ]
+    by_rank = [F.coalesce("freq_rank", F.lit(fixed.UNRANKED)), *(F.when(F.col("freq_rank").isNotNull(), k) for k in kana("reading"))]
     order = orders.get(request.sort, by_rank)
     if request.text and request.sort == "rank" and not request.manual_sort:
         order = [F.desc("score"), *order]
@@ -356,7 +359,7 @@ def batch_search(docs: DataFrame, terms: DataFrame, queries: DataFrame, page_siz
     )
     order = [
         F.desc("score"), F.coalesce("freq_rank", F.lit(fixed.UNRANKED)),
-        F.when(F.col("freq_rank").isNotNull(), F.collate(F.coalesce("reading", F.lit("")), collation)),
+        *(F.when(F.col("freq_rank").isNotNull(), k) for k in kana_order("reading", collation)),
         F.col("source_ord"), F.col("entry_id"),
     ]
     pages = first_n(scored, ["query_id"], order, page_size, rank="position").withColumnRenamed("query_id", "token_set")
