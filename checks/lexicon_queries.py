@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from checks import feeds as fd
 from lexmill import fixed
@@ -11,6 +11,8 @@ from lexmill.operators import facets as fc
 from lexmill.operators import kanji as kj
 from lexmill.operators import lexicon as lx
 from lexmill.operators.frequency import frequency_keys
+from lexmill.plans.publish import cluster_order, export_tables
+from lexmill.sources import sinks
 
 SEP = fixed.LIST_SEPARATOR
 
@@ -172,6 +174,25 @@ def q_cluster_summary(spark, sf):
 SQL_CLUSTERS = ACCEPTED + " SELECT major, cluster, count(*) AS entries FROM accepted GROUP BY major, cluster"
 
 
+def q_cluster_order(spark, sf):
+    """Clusters as they are published, with their place; there are as many rows as clusters."""
+    lex = lexicon(spark, sf)
+    clusters = export_tables(lex, tree(spark, sf))["clusters"]
+    return clusters.withColumn("place", F.row_number().over(W.orderBy(*cluster_order())) - 1)
+
+
+SQL_CLUSTER_ORDER = ACCEPTED + """, c AS (SELECT major, cluster, count(*) AS count FROM accepted GROUP BY major, cluster)
+SELECT CAST(row_number() OVER (ORDER BY major, count DESC, cluster) - 1 AS INTEGER) AS place, major, cluster, count FROM c"""
+
+
+def q_export_totals(spark, sf):
+    lex = lexicon(spark, sf)
+    return sinks.export_totals(export_tables(lex, tree(spark, sf)))
+
+
+SQL_TOTALS = ACCEPTED + f""" SELECT count(*) AS entries, (SELECT count(DISTINCT k) FROM (SELECT unnest({CHARS}) AS k FROM accepted)) AS kanji FROM accepted"""
+
+
 def q_kanji_metadata(spark, sf):
     m = kj.kanji_metadata(tree(spark, sf))
     words = F.array_join(F.transform("sample_words", lambda w: F.concat(w["word"], F.lit("/"), w["reading"])), SEP)
@@ -344,6 +365,8 @@ QUERIES = {
     "kanji_tree": (q_kanji_tree, SQL_TREE),
     "cluster_summary": (q_cluster_summary, SQL_CLUSTERS),
     "kanji_metadata": (q_kanji_metadata, SQL_METADATA),
+    "cluster_order": (q_cluster_order, SQL_CLUSTER_ORDER),
+    "export_totals": (q_export_totals, SQL_TOTALS),
     "kanji_index": (q_kanji_index, SQL_KANJI_INDEX),
     "kanji_search": (q_kanji_metadata_search, SQL_KANJI_SEARCH),
     "facet_counts": (q_facet_counts, SQL_FACETS),

@@ -89,6 +89,22 @@ def q_level_candidates(spark, sf):
     return c.select("writing_key", "reading_key", "level", "source_file")
 
 
+def q_candidate_meanings(spark, sf):
+    """Candidates with the first meaning of their level and writing, however it is spaced."""
+    p = fd.table(spark, sf, "part").withColumn("level", F.concat(F.lit("N"), (F.col("p_size") % 5 + 1).cast("string")))
+    lists = p.select("level", F.col("p_name").alias("q"), fd.hira(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("a"), F.lit("f").alias("source_file"), F.lit("u").alias("source_url"), F.col("p_partkey").alias("line_ord"))
+    spaced = F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("　")))
+    meanings = p.where("p_partkey % 3 > 0").select("level", spaced.alias("q"), F.col("p_type").alias("a"), F.col("p_partkey").alias("line_ord"))
+    return lv.expand_candidates(lists, meanings).select("level", "writing", "reading", "meaning", F.col("ord.line_ord").alias("line"))
+
+
+SQL_MEANINGS = f"""
+WITH p AS (SELECT *, 'N' || CAST(p_size % 5 + 1 AS VARCHAR) AS level FROM part),
+m AS (SELECT level, replace(p_name, ' ', '') AS k, arg_min(p_type, p_partkey) AS meaning FROM p WHERE p_partkey % 3 > 0 GROUP BY ALL)
+SELECT p.level, p_name AS writing, translate(split_part(p_name, ' ', 1), '{fd.LETTERS}', '{fd.HIRA}') AS reading, coalesce(meaning, '') AS meaning, p_partkey AS line
+FROM p LEFT JOIN m ON m.level = p.level AND m.k = replace(p_name, ' ', '')"""
+
+
 def q_level_matches(spark, sf):
     d, _ = _decided(spark, sf)
     return d.select("writing_key", "reading_key", "level", "rule", "confidence", "hits")
@@ -234,6 +250,7 @@ SELECT entry_id, term FROM f WHERE term NOT IN ({', '.join(f"'{t}'" for t in fix
 
 QUERIES = {
     "level_candidates": (q_level_candidates, SQL_MATCH + " SELECT writing_key, reading_key, level, source_file FROM cand"),
+    "candidate_meanings": (q_candidate_meanings, SQL_MEANINGS),
     "level_matches": (q_level_matches, SQL_MATCH + " SELECT writing_key, reading_key, level, rule, confidence, coalesce(hits, 0) AS hits FROM named"),
     "matched_entries": (q_matched_entries, SQL_MATCH + " SELECT writing_key, reading_key, confidence, entry_id FROM matched"),
     "level_counts": (q_level_counts, SQL_MATCH + """ SELECT level, count(*) AS candidates, count(*) FILTER (WHERE confidence IN ('high', 'medium', 'low')) AS matched,

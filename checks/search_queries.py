@@ -13,7 +13,7 @@ from lexmill.operators import facets as fc
 from lexmill.operators import kanji as kj
 from lexmill.operators import paging, search as se, search_index as si
 from lexmill.operators.common import checkpoint_dir
-from lexmill.operators.variants import variant_forms
+from lexmill.operators.variants import variant_forms, with_indexed_text
 from lexmill.plans.build import ordered_lexicon
 
 SEP = fixed.LIST_SEPARATOR
@@ -313,6 +313,35 @@ c AS (SELECT run, CASE WHEN {_A} IN (SELECT k FROM ok) THEN [{_A}, {_SW.format(_
 SELECT run, array_to_string(flatten(list_transform(a, lambda x: list_transform(b, lambda y: x || y))), '{SEP}') AS forms FROM c"""
 
 
+def q_variant_texts(spark, sf):
+    """Headwords with the variant forms of their kanji behind them, as they are indexed."""
+    texts = lq.lexicon(spark, sf).select("entry_id", F.col("headword").alias("text"))
+    return with_indexed_text(texts, "entry_id", "text", variants(spark, sf)).select("entry_id", "text")
+
+
+# a headword has one run at most: its first two letters
+SQL_VARIANT_TEXTS = SQL_VARIANTS.rsplit("SELECT run,", 1)[0] + f""",
+v AS (SELECT run, list_filter(flatten(list_transform(a, lambda x: list_transform(b, lambda y: x || y))), lambda z: z <> run) AS forms FROM c)
+SELECT entry_id, headword || CASE WHEN len(forms) > 0 THEN ' ' || array_to_string(forms, ' ') ELSE '' END AS text
+FROM accepted LEFT JOIN v ON v.run = regexp_extract(headword, '[{fixed.CJK}]+')"""
+
+
+def q_kanji_detail(spark, sf):
+    """Facts, readings and entries of one kanji."""
+    lex = _searchable(spark, sf).withColumn("translation", F.lit(None).cast("string"))
+    found = kj.kanji_detail(kj.kanji_index(lex, kj.kanji_metadata(lq.tree(spark, sf))), terms(spark, sf), lex, "入")
+    return found.select("kanji", "count", F.array_join("on_readings", SEP).alias("on_readings"), F.array_join("kun_readings", SEP).alias("kun_readings"),
+                        F.array_join("own_entries.entry_id", SEP).alias("entries"), F.array_join(F.sort_array("entry_readings"), SEP).alias("entry_readings"))
+
+
+SQL_KANJI_DETAIL = lq.ACCEPTED + fd.SQL_KANJI_FACTS + f""",
+o AS (SELECT * FROM accepted WHERE headword = '入' OR list_contains(writings, '入') ORDER BY freq_rank NULLS LAST, major, level, reading, headword, doc_pos LIMIT 8)
+SELECT '入' AS kanji, (SELECT count(*) FROM accepted WHERE contains(headword, '入')) AS count,
+  coalesce((SELECT on_readings FROM facts WHERE kanji = '入'), '') AS on_readings, coalesce((SELECT kun_readings FROM facts WHERE kanji = '入'), '') AS kun_readings,
+  (SELECT string_agg(entry_id, '{SEP}' ORDER BY coalesce(freq_rank, {fixed.UNRANKED}), major, level, reading, headword, doc_pos) FROM o) AS entries,
+  (SELECT array_to_string(list_sort(list_distinct(flatten(list(list_concat([reading], readings))))), '{SEP}') FROM o) AS entry_readings"""
+
+
 def q_own_entries(spark, sf):
     lex = _searchable(spark, sf).withColumn("translation", F.lit(None).cast("string"))
     return kj.own_entries(terms(spark, sf), lex, "学").select("entry_id", "headword", "level")
@@ -339,5 +368,7 @@ QUERIES = {
     "sorted_by_reading": (q_sorted_by_reading, SQL_SORTED),
     "random_page": (q_random_page, SQL_RANDOM),
     "variant_forms": (q_variant_forms, SQL_VARIANTS),
+    "variant_texts": (q_variant_texts, SQL_VARIANT_TEXTS),
+    "kanji_detail": (q_kanji_detail, SQL_KANJI_DETAIL),
     "own_entries": (q_own_entries, SQL_OWN),
 }

@@ -177,7 +177,34 @@ SELECT p_partkey, CASE WHEN p_size % 2 <> 0 THEN a || '；' || b || CASE WHEN p_
     || CASE WHEN p_size % 5 = 0 THEN '、待译' ELSE '' END END AS adjusted
 FROM (SELECT *, translate(split_part(p_name, ' ', 1), '{fd.LETTERS}', '{fd.KANJI}') AS a, translate(p_type, 'ECONMYSALRDU', '{fd.KANJI[:12]}') AS b FROM part)"""
 
+FULL = "".join(chr(0xFF41 + i) for i in range(26))
+#: Compatibility forms and what they stand for, dealt by part key: half-width kana with marks, a circled digit, a mark apart, a unit.
+COMPATIBLE = (("ｶﾞﾊﾟｯ", "がぱっ"), ("①ｦｰ", "1をー"), ("カ\u3099e\u0301", "がé"), ("㎏　Ⅳ", "kg iv"))
+
+
+def _compatible(n, values) -> F.Column:
+    out = F.lit(values[0])
+    for i, v in enumerate(values[1:], 1):
+        out = F.when(n % len(values) == i, v).otherwise(out)
+    return out
+
+
+def q_compatibility_forms(spark, sf):
+    """Full-width names with half-width kana, composed marks and signs: search form, reading key, distinct readings."""
+    p = fd.table(spark, sf, "part")
+    text = F.concat(F.translate("p_name", fd.LETTERS, FULL), F.lit("　"), _compatible(F.col("p_partkey"), [c for c, _ in COMPATIBLE]))
+    key = F.concat(fd.kata("p_name"), F.lit(".‐－"), F.translate("p_name", fd.LETTERS, FULL))
+    lists = F.concat("p_brand", F.lit("、 "), "p_type", F.lit(","), "p_brand", F.lit("，,"), "p_name")
+    return p.select("p_partkey", tx.normalize_search(text).alias("search"), tx.kanji_reading_key(key).alias("reading_key"),
+                    F.array_join(tx.split_readings(lists), SEP).alias("readings"))
+
+
+_PLAIN = "CASE p_partkey % 4 " + " ".join(f"WHEN {i} THEN '{plain}'" for i, (_, plain) in enumerate(COMPATIBLE)) + " END"
+SQL_COMPATIBLE = f"""SELECT p_partkey, p_name || ' ' || {_PLAIN} AS search,
+  translate(replace(p_name, ' ', ''), '{fd.LETTERS}', '{fd.HIRA}') || replace(p_name, ' ', '') AS reading_key, p_brand || '{SEP}' || p_type || '{SEP}' || p_name AS readings FROM part"""
+
 QUERIES = {
+    "compatibility_forms": (q_compatibility_forms, SQL_COMPATIBLE),
     "search_text": (q_search_text, SQL_SEARCH_TEXT),
     "match_keys": (q_match_keys, SQL_MATCH_KEYS),
     "collapsed_text": (q_collapsed_text, SQL_COLLAPSED),

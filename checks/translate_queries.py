@@ -160,6 +160,17 @@ SELECT CASE WHEN n % 2 <> 0 THEN 'skipped' WHEN n % 11 = 0 THEN 'preserved' WHEN
   count(*) AS rows FROM sourced GROUP BY 1"""
 
 
+def q_override_counters(spark, sf):
+    """The counters a run prints: what is queued is translated too."""
+    return gl.outcome_counters(gl.translation_outcomes(entries(spark, sf), overrides(spark, sf), ["A"], ("LLM",)))
+
+
+SQL_COUNTERS = SQL_RESULTS + f"""
+SELECT count(*) FILTER (WHERE n % 2 = 0 AND n % 11 <> 0) AS translated_overrides, count(*) FILTER (WHERE n % 2 = 0 AND n % 11 = 0) AS preserved_existing,
+  count(*) FILTER (WHERE n % 2 = 0 AND n % 11 <> 0 AND translation_source = '{fixed.REPAIR_SOURCE}') AS queued_for_llm,
+  count(*) FILTER (WHERE n % 2 <> 0) AS skipped FROM sourced"""
+
+
 def q_reverse_index(spark, sf):
     """Short keys shared by very many words: only the first five stay."""
     v = fd.vocabulary(spark, sf).withColumn("w", F.when(F.col("w").rlike("^[a-z]{2,10}$"), F.col("w")).otherwise(F.left(plain_word(F.col("w")), F.lit(8))))
@@ -372,6 +383,7 @@ QUERIES = {
     "entry_translations": (q_entry_translations, SQL_ENTRY),
     "repair_queue": (q_repair_queue, SQL_QUEUE),
     "translation_outcomes": (q_translation_outcomes, SQL_OUTCOMES),
+    "override_counters": (q_override_counters, SQL_COUNTERS),
     "reverse_index": (q_reverse_index, SQL_REVERSE),
     "pending_rows": (q_pending_rows, SQL_PENDING),
     "character_budget": (q_character_budget, SQL_BUDGET),

@@ -362,6 +362,15 @@ def translation_outcomes(entries: DataFrame, translations: DataFrame, levels: li
     )
 
 
+def outcome_counters(outcomes: DataFrame) -> DataFrame:
+    """One row of the published counters: queued rows are translated ones too."""
+    n = lambda *names: F.count_if(F.col("outcome").isin(*names))
+    return outcomes.agg(
+        n("translated", "queued").alias("translated_overrides"), n("preserved").alias("preserved_existing"),
+        n("queued").alias("queued_for_llm"), n("skipped").alias("skipped"),
+    )
+
+
 def repair_queue(entries: DataFrame, translations: DataFrame, instruction: str = "") -> DataFrame:
     """Rows below the confidence threshold, in the queue's published shape; the caller words the instruction."""
     low = translations.where(F.col("translation_source") == fixed.REPAIR_SOURCE)

@@ -13,16 +13,20 @@ from lexmill.sources import sinks
 FACETS = ["major", "level", "ref_level", "transitivity"]
 
 
-def export_tables(lexicon: DataFrame, tree: DataFrame, out: str | None = None) -> dict[str, DataFrame]:
+def cluster_order() -> list:
+    return [F.col("major"), F.desc("count"), F.col("cluster")]
+
+
+def export_tables(lexicon: DataFrame, tree: DataFrame, out: str | None = None, sources: dict[str, str] | None = None) -> dict[str, DataFrame]:
     facets = [c for c in FACETS if c in lexicon.columns]
     tables = {
         "entries": fc.export_entries(lexicon),
-        "clusters": lexicon.groupBy("major", "cluster").agg(F.count("*").alias("count")).orderBy("major", F.desc("count"), "cluster"),
+        "clusters": lexicon.groupBy("major", "cluster").agg(F.count("*").alias("count")).orderBy(*cluster_order()),
         "kanji_index": kj.kanji_index(lexicon, kj.kanji_metadata(tree)).orderBy(F.desc("count"), "kanji"),
         "stats": fc.facet_counts(lexicon, facets),
     }
     if out:
-        sinks.write_app_tables(tables, out)
+        sinks.write_app_tables(tables, out, sources)
     return tables
 
 

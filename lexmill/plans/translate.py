@@ -13,7 +13,7 @@ from lexmill.sources import sinks
 def translate_lexicon(lexicon: DataFrame, tables: DataFrame, reverse: DataFrame | None = None, out: str | None = None,
                       levels: tuple[str, ...] = ("A",), preserve_prefixes: tuple[str, ...] = (),
                       threshold: float = fixed.CONFIDENCE_THRESHOLD, max_rows: int = 0, instruction: str = "") -> dict[str, DataFrame]:
-    """Overrides, repair queue and outcome counts."""
+    """Overrides, repair queue, outcome counts and the published counters."""
     rows = lexicon.where(F.col("level").isin(list(levels))) if levels else lexicon
     if "translation_source" in rows.columns:
         rows = rows.where(~has_source_prefix("translation_source", preserve_prefixes))
@@ -32,4 +32,4 @@ def translate_lexicon(lexicon: DataFrame, tables: DataFrame, reverse: DataFrame
         sinks.write_overrides(overrides, out)
         sinks.write_repair_queue(queue, out)
     counts = outcomes.groupBy("outcome").agg(F.count("*").alias("rows"))
-    return {"overrides": overrides, "queue": queue, "outcomes": outcomes, "counts": counts}
+    return {"overrides": overrides, "queue": queue, "outcomes": outcomes, "counts": counts, "counters": gl.outcome_counters(outcomes)}

@@ -92,11 +92,21 @@ def append_cache(records: DataFrame, folder: str) -> None:
     write_json(records, folder, mode="append")
 
 
-def write_app_tables(export: dict[str, DataFrame], folder: str) -> None:
-    """Export tables side by side instead of one document holding them all."""
+def export_totals(export: dict[str, DataFrame]) -> DataFrame:
+    """One row: how many entries and kanji an export holds."""
+    entries = export["entries"].agg(F.count("*").alias("entries"))
+    return entries.withColumn("kanji", export["kanji_index"].agg(F.count("*")).scalar())
+
+
+def write_app_tables(export: dict[str, DataFrame], folder: str, sources: dict[str, str] | None = None) -> None:
+    """Export tables side by side instead of one document holding them all.
+
+    ``meta`` has the time, the totals and what the tables were made from (``sources``: name -> path).
+    """
     for name in ("entries", "clusters", "kanji_index", "stats"):
         write_json(export[name], f"{folder}/{name}")
-    meta = export["stats"].sparkSession.range(1).select(F.current_timestamp().alias("generated_at"))
+    made_from = F.struct(*[F.lit(path).alias(name) for name, path in (sources or {}).items()]) if sources else F.lit(None).cast("string")
+    meta = export_totals(export).select(F.current_timestamp().alias("generated_at"), made_from.alias("source"), "entries", "kanji")
     write_json(meta, f"{folder}/meta")
 
 

@@ -12,7 +12,9 @@ from lexmill.operators import search as se
 from lexmill.operators.progress import fold_toggles, replace_progress
 from lexmill.operators.variants import combine_choices, variant_forms
 from lexmill.plans.build import ordered_lexicon
+from lexmill.operators import gloss
 from lexmill.plans.publish import export_tables
+from lexmill.sources import sinks
 
 import pytest
 
@@ -199,3 +201,17 @@ def test_translation_stream(spark, tmp_path):
     lex = spark.createDataFrame([("1",), ("2",), ("3",)], "entry_id string")
     got = {r["entry_id"]: (r["translation"], r["translation_source"]) for r in st.current_overrides(lex, log, "label").collect()}
     assert got == {"1": ("d", "s"), "2": ("c", "label")}
+
+
+def test_export_meta_and_counters(spark, tmp_path):
+    one = lambda text, schema: spark.createDataFrame(text, schema)
+    tables = {"entries": one([("a",), ("b",)], "entry_id string"), "kanji_index": one([("学", 2)], "kanji string, count int"),
+              "clusters": one([], "major string, cluster string, count long"), "stats": one([("level", "A", 2)], "facet string, value string, count int")}
+    sinks.write_app_tables(tables, str(tmp_path), {"master": "m.csv"})
+    meta = spark.read.json(f"{tmp_path}/meta").first()
+    assert (meta.entries, meta.kanji, meta.source.master) == (2, 1, "m.csv") and meta.generated_at
+    sinks.write_app_tables(tables, f"{tmp_path}/plain")
+    assert spark.read.json(f"{tmp_path}/plain/meta").first().entries == 2
+    outcomes = one([(o,) for o in ("translated", "queued", "queued", "skipped", "preserved")], "outcome string")
+    assert tuple(gloss.outcome_counters(outcomes).first()) == (3, 1, 2, 1)
+    assert tuple(gloss.outcome_counters(outcomes.limit(0)).first()) == (0, 0, 0, 0)
