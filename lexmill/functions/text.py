@@ -70,11 +70,22 @@ def to_hiragana(c) -> Column:
     return F.translate(as_col(c), fixed.KATAKANA_LETTERS, fixed.HIRAGANA_LETTERS)
 
 
+#: Text of these characters alone is its own NFKC form; anything else may not be.
+NFKC_STABLE = r"^[\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u3001-\u3020\u3041-\u3096\u309D\u309E\u30A1-\u30FE\u4E00-\u9FFF]*$"
+
+
 @F.pandas_udf(T.StringType())
-def nfkc(values: pd.Series) -> pd.Series:
+def _nfkc(values: pd.Series) -> pd.Series:
     return values.str.normalize("NFKC")
 
 
+def nfkc(c) -> Column:
+    """Compatibility form; only text that it can change is sent to Python."""
+    text = as_col(c)
+    stable = text.rlike(NFKC_STABLE)
+    return F.when(stable, text).otherwise(_nfkc(F.when(~stable, text)))
+
+
 def normalize_japanese(c, compatibility: bool = True) -> Column:
     """Match key of a written form: NFKC, no white space, hiragana.
 
