@@ -85,8 +85,7 @@ def template_chain(key: Column) -> Column:
 
     def extend(done, _):
         last = F.when(F.size(done) == 0, key).otherwise(F.element_at(done, F.lit(-1))["inner"])
-        nxt = _inner(last)
-        return F.when(nxt.isNull(), done).otherwise(F.concat(done, F.array(nxt)).cast(step_type))
+        return F.concat(done, F.filter(F.array(_inner(last)), lambda step: step.isNotNull())).cast(step_type)
 
     # a key can only lead on if it starts like one of the templates
     return F.when(_inner(key).isNull(), start).otherwise(
@@ -241,8 +240,11 @@ def translate_glosses(glosses: DataFrame, tables: DataFrame, reverse: DataFrame
     asked = glosses.select(tx.strip("gloss").alias("gloss"), F.coalesce("major", F.lit("")).alias("major"))
     asked = asked.where(F.col("gloss") != "").distinct()
     asked = cut_lineage(asked)
-    found = cut_lineage(_answered(asked, direct_translations(asked, tables, reverse)))
-    chained = found.withColumn("chain", F.when(F.col("direct").isNull(), template_chain(tx.gloss_key("gloss"))).otherwise(F.array().cast("array<struct<template:int,inner:string>>")))
+    found = _answered(asked, direct_translations(asked, tables, reverse)).withColumn("key", tx.gloss_key("gloss"))
+    no_chain = F.array().cast("array<struct<template:int,inner:string>>")
+    # the key and the chain are dear and read several times; stored, they are made once
+    chained = cut_lineage(found.withColumn("chain", F.when(F.col("direct").isNull(), template_chain(F.col("key"))).otherwise(no_chain)).drop("key"))
+    found = chained.drop("chain")
     inner = chained.where("direct is null").select(F.explode(F.transform("chain", lambda c: c["inner"])).alias("gloss"), F.lit("").alias("major")).distinct()
     inner = cut_lineage(inner)
     known = _answered(inner, direct_translations(inner, tables, reverse))
