@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lexmill import fixed
 from lexmill.functions.classify import eligible_sentence, eligible_translation, example_terms
 from lexmill.functions.text import distance_from_ideal, has_kanji, strip
-from lexmill.operators.common import find_terms, first_n
+from lexmill.operators.common import broadcast_if_small, first_n, term_pieces
 
 
 def entry_terms(lexicon: DataFrame, levels: list[str] | None = None) -> DataFrame:
@@ -38,22 +38,40 @@ def linked_sentences(sentences: DataFrame, translations: DataFrame, links: DataF
     )
 
 
+def _counted(texts: DataFrame, gaps: list[str]) -> DataFrame:
+    """Texts with ``several``: whether their sentence id stands for texts of other lengths too."""
+    ids = texts.groupBy("sentence_id").agg((F.min(F.struct(*gaps)) != F.max(F.struct(*gaps))).alias("several")).where("several")
+    repeated = ids.select(F.col("sentence_id").alias("_id"), "several")
+    return texts.join(repeated, F.col("sentence_id").eqNullSafe(F.col("_id")), "left").drop("_id").withColumn("several", F.coalesce("several", F.lit(False)))
+
+
 def match_examples(pairs: DataFrame, terms: DataFrame, per_entry: int = fixed.EXAMPLES_PER_ENTRY,
                    prefers=has_kanji) -> DataFrame:
     """Best example sentences of every entry.
 
     1. which terms occur in which sentence: substring join on narrow rows, as
        a score needs lengths only;
-    2. best term per (entry, sentence), combined on the map side;
-    3. first ``per_entry`` per entry, cut in each task before the shuffle;
-    4. texts are joined back for the few chosen rows.
+    2. best sentences of every term, cut in each task before the shuffle: a
+       sentence that an entry shows is among the first of one of its terms;
+    3. best term per (entry, sentence), combined on the map side;
+    4. first ``per_entry`` per entry, cut in each task before the shuffle;
+    5. texts are joined back for the few chosen rows.
     """
+    gaps = ["sentence_gap", "translation_gap"]
     texts = pairs.select(
         "sentence_id", "sentence",
         distance_from_ideal("sentence").alias("sentence_gap"),
         distance_from_ideal("translation").alias("translation_gap"),
     )
-    hits = find_terms(texts, ["sentence_id", "sentence_gap", "translation_gap"], "sentence", terms)
+    terms = terms.where(F.length("term") > 0)
+    pieces = term_pieces(_counted(texts, gaps), ["sentence_id", *gaps, "several"], "sentence", terms)
+    if pieces is None:
+        pieces = texts.limit(0).select("sentence_id", *gaps, F.lit(False).alias("several"), F.col("sentence").alias("term"))
+    # equal pieces have one rank, so repeats of a piece in a sentence take no place
+    place = F.dense_rank().over(W.partitionBy("term").orderBy(*gaps, "sentence_id"))
+    few = pieces.where(~F.col("several")).withColumn("place", place).where(F.col("place") <= per_entry).drop("place")
+    kept = few.unionByName(pieces.where("several")).drop("several").distinct()
+    hits = kept.join(broadcast_if_small(terms), "term")
     score = F.struct(
         F.when(prefers("term"), 0).otherwise(1).alias("kanji_miss"),
         "sentence_gap", "translation_gap",
