@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from checks import feeds as fd
 from checks import lexicon_queries as lq
@@ -17,7 +17,7 @@ from lexmill.operators import examples as ex
 from lexmill.operators import gloss as gl
 from lexmill.operators import lexicon as lx
 from lexmill.operators import search as se, search_index as si
-from lexmill.operators.common import checkpoint_dir
+from lexmill.operators.common import checkpoint_dir, places_within
 from lexmill.plans.build import policy_rows
 from lexmill.plans.match import match_levels
 from lexmill.sources import readers, sinks
@@ -169,9 +169,8 @@ SQL_AUDIT = "SELECT item, amount FROM (" + lq.SQL_COUNTERS + ") WHERE starts_wit
 
 def q_master_order(spark, sf):
     """The published order as ranks inside each class and level."""
-    order = sinks.master_order()
-    w = W.partitionBy("major", "level").orderBy(*order[2:])
-    return lq.lexicon(spark, sf).select("entry_id", "major", "level", F.row_number().over(w).alias("place"))
+    ranked = places_within(lq.lexicon(spark, sf), ["major", "level"], sinks.master_order()[2:], "place")
+    return ranked.select("entry_id", "major", "level", "place")
 
 
 SQL_MASTER_ORDER = lq.ACCEPTED + """
