@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexmill import fixed
 from lexmill.operators import paging
-from lexmill.operators.common import overlapping_blocks
+from lexmill.operators.common import overlapping_blocks, spread_scan
 from lexmill.operators.search import SearchRequest, exact_scores, matching, query_tokens, ranked, result_order
 
 FIELDS = {"all": "search_text", "writing": "writing_text", "reading": "reading_text"}
 GRAM = 3
 PART_ROWS = 50_000
+#: Characters of a text whose grams are made at once.
+BLOCK = 4096
 #: Rows of a posting page, the unit that column indexes skip.
 PAGE_ROWS = 2_000
 
@@ -37,15 +39,27 @@ class SearchIndex:
     collation: str
 
 
+def _posting_rows(docs: DataFrame) -> DataFrame:
+    """(field, gram, part, entry_id) of every search text; a gram comes once a block of its text."""
+    texts = spread_scan(docs.select("part", "entry_id", *FIELDS.values()), "entry_id")
+    cut = lambda field, column: F.transform(
+        overlapping_blocks(F.coalesce(F.col(column), F.lit("")), GRAM, BLOCK), lambda b: F.struct(F.lit(field).alias("field"), b["n"].alias("n"), b["text"].alias("text")))
+    blocks = texts.select("part", "entry_id", F.explode(F.concat(*[cut(*f) for f in FIELDS.items()])).alias("b"))
+    at = F.sequence(F.lit(1), F.col("b.n"))
+    grams = F.flatten(F.transform(at, lambda i: F.transform(F.array(*[F.lit(n) for n in range(1, GRAM + 1)]), lambda n: F.substring(F.col("b.text"), i, n))))
+    return blocks.where("b.n > 0").select(F.col("b.field").alias("field"), F.explode(F.array_distinct(grams)).alias("gram"), "part", "entry_id")
+
+
 def search_grams(docs: DataFrame) -> DataFrame:
     """(field, gram, part, entry_id): distinct grams of 1 to ``GRAM`` characters of every search text."""
-    out = []
-    for field, column in FIELDS.items():
-        blocks = docs.select("part", "entry_id", F.explode(overlapping_blocks(F.col(column), GRAM)).alias("b"))
-        at = F.sequence(F.lit(1), F.col("b.n"))
-        grams = F.flatten(F.transform(at, lambda i: F.transform(F.array(*[F.lit(n) for n in range(1, GRAM + 1)]), lambda n: F.substring(F.col("b.text"), i, n))))
-        out.append(blocks.where("b.n > 0").select(F.lit(field).alias("field"), F.explode(F.array_distinct(grams)).alias("gram"), "part", "entry_id"))
-    return reduce(DataFrame.unionByName, out).distinct()
+    return _posting_rows(docs).distinct()
+
+
+def _repeats(docs: DataFrame) -> bool:
+    """Whether a posting may come twice: by a text of several blocks or by rows of one entry."""
+    longer = F.greatest(*[F.max(F.length(c)) for c in FIELDS.values()])
+    rows, most, longest = docs.groupBy("part", "entry_id").agg(F.count("*").alias("n"), longer.alias("l")).agg(F.count("*"), F.max("n"), F.max("l")).first()
+    return rows > 0 and (most > 1 or (longest or 0) > BLOCK)
 
 
 def write_index(docs: DataFrame, terms: DataFrame, folder: str, collation: str = "ja", part_rows: int = PART_ROWS, page_rows: int = PAGE_ROWS) -> SearchIndex:
@@ -58,7 +72,10 @@ def write_index(docs: DataFrame, terms: DataFrame, folder: str, collation: str =
     stored = spark.read.parquet(f"{folder}/docs")
     stored.groupBy("part").agg(F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{folder}/directory")
     by_gram = ["field", "gram", "part", "entry_id"]
-    search_grams(stored).repartitionByRange(*by_gram).sortWithinPartitions(*by_gram).write.mode("overwrite").option("parquet.page.row.count.limit", page_rows).parquet(f"{folder}/grams")
+    # rows dealt by range meet their equals in one task, so repeated postings need no shuffle of their own
+    postings = _posting_rows(stored).repartitionByRange(*by_gram)
+    postings = postings.distinct() if _repeats(stored) else postings
+    postings.sortWithinPartitions(*by_gram).write.mode("overwrite").option("parquet.page.row.count.limit", page_rows).parquet(f"{folder}/grams")
     terms.repartitionByRange("term", "entry_id").sortWithinPartitions("term", "entry_id").write.mode("overwrite").option("parquet.page.row.count.limit", page_rows).parquet(f"{folder}/terms")
     return read_index(spark, folder, collation)
 

@@ -120,3 +120,23 @@ def test_pages_of_empty_and_equal_rows(spark):
     assert got == [b for _, b in sorted((i % 3, i) for i in range(50))]
     assert paging.dealt_page(rows.limit(0), [F.col("a")], 4, 8).count() == 0
     assert paging.next_page(rows.withColumn("p", F.lit(0)), "p", ["a", "b"], rows.where("b = 47").withColumn("p", F.lit(0)), 5).count() == 0
+
+
+def test_postings_come_once_and_need_no_shuffle_to_be_told_apart(spark, world, tmp_path, monkeypatch):
+    columns = "entry_id string, source_ord int, writing_text string, reading_text string, search_text string, part int"
+    rows = [("1", 1, "ab", None, "ab abc abab", 0), ("2", 2, "", "xyz", "x" * 30, 0), ("2", 2, "", "xyz", "x" * 30, 0), ("3", 3, None, None, None, 0), (None, 4, "a", "b", "c", 1), (None, 4, "a", "b", "c", 1)]
+    want = {(f, t[i : i + n], r[5], r[0]) for r in rows for f, t in zip(("writing", "reading", "all"), r[2:5]) for i in range(len(t or "")) for n in (1, 2, 3)}
+    want = {(f, t, p, e) for f, t, p, e in want if t}
+    for block in (4096, 4):
+        monkeypatch.setattr(si, "BLOCK", block)
+        docs = spark.createDataFrame(rows, columns)
+        assert sorted(map(tuple, si.search_grams(docs).collect()), key=str) == sorted(want, key=str)
+        assert si._repeats(docs) and si._repeats(docs.where("entry_id = '1'")) == (block == 4)
+    assert not si._repeats(docs.limit(0))
+    docs, terms, index = world
+    monkeypatch.setattr(si, "BLOCK", 4096)
+    assert not si._repeats(index.docs) and "Aggregate" not in si._posting_rows(index.docs)._jdf.queryExecution().toString()
+    monkeypatch.setattr(si, "BLOCK", 64)
+    again = si.write_index(docs, terms, str(tmp_path), part_rows=20, page_rows=50)
+    assert si._repeats(again.docs) and again.grams.count() == again.grams.distinct().count()
+    assert again.grams.exceptAll(index.grams).count() == 0 == index.grams.exceptAll(again.grams).count()
