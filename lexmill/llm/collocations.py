@@ -48,6 +48,7 @@ BLANKS = b" \t"
 STRETCH = 1 << 21
 FILTER_BITS = 1 << 27
 HELD = 1 << 21
+SPLITS = 8
 PROBES = 3
 WORD_BASE, GRAM_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _POWERS = {WORD_BASE: Powers(WORD_BASE), GRAM_BASE: Powers(GRAM_BASE)}
@@ -333,6 +334,17 @@ def _materialise(filters: dict[int, Broadcast], mask: int):
     return run
 
 
+def phrases_written(texts: DataFrame, filters: dict[int, Broadcast], mask: int) -> DataFrame:
+    """(lang, k, phrase, n) counted per task; a phrase comes once a task (or once each time a task's store is full).
+
+    A frequent phrase stands in nearly every split of the texts, so a task reads
+    up to ``SPLITS`` of them in turn, as long as every core has a task.
+    """
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    few = texts.coalesce(max(cores, -(-texts.rdd.getNumPartitions() // SPLITS)))
+    return few.mapInArrow(_materialise(filters, mask), "lang string, k int, phrase string, n long")
+
+
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST,
                      filter_bits: int = FILTER_BITS, print_bits: int = 64) -> DataFrame:
     """(lang, k, phrase, n) of every phrase of up to ``longest`` words met ``least`` times or more in its language.
@@ -347,8 +359,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     for k in range(1, longest + 1):
         counted = texts.mapInArrow(_count(k, {k - 1: filters[k - 1]} if k > 1 else {}, mask), "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
         filters[k] = docs.sparkSession.sparkContext.broadcast(filter_of(stored(counted.where(F.col("n") >= least).select("print")), filter_bits))
-    written = texts.mapInArrow(_materialise(filters, mask), "lang string, k int, phrase string, n long")
-    return stored(written.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0)))
+    return stored(phrases_written(texts, filters, mask).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0)))
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP,

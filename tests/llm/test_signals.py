@@ -174,6 +174,18 @@ def test_collocations_of_long_texts_and_repeated_rows(spark, monkeypatch):
     assert mined(spark, [(None, "A b")] * 30) == [("und", 1, "a b", 30, 30, 30, 60, 1_000_000)]
 
 
+def test_a_phrase_is_written_once_a_core_and_not_once_a_split(spark):
+    texts = spark.createDataFrame([("en", "new york is big. new york")] * 64, "lang string, text string").repartition(32)
+    prints = np.concatenate([s.prints(k, np.flatnonzero(s.whole(k))) for *_, s in collocations._stretches_of(texts.limit(1).toArrow().to_batches()[0], (1 << 64) - 1) for k in (1, 2)])
+    held = collocations.filter_of(spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "print long"))
+    rows = collocations.phrases_written(texts, {k: spark.sparkContext.broadcast(held) for k in (1, 2)}, (1 << 64) - 1).collect()
+    total = Counter()
+    for r in rows:
+        total[r.k, r.phrase] += r.n
+    assert total == {(0, ""): 6 * 64, (1, "new"): 128, (1, "york"): 128, (1, "is"): 64, (1, "big"): 64, (2, "new york"): 128, (2, "york is"): 64, (2, "is big"): 64}
+    assert len(rows) <= len(total) * spark.sparkContext.defaultParallelism
+
+
 def test_stretches_overlap_by_the_longest_phrase():
     data = np.frombuffer(b"aa bb cc dd ee ff gg. hh ii jj kk ll", np.uint8)
     low, starts, ends, piece, doc = collocations.words(data, np.array([0, 10, 10, len(data)]))
