@@ -1,11 +1,13 @@
 """HTML, pieces, token files, chat, quality, mixing, URLs: worked examples, brute force and round trips."""
 
+import random
 import re
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +205,34 @@ def test_words_equal_the_tokenizer():
         assert ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_coder_shortens_rare_ids():
+    # frequent and rare ids as in texts; ids that no context predicts took 16 bits each before
+    rng = np.random.default_rng(2)
+    ids = np.minimum(rng.zipf(1.3, 400_000) - 1, 50_000)
+    data = coder.encode(ids)
+    assert (coder.decode(data) == ids).all() and len(data) < 1.2 * len(ids)
+    # blocks of every length, words that carry into words before them, ids at both ends
+    for n in (1, 2, coder.BLOCK - 1, coder.BLOCK, coder.BLOCK + 1, 3 * coder.BLOCK + 7):
+        for ids in (np.full(n, 65_535), rng.integers(65_000, 65_536, n), rng.choice([0, 65_535], n)):
+            assert (coder.decode(coder.encode(ids)) == ids).all()
+
+
+def test_words_of_a_batch_equal_the_tokenizer():
+    rng = random.Random(3)
+    parts = ["a", "Zé", "é", "ñ", "ſ", "ɏ", " ", "  ", "\n", "\n\n", "\r\n", "\t", ",", ".", "'", "'s", "'ll", "7", "(", ")", "-", "\xa0", "\u2009", "\x1c", "\x85", "«", "日", "<|endoftext|>", "×", "÷", "_", "word", " word", "\ufeff", "\u0301", "😀", "\0"]
+    texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000))]
+    words = token_files.Words(token_files.tokenizer_path())
+    for column in (texts, texts[::-1]):
+        ids, lengths = words.ids(pa.array(column, pa.string()).slice(3), 2)
+        whole = [words.tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in column[3:]]
+        assert lengths.tolist() == list(map(len, whole)) and ids.tolist() == [i for x in whole for i in x]
+    # most words come from the store or as pieces, not one call each
+    calls = []
+    words._single = lambda x: calls.extend(x) or token_files.Words._single(words, x)
+    words.ids(pa.array([f"Letra{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}ñ, otra{chr(97 + i % 26)}.\nY más" for i in range(2000)]))
+    assert not calls
+
+
 def test_token_files(spark, tmp_path):
     rows = [(5, "the cat sat"), (2, "on the mat " * 300), (9, None), (2, "a twin"), (None, "no id"), (7, "")]
     files = token_files.write_tokens(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, start int").repartition(3), file_ids=500)
