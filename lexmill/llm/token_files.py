@@ -42,7 +42,7 @@ from lexmill.llm.common import pieces, row_keyed, stored, table, text_buffer
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
-FILE_IDS = 1 << 23
+FILE_IDS = 1 << 22
 CACHE = 400_000
 MAGIC = b"LXTOK2\0\0"
 CLEAN = re.compile(" ?[^\\s\x1c-\x1f\x85]+")
